@@ -8,6 +8,7 @@ MODULES = (
     "hilbert_sharding",
     "quality_rules",
     "simhash",
+    "tag_paths",
 )
 
 
