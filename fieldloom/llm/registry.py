@@ -5,6 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 MODULES = (
+    "fm_index",
     "hilbert_sharding",
     "quality_rules",
     "simhash",
