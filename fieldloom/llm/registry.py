@@ -7,6 +7,7 @@ from importlib import import_module
 MODULES = (
     "fm_index",
     "hilbert_sharding",
+    "line_crf",
     "quality_rules",
     "simhash",
     "tag_paths",
