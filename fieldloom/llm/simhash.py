@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fieldloom.llm import _text as t
-from fieldloom.llm._tables import saved, table
+from fieldloom.llm._tables import row_key, saved, table
 
 BITS = 64
 
@@ -86,18 +86,19 @@ def masks(distance: int) -> list[int]:
     return out
 
 
-def links(prints: DataFrame, radius: int = 2, name: str = "simhash") -> DataFrame:
-    """Links (a, b), a < b, between distinct fingerprints; their components are those of all pairs within the radius.
+def links(prints: DataFrame, radius: int = 2, name: str = "simhash", by: tuple[str, ...] = ()) -> DataFrame:
+    """Links (by, a, b), a < b, between distinct fingerprints; their components are those of all pairs within the radius.
 
-    An odd radius is rounded down to an even one for the variants' sake.
+    by: columns in which linked fingerprints agree. The radius is even, as variants split it in halves.
     """
-    half = radius // 2
-    emitted = prints.select(F.col(name).alias("b")).distinct().select("b", F.explode(F.lit(np.array(masks(half), np.int64))).alias("mask"))
-    ball = Window.partitionBy("variant")
-    met = emitted.select("b", F.col("b").bitwiseXOR(F.col("mask")).alias("variant")).withColumn("least", F.min("b").over(ball))
+    if radius % 2:
+        raise ValueError("the radius must be even")
+    emitted = prints.select(*by, F.col(name).alias("b")).distinct().select(*by, "b", F.explode(F.lit(np.array(masks(radius // 2), np.int64))).alias("mask"))
+    ball = Window.partitionBy(*by, "variant")
+    met = emitted.select(*by, "b", F.col("b").bitwiseXOR(F.col("mask")).alias("variant")).withColumn("least", F.min("b").over(ball))
     met = met.withColumn("before", F.lag("b").over(ball.orderBy("b"))).filter("b > least")
-    ends = met.select("b", F.explode(F.array_distinct(F.array("least", "before"))).alias("a"))
-    return ends.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius).select("a", "b").distinct()
+    ends = met.select(*by, "b", F.explode(F.array_distinct(F.array("least", "before"))).alias("a"))
+    return ends.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius).select(*by, "a", "b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -130,6 +131,82 @@ def clusters(docs: DataFrame, text: str = "text", id: str = "doc_id", shingle: i
     return prints.join(by_print, "simhash")
 
 
+def word_fingerprints(buf: np.ndarray, at: np.ndarray, tables: int) -> np.ndarray:
+    """Independent fingerprints (texts x tables) of each text's lower-cased words, repeats included."""
+    raw = t.LOWER[buf]
+    start, end, word_at = t.words(raw, at)
+    words = t.byte_hasher(raw)(start, end)
+    out = np.zeros((len(at) - 1, tables), np.int64)
+    some = np.flatnonzero(np.diff(word_at))
+    step = 1 << 17
+    for k in range(tables):
+        keyed = t.mix(words + np.uint64(k * 0x632BE59BD9B4E019 % (1 << 64)))
+        ones = np.zeros((len(at) - 1, BITS), np.int64)
+        for low in range(0, len(words), step):
+            part = keyed[low : low + step]
+            inside = some[(word_at[some] < low + len(part)) & (word_at[some + 1] > low)]
+            begin = np.maximum(word_at[inside] - low, 0)
+            ones[inside] += np.add.reduceat(np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), begin, axis=0, dtype=np.int32)
+        set_bits = ones * 2 > np.diff(word_at)[:, None]
+        out[:, k] = np.packbits(set_bits, axis=1, bitorder="little").view(np.int64).ravel()
+    return out
+
+
+def similarity(a: str, b: str, shingle: int = 5) -> float:
+    """Jaccard similarity of the sets of word shingles; of a text with fewer words, the whole sequence is one."""
+    sets = []
+    for x in (a, b):
+        raw = t.LOWER[np.frombuffer(x.encode(), np.uint8)]
+        start, end, _ = t.words(raw, np.array([0, len(raw)]))
+        codes = t.byte_hasher(raw)(start, end)
+        sets.append(np.unique(t.Hasher(codes).windows(min(shingle, max(len(codes), 1)))))
+    both = len(np.intersect1d(*sets, assume_unique=True))
+    whole = len(sets[0]) + len(sets[1]) - both
+    return both / whole if whole else 1.0
+
+
+def deduplicated(docs: DataFrame, text: str = "text", id: str = "doc_id", tables: int = 3, radius: int = 2, shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """The rows without near copies: of each group the one with the least id stays.
+
+    Candidates meet in any of `tables` independent fingerprints of words; each is verified by the
+    similarity of word shingles. Null and empty texts are one group. Rows equal in every column count as one.
+    """
+    names = docs.columns
+    key = row_key(*names)
+    node = F.unhex(F.md5(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8"))).alias("node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in t.slices(batches, text):
+            prints = word_fingerprints(*t.utf8(t.column(batch, text)), tables)
+            rest = [t.column(batch, c) for c in ("id", "row_a", "row_b", "node")]
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(list(prints), pa.list_(pa.int64()))], names=["id", "row_a", "row_b", "node", "prints"])
+
+    keyed = docs.select(F.col(id).alias("id"), *key, node, F.col(text).alias(text))
+    rows = saved(keyed.mapInArrow(run, t.arrow_type(keyed.drop(text), "prints array<long>")))
+    texts = rows.groupBy("node").agg(F.first("prints").alias("prints"))
+    spread = saved(texts.select("node", F.posexplode("prints").alias("k", "simhash")))
+    classes = spread.groupBy("k", "simhash").agg(F.min("node").alias("rep"), F.count("*").alias("n"))
+    classes = saved(classes)
+    to_rep = spread.join(classes.filter("n > 1"), ["k", "simhash"]).select(F.col("rep").alias("a"), F.col("node").alias("b"))
+    linked = links(classes, radius, by=("k",)).alias("l").join(classes.alias("x"), F.expr("l.k = x.k and l.a = x.simhash")).join(classes.alias("y"), F.expr("l.k = y.k and l.b = y.simhash"))
+    pairs = to_rep.union(linked.select("x.rep", "y.rep")).filter("a <> b")
+    pairs = saved(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    whole = saved(docs.select(node, F.col(text).alias("x")).join(ends, "node", "left_semi").groupBy("node").agg(F.first("x").alias("x")))
+    sided = pairs.join(whole.select(F.col("node").alias("a"), F.col("x").alias("xa")), "a").join(whole.select(F.col("node").alias("b"), F.col("x").alias("xb")), "b")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = [similarity(p or "", q or "", shingle) >= least for p, q in zip(t.column(batch, "xa").to_pylist(), t.column(batch, "xb").to_pylist())]
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    roots = components(sided.mapInArrow(verify, "a binary, b binary"))
+    member = rows.join(roots, rows.node == roots.node, "left").select(rows.id.alias("id"), "row_a", "row_b", F.coalesce("root", rows.node).alias("root"))
+    stay = member.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row_a", "row_b")).alias("m")).select("m.row_a", "m.row_b")
+    kept = docs.withColumns({"row_a": key[0], "row_b": key[1]}).join(stay, ["row_a", "row_b"])
+    return kept.dropDuplicates(["row_a", "row_b"]).select(*names)
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = clusters(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), "component_id")
