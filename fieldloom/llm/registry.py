@@ -8,6 +8,7 @@ MODULES = (
     "fm_index",
     "hilbert_sharding",
     "line_crf",
+    "line_runs",
     "pfair_mixing",
     "quality_rules",
     "simhash",
