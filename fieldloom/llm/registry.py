@@ -5,6 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 MODULES = (
+    "byte_repeats",
     "fm_index",
     "hilbert_sharding",
     "line_crf",
@@ -13,6 +14,7 @@ MODULES = (
     "quality_rules",
     "simhash",
     "tag_paths",
+    "word_repeats",
 )
 
 
