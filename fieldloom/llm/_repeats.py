@@ -14,7 +14,6 @@ Hashes are of 64 bits, cores and wholes are compared together (128 bits).
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -26,7 +25,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.llm import _text as t
 from fieldloom.llm._anchors import anchored
-from fieldloom.llm._tables import row_key, saved
+from fieldloom.llm._tables import release, row_key, saved
 
 PIECE = "struct<i:int,low:int,high:int,core:long,whole:long>"
 _LIST = pa.list_(pa.struct([("i", pa.int32()), ("low", pa.int32()), ("high", pa.int32()), ("core", pa.int64()), ("whole", pa.int64())]))
@@ -108,12 +107,6 @@ def _settled(pieces: DataFrame, spec: Spec, last: bool) -> tuple[DataFrame, Data
     return done, both.filter(more).join(open_cores, "core").select("uid", "i", "low", "high")
 
 
-def release(df: DataFrame) -> None:
-    """Lets Spark drop shuffle files of finished steps; else they stay until the driver happens to collect garbage."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-
-
 def recurring(docs: DataFrame, spec: Spec, text: str = "text", id: str = "doc_id") -> DataFrame:
     """(row_a, row_b, starts): for rows (by row_key of id and text), element positions of windows that count.
 

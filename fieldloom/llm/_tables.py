@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -29,6 +30,12 @@ def saved(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(df: DataFrame) -> None:
+    """Lets Spark drop shuffle files of finished steps; else they stay until the driver happens to collect garbage."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def row_key(*columns: str) -> list[Column]:
     """Two independent 64-bit hashes of the given columns; rows that agree in all of them share the key.
 

@@ -21,6 +21,7 @@ a component its id; other columns pass through, new names replace input columns
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fieldloom.llm import _text as t
-from fieldloom.llm._tables import row_key, saved, table
+from fieldloom.llm._tables import release, row_key, saved, table
 
 BITS = 64
 
@@ -86,19 +87,19 @@ def masks(distance: int) -> list[int]:
     return out
 
 
-def links(prints: DataFrame, radius: int = 2, name: str = "simhash", by: tuple[str, ...] = ()) -> DataFrame:
-    """Links (by, a, b), a < b, between distinct fingerprints; their components are those of all pairs within the radius.
+def links(prints: DataFrame, radius: int = 2, name: str = "simhash") -> DataFrame:
+    """Links (a, b), a < b, between distinct fingerprints; their components are those of all pairs within the radius.
 
-    by: columns in which linked fingerprints agree. The radius is even, as variants split it in halves.
+    The radius is even, as variants split it in halves.
     """
     if radius % 2:
         raise ValueError("the radius must be even")
-    emitted = prints.select(*by, F.col(name).alias("b")).distinct().select(*by, "b", F.explode(F.lit(np.array(masks(radius // 2), np.int64))).alias("mask"))
-    ball = Window.partitionBy(*by, "variant")
-    met = emitted.select(*by, "b", F.col("b").bitwiseXOR(F.col("mask")).alias("variant")).withColumn("least", F.min("b").over(ball))
+    emitted = prints.select(F.col(name).alias("b")).distinct().select("b", F.explode(F.lit(np.array(masks(radius // 2), np.int64))).alias("mask"))
+    ball = Window.partitionBy("variant")
+    met = emitted.select("b", F.col("b").bitwiseXOR(F.col("mask")).alias("variant")).withColumn("least", F.min("b").over(ball))
     met = met.withColumn("before", F.lag("b").over(ball.orderBy("b"))).filter("b > least")
-    ends = met.select(*by, "b", F.explode(F.array_distinct(F.array("least", "before"))).alias("a"))
-    return ends.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius).select(*by, "a", "b").distinct()
+    ends = met.select("b", F.explode(F.array_distinct(F.array("least", "before"))).alias("a"))
+    return ends.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius).select("a", "b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -183,13 +184,17 @@ def deduplicated(docs: DataFrame, text: str = "text", id: str = "doc_id", tables
 
     keyed = docs.select(F.col(id).alias("id"), *key, node, F.col(text).alias(text))
     rows = saved(keyed.mapInArrow(run, t.arrow_type(keyed.drop(text), "prints array<long>")))
-    texts = rows.groupBy("node").agg(F.first("prints").alias("prints"))
-    spread = saved(texts.select("node", F.posexplode("prints").alias("k", "simhash")))
-    classes = spread.groupBy("k", "simhash").agg(F.min("node").alias("rep"), F.count("*").alias("n"))
-    classes = saved(classes)
-    to_rep = spread.join(classes.filter("n > 1"), ["k", "simhash"]).select(F.col("rep").alias("a"), F.col("node").alias("b"))
-    linked = links(classes, radius, by=("k",)).alias("l").join(classes.alias("x"), F.expr("l.k = x.k and l.a = x.simhash")).join(classes.alias("y"), F.expr("l.k = y.k and l.b = y.simhash"))
-    pairs = to_rep.union(linked.select("x.rep", "y.rep")).filter("a <> b")
+    texts = saved(rows.groupBy("node").agg(F.first("prints").alias("prints")))
+    found = []
+    for k in range(tables):  # one after the other: the variants of one table at a time take room
+        spread = texts.select("node", F.col("prints")[k].alias("simhash"))
+        classes = saved(spread.groupBy("simhash").agg(F.min("node").alias("rep"), F.count("*").alias("n")))
+        to_rep = spread.join(classes.filter("n > 1"), "simhash").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+        linked = links(classes, radius).alias("l").join(classes.alias("x"), F.expr("l.a = x.simhash")).join(classes.alias("y"), F.expr("l.b = y.simhash"))
+        found.append(saved(to_rep.union(linked.select("x.rep", "y.rep")).filter("a <> b")))
+        del linked, to_rep
+        release(docs)
+    pairs = reduce(DataFrame.union, found)
     pairs = saved(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     whole = saved(docs.select(node, F.col(text).alias("x")).join(ends, "node", "left_semi").groupBy("node").agg(F.first("x").alias("x")))
@@ -201,6 +206,7 @@ def deduplicated(docs: DataFrame, text: str = "text", id: str = "doc_id", tables
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     roots = components(sided.mapInArrow(verify, "a binary, b binary"))
+    release(docs)
     member = rows.join(roots, rows.node == roots.node, "left").select(rows.id.alias("id"), "row_a", "row_b", F.coalesce("root", rows.node).alias("root"))
     stay = member.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row_a", "row_b")).alias("m")).select("m.row_a", "m.row_b")
     kept = docs.withColumns({"row_a": key[0], "row_b": key[1]}).join(stay, ["row_a", "row_b"])
