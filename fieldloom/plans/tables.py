@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,8 +19,9 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def track(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A measured line per order: measure in quantities, elevation missing where the discount is 5 %."""
-    from pyspark.sql.window import Window
-
-    along = Window.partitionBy("l_orderkey").orderBy("l_linenumber").rowsBetween(Window.unboundedPreceding, 0)
+    along = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     elevation = F.when(F.col("l_discount") != 0.05, F.col("l_extendedprice"))
-    return read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("track_id"), F.col("l_linenumber").alias("seq"), F.sum("l_quantity").over(along).alias("measure"), elevation.alias("elevation"))
+    return read(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("track_id"), F.row_number().over(along).alias("seq"),
+        F.sum("l_quantity").over(along.rowsBetween(Window.unboundedPreceding, 0)).alias("measure"), elevation.alias("elevation"),
+    )
