@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
+MODULES = ("columns", "analytics", "joins")
+FLAGSHIP = "relations_nearest_n"
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = "priority_per_part"
+for _module in map(import_module, (f"fieldloom.plans.{m}" for m in MODULES)):
+    QUERIES |= _module.QUERIES
+    ORACLE_SQL |= _module.ORACLE_SQL
