@@ -95,15 +95,14 @@ def _settled(pieces: DataFrame, spec: Spec, last: bool) -> tuple[DataFrame, Data
         counts, more = F.expr("least != most"), F.expr("least = struct(uid, i)")
         opened = F.expr("count(*) > 1 and bool_or(least = most)")
     cores = pieces.groupBy("core").agg(twice.alias("twice")).filter("twice").select("core")
-    met = saved(pieces.join(cores, "core")) if not last else pieces.join(cores, "core")
-    wholes = met.groupBy("core", "whole").agg(*extent)
-    if not last:
-        wholes = saved(wholes)
+    # what an aggregation has made is written before it is joined: Spark splits only joins that read plain shuffles
+    met = saved(pieces.join(saved(cores), "core"))
+    wholes = saved(met.groupBy("core", "whole").agg(*extent))
     both = met.join(wholes, ["core", "whole"])
     done = both.filter(counts).select("uid", "i", "low", "high")
     if last:
         return done, None
-    open_cores = wholes.groupBy("core").agg(opened.alias("opened")).filter("opened").select("core")
+    open_cores = saved(wholes.groupBy("core").agg(opened.alias("opened")).filter("opened").select("core"))
     return done, both.filter(more).join(open_cores, "core").select("uid", "i", "low", "high")
 
 
