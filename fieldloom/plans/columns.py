@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fieldloom.functions import colour, geometry, hashing, numbers, text
 from fieldloom.plans.tables import points, read
 
-KINDS = [("copper_part", r"(?i)copper"), ("steel_part", r"(?i)steel"), ("brass_part", r"(?i)brass"), ("anodized", r"(?i)anodized"), ("promo", r"(?i)promo")]
+KINDS = [("ring_part", r"(?i)ring"), ("widget_part", r"(?i)widget"), ("bolt_part", r"(?i)bolt"), ("gear_part", r"(?i)^(hot|cold) gear"), ("small_gear", r"(?i)gear")]
 DOCUMENT_POINTS = [(r"(?i)\bthe\b", 20), (r"(?i)license", 25), (r"\|", -15), (r"!!", -40), (r"(?i)\bund\b", 10)]
 PROTOTYPES = [("asphalt", 60, 60, 64), ("brick", 150, 80, 65), ("grass", 90, 130, 60), ("gravel", 150, 145, 135), ("sand", 210, 200, 160)]
 PICKS = [("stone", 5), ("gravel", 3), ("dirt", 2)]
@@ -67,7 +67,7 @@ def nearest_prototype(spark: SparkSession, d: str) -> DataFrame:
 
 
 def classification(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "part").select("p_partkey", text.cascade(F.col("p_type"), KINDS, "other").alias("kind"))
+    return read(spark, d, "part").select("p_partkey", text.cascade(F.col("p_name"), KINDS, "other").alias("kind"))
 
 
 def document_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -116,7 +116,7 @@ def _lab_sql() -> str:
     return f"SELECT *, 116*fy-16 AS cl, 500*(fx-fy) AS ca, 200*(fy-fz) AS cb FROM (SELECT *, {', '.join(f(n) for n in 'xyz')} FROM (SELECT *, {xyz} FROM (SELECT *, {', '.join(f'{lin(c)} AS l{c}' for c in 'rgb')} FROM {{src}})))"
 
 
-_CASE = " ".join(f"WHEN regexp_matches(p_type, '{p}') THEN '{n}'" for n, p in KINDS)
+_CASE = " ".join(f"WHEN regexp_matches(p_name, '{p}') THEN '{n}'" for n, p in KINDS)
 _SCORE = " + ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN {n} ELSE 0 END" for p, n in DOCUMENT_POINTS)
 _PROTO = ", ".join(f"('{n}', {r}, {g}, {b})" for n, r, g, b in PROTOTYPES)
 
