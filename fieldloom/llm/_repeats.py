@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.llm import _text as t
 from fieldloom.llm._anchors import anchored
+from fieldloom.llm._levels import SuffixLevels
 from fieldloom.llm._tables import release, row_key, saved
 
 PIECE = "struct<i:int,low:int,high:int,core:long,whole:long>"
@@ -37,6 +39,7 @@ class Spec:
 
     elements: from a batch's bytes and offsets, a hasher of the elements and the texts' offsets in them.
     earlier: a window counts if it stands in a row with a lesser order too, else if it stands anywhere else.
+    batches: if over 0, the first cores are met by a family of suffix arrays to which that many batches are added.
     """
 
     size: int
@@ -45,6 +48,7 @@ class Spec:
     blocks: tuple[int, ...]
     elements: Callable[[np.ndarray, np.ndarray], tuple[t.Hasher, np.ndarray]]
     earlier: bool
+    batches: int = 0
 
 
 def pieces_of(hashed: t.Hasher, at: np.ndarray, of: np.ndarray, anchor: np.ndarray, low: np.ndarray, high: np.ndarray, size: int, core: tuple[np.ndarray, np.ndarray]) -> pa.Array:
@@ -83,8 +87,11 @@ def _exploded(table: DataFrame) -> DataFrame:
     return table.select("uid", "ord", F.explode("pieces").alias("p")).select("uid", "ord", "p.*")
 
 
-def _settled(pieces: DataFrame, spec: Spec, last: bool) -> tuple[DataFrame, DataFrame | None]:
-    """Pieces all of whose windows count, and those to be cut further (with one for each whole that they may meet)."""
+def _settled(pieces: DataFrame, spec: Spec, last: bool, cores: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """Pieces all of whose windows count, and those to be cut further (with one for each whole that they may meet).
+
+    cores: those that stand in two places, if they are known.
+    """
     if spec.earlier:
         twice, extent = F.expr("min(ord) < max(ord)"), [F.min("ord").alias("least")]
         counts, more = F.expr("least < ord"), F.expr("ord = least")
@@ -94,9 +101,10 @@ def _settled(pieces: DataFrame, spec: Spec, last: bool) -> tuple[DataFrame, Data
         twice, extent = F.expr("count(*) > 1"), [F.min(place).alias("least"), F.max(place).alias("most")]
         counts, more = F.expr("least != most"), F.expr("least = struct(uid, i)")
         opened = F.expr("count(*) > 1 and bool_or(least = most)")
-    cores = pieces.groupBy("core").agg(twice.alias("twice")).filter("twice").select("core")
+    if cores is None:
+        cores = saved(pieces.groupBy("core").agg(twice.alias("twice")).filter("twice").select("core"))
     # what an aggregation has made is written before it is joined: Spark splits only joins that read plain shuffles
-    met = saved(pieces.join(saved(cores), "core"))
+    met = saved(pieces.join(cores, "core"))
     wholes = saved(met.groupBy("core", "whole").agg(*extent))
     both = met.join(wholes, ["core", "whole"])
     done = both.filter(counts).select("uid", "i", "low", "high")
@@ -132,9 +140,14 @@ def recurring(docs: DataFrame, spec: Spec, text: str = "text", id: str = "doc_id
     base = f"uid long, ord long, row_a long, row_b long, pieces array<{PIECE}>"
     first = saved(keyed.mapInArrow(start, base))
     rows = first.select("uid", "row_a", "row_b")
-    pieces, done = _exploded(first), []
+    pieces, done, cores = _exploded(first), [], None
+    if spec.batches:
+        family = SuffixLevels()
+        shared = [family.add(pieces.filter(F.pmod(F.xxhash64("uid"), F.lit(spec.batches)) == b).select("core")) for b in range(spec.batches)]
+        cores = saved(reduce(DataFrame.union, shared).distinct())
     for block in spec.blocks:
-        settled, left = _settled(pieces, spec, False)
+        settled, left = _settled(pieces, spec, False, cores)
+        cores = None
         done.append(settled)
         lists = saved(left.groupBy("uid").agg(F.collect_list(F.struct("i", "low", "high")).alias("found")))
         release(docs)

@@ -23,11 +23,22 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tables-{spark.sparkContext.applicationId}"
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """The same rows as a table in the shared folder: it cuts the lineage, and a lost executor costs no more than a read."""
+def saved_at(df: DataFrame) -> tuple[DataFrame, str]:
+    """The same rows as a table in the shared folder, and its path."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """The same rows as a table in the shared folder: it cuts the lineage, and a lost executor costs no more than a read."""
+    return saved_at(df)[0]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a table that nothing reads any more."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def release(df: DataFrame) -> None:

@@ -1,4 +1,18 @@
-"""Suffix-array dedup: bytes in strings of `size` bytes that stand anywhere else go."""
+"""Suffix-array dedup: bytes in strings of `size` bytes that stand anywhere else go.
+
+Documents come in batches. Each batch's suffixes, sampled at content-defined anchors so that every string
+of `size` bytes holds one, form a sparse suffix array; it is merge-scanned against the levels of a
+logarithmic family of such arrays (see _levels), and equal-sized levels merge. Suffixes that agree on
+their first bytes are then compared in full, in blocks down to single strings (see _repeats), which
+gives the exact extent of every long match, backward from the anchor as well as forward.
+
+Strings are judged on the input: all occurrences go, in the same row too.
+
+Defined results: a null text has no bytes; texts shorter than `size` lose nothing; rows equal in id and
+text each count as a place, so both lose what they share; what is left is binary, as a cut may split a
+character; ids may be null or repeated; other columns pass through and new ones (kept, n_bytes,
+n_removed, n_spans) replace columns so named; an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
@@ -14,23 +28,24 @@ from fieldloom.llm._repeats import Spec, recurring
 from fieldloom.llm._tables import row_key, table
 
 SIZE = 400
+BATCHES = 4
 
 
 def _bytes(buf: np.ndarray, at: np.ndarray) -> tuple[t.Hasher, np.ndarray]:
     return t.byte_hasher(buf), at
 
 
-def spec(size: int = SIZE) -> Spec:
+def spec(size: int = SIZE, batches: int = BATCHES) -> Spec:
     k = max(1, min(16, size // 8))
-    return Spec(size, max(1, min(250, size * 5 // 8, size - k + 1)), k, (16, 1), _bytes, earlier=False)
+    return Spec(size, max(1, min(250, size * 5 // 8, size - k + 1)), k, (16, 1), _bytes, earlier=False, batches=batches)
 
 
-def deduplicated(docs: DataFrame, text: str = "text", id: str = "doc_id", size: int = SIZE) -> DataFrame:
+def deduplicated(docs: DataFrame, text: str = "text", id: str = "doc_id", size: int = SIZE, batches: int = BATCHES) -> DataFrame:
     """Every row with kept (the bytes left), n_bytes, n_removed and n_spans."""
     new = "kept binary, n_bytes long, n_removed long, n_spans long"
     docs = docs.drop("kept", "n_bytes", "n_removed", "n_spans")
     names = docs.columns
-    starts = recurring(docs, spec(size), text, id)
+    starts = recurring(docs, spec(size, batches), text, id)
     met = docs.withColumns(dict(zip(("row_a", "row_b"), row_key(id, text)))).join(starts, ["row_a", "row_b"], "left").select(*names, "starts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

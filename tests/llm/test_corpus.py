@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from fieldloom.llm import _anchors, _text as t
+from fieldloom.llm import _anchors, _levels, _text as t
 from fieldloom.llm import byte_repeats, fm_index, hilbert_sharding, line_crf, line_runs, pfair_mixing, quality_rules, simhash, tag_paths, word_repeats
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -174,10 +174,19 @@ def byte_reference(texts, size):
     return out
 
 
-@pytest.mark.parametrize("size", [40, 100])
-def test_byte_repeats(docs, rows, size):
+def test_levels_merge_geometrically(spark):
+    family = _levels.SuffixLevels()
+    parts = [[1, 2, 2], [3, 1], [4], [5], [4, 6], [7], [8, 9, 9]]
+    found = [sorted(r.core for r in family.add(spark.createDataFrame([(c,) for c in p], "core long")).collect()) for p in parts]
+    assert found == [[2], [1], [], [], [4], [], [9]]
+    assert [n for n, _, _ in family.levels] == [4, 2, 1]
+    assert sum(table.agg(F.sum("n")).first()[0] for _, table, _ in family.levels) == sum(map(len, parts))
+
+
+@pytest.mark.parametrize(("size", "batches"), [(40, 3), (100, 4)])
+def test_byte_repeats(docs, rows, size, batches):
     want = Counter((r[0], *w) for r, w in zip(rows, byte_reference([(r[1] or "").encode() for r in rows], size)))
-    got = byte_repeats.deduplicated(docs, size=size)
+    got = byte_repeats.deduplicated(docs, size=size, batches=batches)
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got.collect()) == want
 
 
