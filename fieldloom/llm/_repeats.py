@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.llm import _text as t
 from fieldloom.llm._anchors import anchored
+from fieldloom.llm._automata import earlier_matches
 from fieldloom.llm._levels import SuffixLevels
 from fieldloom.llm._tables import release, row_key, saved
 
@@ -39,6 +40,7 @@ class Spec:
 
     elements: from a batch's bytes and offsets, a hasher of the elements and the texts' offsets in them.
     earlier: a window counts if it stands in a row with a lesser order too, else if it stands anywhere else.
+    automata: if over 0, pieces of cores with at most that many are matched by suffix automata, the others by hashes of windows.
     batches: if over 0, the first cores are met by a family of suffix arrays to which that many batches are added.
     """
 
@@ -48,6 +50,7 @@ class Spec:
     blocks: tuple[int, ...]
     elements: Callable[[np.ndarray, np.ndarray], tuple[t.Hasher, np.ndarray]]
     earlier: bool
+    automata: int = 0
     batches: int = 0
 
 
@@ -111,7 +114,62 @@ def _settled(pieces: DataFrame, spec: Spec, last: bool, cores: DataFrame | None
     if last:
         return done, None
     open_cores = saved(wholes.groupBy("core").agg(opened.alias("opened")).filter("opened").select("core"))
-    return done, both.filter(more).join(open_cores, "core").select("uid", "i", "low", "high")
+    return done, both.filter(more).join(open_cores, "core").select("uid", "i", "low", "high", "core")
+
+
+def _packed(codes: np.ndarray) -> np.ndarray:
+    """Five bytes of each code; within a core, which is compared by 64 bits, that tells words apart."""
+    return codes.view(np.uint8).reshape(-1, 8)[:, :5]
+
+
+def _segments(spec: Spec, text: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """One row for each listed piece, with the codes of the elements of its whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in t.slices(batches, text):
+            hashed, at = spec.elements(*t.utf8(t.column(batch, text)))
+            places = np.arange(int(at[-1]))
+            codes = _packed(hashed(places, places + 1)).tobytes()
+            found = t.column(batch, "found")
+            of = np.repeat(np.arange(len(batch)), np.diff(found.offsets.to_numpy()))
+            i, low, high = (found.flatten().field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("i", "low", "high"))
+            begin, end = (i - high + at[of]).tolist(), (i - low + spec.size + at[of]).tolist()
+            take = lambda c: t.column(batch, c).take(pa.array(of))
+            arrays = [found.flatten().field("core"), take("ord"), take("uid"), pa.array((i - high).astype(np.int32)), pa.array([codes[5 * a : 5 * b] for a, b in zip(begin, end)], pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["core", "ord", "uid", "start", "codes"])
+
+    return run
+
+
+def _by_automata(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Streams the pieces of one core after the other, sorted by (core, ord): an automaton of those that came before, then the next."""
+
+    def solved(group: list[tuple]) -> tuple[list[int], list[int]]:
+        segments = [(order, [codes[k : k + 5] for k in range(0, len(codes), 5)]) for order, _, _, codes in group]
+        uids, starts = [], []
+        for (_, uid, start, _), found in zip(group, earlier_matches(segments, size)):
+            uids += [uid] * len(found)
+            starts += [start + k for k in found]
+        return uids, starts
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        core, group = None, []
+        for batch in batches:
+            uids, starts = [], []
+            for c, *row in zip(*(t.column(batch, n).to_pylist() for n in ("core", "ord", "uid", "start", "codes"))):
+                if c != core:
+                    if len(group) > 1:
+                        u, s = solved(group)
+                        uids += u
+                        starts += s
+                    core, group = c, []
+                group.append(tuple(row))
+            yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(starts, pa.int32())], names=["uid", "i"])
+        if len(group) > 1:
+            u, s = solved(group)
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(s, pa.int32())], names=["uid", "i"])
+
+    return run
 
 
 def recurring(docs: DataFrame, spec: Spec, text: str = "text", id: str = "doc_id") -> DataFrame:
@@ -137,6 +195,12 @@ def recurring(docs: DataFrame, spec: Spec, text: str = "text", id: str = "doc_id
 
         return run
 
+    def with_texts(left: DataFrame) -> DataFrame:
+        """Rows that hold listed pieces: uid, ord, text and found, the list."""
+        lists = saved(left.groupBy("uid").agg(F.collect_list(F.struct("i", "low", "high", "core")).alias("found")))
+        release(docs)
+        return keyed.join(rows.join(lists, "uid"), ["row_a", "row_b"]).select("uid", "ord", "found", text)
+
     base = f"uid long, ord long, row_a long, row_b long, pieces array<{PIECE}>"
     first = saved(keyed.mapInArrow(start, base))
     rows = first.select("uid", "row_a", "row_b")
@@ -149,10 +213,17 @@ def recurring(docs: DataFrame, spec: Spec, text: str = "text", id: str = "doc_id
         settled, left = _settled(pieces, spec, False, cores)
         cores = None
         done.append(settled)
-        lists = saved(left.groupBy("uid").agg(F.collect_list(F.struct("i", "low", "high")).alias("found")))
-        release(docs)
-        asked = rows.join(lists, "uid")
-        texts = keyed.join(asked, ["row_a", "row_b"]).select("uid", "ord", "found", text)
+        if spec.automata:
+            left = saved(left)
+            sizes = left.groupBy("core").agg(F.count("*").alias("n"))
+            hot = saved(sizes.filter(F.col("n") > spec.automata).select("core"))
+            few = with_texts(left.join(hot, "core", "left_anti"))
+            segments = few.mapInArrow(_segments(spec, text), "core long, ord long, uid long, start int, codes binary")
+            solved = segments.repartition("core").sortWithinPartitions("core", "ord").mapInArrow(_by_automata(spec.size), "uid long, i int")
+            done.append(saved(solved.select("uid", "i", F.lit(0).alias("low"), F.lit(0).alias("high"))))
+            release(docs)
+            left = left.join(hot, "core", "left_semi")
+        texts = with_texts(left)
         pieces = _exploded(saved(texts.mapInArrow(cut(block), f"uid long, ord long, pieces array<{PIECE}>")))
         release(docs)
     done.append(_settled(pieces, spec, True)[0])

@@ -1,4 +1,19 @@
-"""Substring dedup: words in windows of `size` words that also stand in a row with a lesser id go."""
+"""Substring dedup by suffix automata: words in windows of `size` words that also stand in a row with a lesser id go.
+
+The reference is every document with a lesser id. One automaton of it, or a broadcast one of each of its
+shards, would have to see every document, so work would grow with the square of the corpus. The shards here
+are cut by content instead: passages around a content-defined anchor (see _anchors) go to the shard of
+their core, which every equal window shares. A shard's passages are streamed in order of id: matching
+statistics against the automaton of those before give the windows that stand earlier, then the passage
+joins the automaton. Passages equal as a whole are settled before, by one aggregation, so a
+shard holds different ones only. Shards of more than AUTOMATA passages are split by comparing hashes of
+single windows in combining aggregations, which gives the same result without bound on a shard's size.
+
+Defined results: windows are judged on the input; a null text has no words; texts shorter than a window lose
+nothing; null ids come first, and rows with equal ids do not count as earlier than each other; other
+columns pass through and new ones (kept, n_words, n_removed) replace columns so named; an empty table gives
+an empty result. Ids are whole numbers.
+"""
 
 from __future__ import annotations
 
@@ -14,6 +29,7 @@ from fieldloom.llm._repeats import Spec, recurring
 from fieldloom.llm._tables import row_key, table
 
 SIZE = 50
+AUTOMATA = 256
 
 
 def _words(buf: np.ndarray, at: np.ndarray) -> tuple[t.Hasher, np.ndarray]:
@@ -21,17 +37,17 @@ def _words(buf: np.ndarray, at: np.ndarray) -> tuple[t.Hasher, np.ndarray]:
     return t.Hasher(t.byte_hasher(buf)(start, end)), word_at
 
 
-def spec(size: int = SIZE) -> Spec:
+def spec(size: int = SIZE, automata: int = AUTOMATA) -> Spec:
     k = max(1, min(4, size // 8))
-    return Spec(size, max(1, min(26, size * 5 // 8, size - k + 1)), k, (1,), _words, earlier=True)
+    return Spec(size, max(1, min(26, size * 5 // 8, size - k + 1)), k, (1,), _words, earlier=True, automata=automata)
 
 
-def deduplicated(docs: DataFrame, text: str = "text", id: str = "doc_id", size: int = SIZE) -> DataFrame:
+def deduplicated(docs: DataFrame, text: str = "text", id: str = "doc_id", size: int = SIZE, automata: int = AUTOMATA) -> DataFrame:
     """Every row with kept (the words left, joined by spaces), n_words and n_removed."""
     new = "kept string, n_words long, n_removed long"
     docs = docs.drop("kept", "n_words", "n_removed")
     names = docs.columns
-    starts = recurring(docs, spec(size), text, id)
+    starts = recurring(docs, spec(size, automata), text, id)
     met = docs.withColumns(dict(zip(("row_a", "row_b"), row_key(id, text)))).join(starts, ["row_a", "row_b"], "left").select(*names, "starts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from fieldloom.llm import _anchors, _levels, _text as t
+from fieldloom.llm import _anchors, _automata, _levels, _text as t
 from fieldloom.llm import byte_repeats, fm_index, hilbert_sharding, line_crf, line_runs, pfair_mixing, quality_rules, simhash, tag_paths, word_repeats
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -190,8 +190,20 @@ def test_byte_repeats(docs, rows, size, batches):
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got.collect()) == want
 
 
-@pytest.mark.parametrize("size", [8, 20])
-def test_word_repeats(docs, rows, size):
+def test_automaton_statistics():
+    rng = random.Random(3)
+    for _ in range(40):
+        added = [[rng.randrange(3) for _ in range(rng.randrange(12))] for _ in range(3)]
+        asked = [rng.randrange(3) for _ in range(15)]
+        automaton = _automata.SuffixAutomaton()
+        for x in added:
+            automaton.add(x)
+        runs = {tuple(x[a:b]) for x in added for a in range(len(x)) for b in range(a, len(x) + 1)} | {()}
+        assert list(automaton.statistics(asked)) == [max(k for k in range(e + 2) if tuple(asked[e + 1 - k : e + 1]) in runs) for e in range(len(asked))]
+
+
+@pytest.mark.parametrize(("size", "automata"), [(8, 256), (20, 256), (8, 2), (8, 0)])
+def test_word_repeats(docs, rows, size, automata):
     key = lambda r: -(1 << 63) if r[0] is None else r[0]
     first: dict = {}
     for r in sorted(rows, key=key):
@@ -206,7 +218,7 @@ def test_word_repeats(docs, rows, size):
             if first[tuple(w[p : p + size])] < key(r):
                 gone |= set(range(p, p + size))
         want[(r[0], len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone))] += 1
-    got = word_repeats.deduplicated(docs, size=size)
+    got = word_repeats.deduplicated(docs, size=size, automata=automata)
     assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got.collect()) == want
 
 
