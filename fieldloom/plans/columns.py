@@ -9,7 +9,7 @@ from fieldloom.functions import colour, geometry, hashing, numbers, text
 from fieldloom.plans.tables import points, read
 
 KINDS = [("ring_part", r"(?i)ring"), ("widget_part", r"(?i)widget"), ("bolt_part", r"(?i)bolt"), ("gear_part", r"(?i)^(hot|cold) gear"), ("small_gear", r"(?i)gear")]
-DOCUMENT_POINTS = [(r"(?i)\bthe\b", 20), (r"(?i)license", 25), (r"\|", -15), (r"!!", -40), (r"(?i)\bund\b", 10)]
+DOCUMENT_POINTS = [(r"(?i)(?:^|[ \n])the(?:[ .,]|$)", 20), (r"(?i)license", 25), (r"\|", -15), (r"!!", -40), (r"(?i)(?:^|[ \n])und(?:[ .,]|$)", 10)]
 PROTOTYPES = [("asphalt", 60, 60, 64), ("brick", 150, 80, 65), ("grass", 90, 130, 60), ("gravel", 150, 145, 135), ("sand", 210, 200, 160)]
 PICKS = [("stone", 5), ("gravel", 3), ("dirt", 2)]
 
