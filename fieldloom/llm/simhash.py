@@ -198,7 +198,8 @@ def deduplicated(docs: DataFrame, text: str = "text", id: str = "doc_id", tables
 
     keyed = docs.select(F.col(id).alias("id"), *key, node, F.col(text).alias(text))
     rows = saved(keyed.mapInArrow(run, t.arrow_type(keyed.drop(text), "prints array<long>")))
-    texts = saved(rows.groupBy("node").agg(F.first("prints").alias("prints")))
+    # one row stands for all copies of a text
+    texts = saved(rows.groupBy("node").agg(F.first("prints").alias("prints"), F.min(F.struct("row_a", "row_b")).alias("at")))
     found = []
     for k in range(tables):  # one after the other: the variants of one table at a time take room
         spread = texts.select("node", F.col("prints")[k].alias("simhash"))
@@ -210,8 +211,10 @@ def deduplicated(docs: DataFrame, text: str = "text", id: str = "doc_id", tables
         release(docs)
     pairs = reduce(DataFrame.union, found)
     pairs = saved(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    whole = saved(docs.select(node, F.col(text).alias("x")).join(ends, "node", "left_semi").groupBy("node").agg(F.first("x").alias("x")))
+    ends = saved(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    ends = saved(texts.join(ends, "node").select("node", "at.*"))
+    whole = docs.select(*key, F.col(text).alias("x")).join(ends, ["row_a", "row_b"]).groupBy("node").agg(F.first("x").alias("x"))
+    whole = saved(whole)
     sided = pairs.join(whole.select(F.col("node").alias("a"), F.col("x").alias("xa")), "a").join(whole.select(F.col("node").alias("b"), F.col("x").alias("xb")), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
