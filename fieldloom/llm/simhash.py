@@ -167,6 +167,32 @@ def word_fingerprints(buf: np.ndarray, at: np.ndarray, tables: int) -> np.ndarra
     return out
 
 
+def band_keys(buf: np.ndarray, at: np.ndarray, size: int, bands: int, rows: int) -> np.ndarray:
+    """MinHash keys (texts x bands) of each text's lower-cased word shingles; texts without words agree in all.
+
+    Two texts of similarity s agree in a band with a probability of s ** rows.
+    """
+    raw = t.LOWER[buf]
+    start, end, word_at = t.words(raw, at)
+    n = np.diff(word_at)
+    counts = np.where(n >= size, n - size + 1, n > 0)
+    offsets = np.concatenate([[0], np.cumsum(counts)])
+    begin = np.arange(offsets[-1]) - np.repeat(offsets[:-1] - word_at[:-1], counts)
+    shingles = t.Hasher(t.byte_hasher(raw)(start, end))(begin, begin + np.repeat(np.minimum(n, size), counts))
+    some = np.flatnonzero(counts)
+    factors = np.random.RandomState(20240711).randint(1, 1 << 62, (bands, rows), dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+    keys = np.empty((len(n), bands), np.int64)
+    for k in range(bands):
+        key = np.full(len(n), k, np.uint64)
+        for factor in factors[k]:
+            least = np.full(len(n), ~np.uint64(0))
+            if len(some):
+                least[some] = np.minimum.reduceat(shingles * factor, offsets[some])
+            key = t.mix((key ^ least) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
+        keys[:, k] = key.view(np.int64)
+    return keys
+
+
 def similarity(a: str, b: str, shingle: int = 5) -> float:
     """Jaccard similarity of the sets of word shingles; of a text with fewer words, the whole sequence is one."""
     sets = []
@@ -180,10 +206,11 @@ def similarity(a: str, b: str, shingle: int = 5) -> float:
     return both / whole if whole else 1.0
 
 
-def deduplicated(docs: DataFrame, text: str = "text", id: str = "doc_id", tables: int = 6, radius: int = 2, shingle: int = 5, least: float = 0.8) -> DataFrame:
+def deduplicated(docs: DataFrame, text: str = "text", id: str = "doc_id", tables: int = 6, radius: int = 2, shingle: int = 5, least: float = 0.8, bands: int = 24, band_rows: int = 4) -> DataFrame:
     """The rows without near copies: of each group the one with the least id stays.
 
-    Candidates meet in any of `tables` independent fingerprints of words; each is verified by the
+    Candidates meet in any of `tables` independent fingerprints of words or in any of `bands` MinHash bands of
+    word shingles (a pair of similarity 0.8 misses all 24 bands with a probability of 3e-6); each is verified by the
     similarity of word shingles. Null and empty texts are one group. Rows equal in every column count as one.
     """
     names = docs.columns
@@ -192,14 +219,15 @@ def deduplicated(docs: DataFrame, text: str = "text", id: str = "doc_id", tables
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in t.slices(batches, text):
-            prints = word_fingerprints(*t.utf8(t.column(batch, text)), tables)
+            buf, at = t.utf8(t.column(batch, text))
+            keys = [pa.array(list(x), pa.list_(pa.int64())) for x in (word_fingerprints(buf, at, tables), band_keys(buf, at, shingle, bands, band_rows))]
             rest = [t.column(batch, c) for c in ("id", "row_a", "row_b", "node")]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(list(prints), pa.list_(pa.int64()))], names=["id", "row_a", "row_b", "node", "prints"])
+            yield pa.RecordBatch.from_arrays([*rest, *keys], names=["id", "row_a", "row_b", "node", "prints", "bands"])
 
     keyed = docs.select(F.col(id).alias("id"), *key, node, F.col(text).alias(text))
-    rows = saved(keyed.mapInArrow(run, t.arrow_type(keyed.drop(text), "prints array<long>")))
+    rows = saved(keyed.mapInArrow(run, t.arrow_type(keyed.drop(text), "prints array<long>, bands array<long>")))
     # one row stands for all copies of a text
-    texts = saved(rows.groupBy("node").agg(F.first("prints").alias("prints"), F.min(F.struct("row_a", "row_b")).alias("at")))
+    texts = saved(rows.groupBy("node").agg(F.first("prints").alias("prints"), F.first("bands").alias("bands"), F.min(F.struct("row_a", "row_b")).alias("at")))
     found = []
     for k in range(tables):  # one after the other: the variants of one table at a time take room
         spread = texts.select("node", F.col("prints")[k].alias("simhash"))
@@ -209,20 +237,28 @@ def deduplicated(docs: DataFrame, text: str = "text", id: str = "doc_id", tables
         found.append(saved(to_rep.union(linked.select("x.rep", "y.rep")).filter("a <> b")))
         del linked, to_rep
         release(docs)
-    pairs = reduce(DataFrame.union, found)
-    pairs = saved(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    ends = saved(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    ends = saved(texts.join(ends, "node").select("node", "at.*"))
+    spread = texts.select("node", F.explode("bands").alias("key"))
+    groups = saved(spread.groupBy("key").agg(F.min("node").alias("rep"), F.count("*").alias("n")).filter("n > 1"))
+    members = saved(spread.join(groups, "key"))
+    found.append(members.filter("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b")))
+    # texts that meet others: all that any pair can need
+    ends = reduce(DataFrame.union, found[:-1]).select(F.explode(F.array("a", "b")).alias("node")).union(members.select("node")).distinct()
+    ends = saved(texts.join(saved(ends), "node").select("node", "at.*"))
     whole = docs.select(*key, F.col(text).alias("x")).join(ends, ["row_a", "row_b"]).groupBy("node").agg(F.first("x").alias("x"))
     whole = saved(whole)
-    sided = pairs.join(whole.select(F.col("node").alias("a"), F.col("x").alias("xa")), "a").join(whole.select(F.col("node").alias("b"), F.col("x").alias("xb")), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = [similarity(p or "", q or "", shingle) >= least for p, q in zip(t.column(batch, "xa").to_pylist(), t.column(batch, "xb").to_pylist())]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    roots = components(sided.mapInArrow(verify, "a binary, b binary"))
+    def near(pairs: DataFrame) -> DataFrame:
+        pairs = saved(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        sided = pairs.join(whole.select(F.col("node").alias("a"), F.col("x").alias("xa")), "a").join(whole.select(F.col("node").alias("b"), F.col("x").alias("xb")), "b")
+        return saved(sided.mapInArrow(verify, "a binary, b binary"))
+
+    edges = near(reduce(DataFrame.union, found))
+    roots = components(edges)
     release(docs)
     member = rows.join(roots, rows.node == roots.node, "left").select(rows.id.alias("id"), "row_a", "row_b", F.coalesce("root", rows.node).alias("root"))
     stay = member.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row_a", "row_b")).alias("m")).select("m.row_a", "m.row_b")

@@ -290,6 +290,35 @@ def test_deduplicated_keeps_one_of_each_group(spark):
     assert sum(10 <= k <= 15 for k in kept) <= 2
 
 
+def kept_by_brute_force(texts):
+    """The least index of each component of all pairs at 0.8 or more."""
+    sets = []
+    for x in texts:
+        w = x.lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    group = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and group[i] != group[j]:
+                a, b = sorted((group[i], group[j]))
+                group = [a if g == b else g for g in group]
+    return sorted(set(group))
+
+
+def test_deduplicated_finds_all_pairs_with_blocks_added_or_cut(spark):
+    rng = random.Random(11)
+    make = lambda n: [f"w{rng.randrange(2000)}" for _ in range(n)]
+    texts = []
+    for _ in range(40):
+        base = make(rng.randrange(150, 400))
+        n, at = len(base), rng.randrange(len(base))
+        texts += [base, base[:at] + make(n * 18 // 100) + base[at:], base[n // 7 :]]
+    texts = [" ".join(x) for x in texts]
+    want = kept_by_brute_force(texts)
+    got = simhash.deduplicated(spark.createDataFrame([(i, x, "en", "s", 1) for i, x in enumerate(texts)], SCHEMA))
+    assert sorted(r.doc_id for r in got.collect()) == want and len(want) < 60
+
+
 def test_similarity():
     assert simhash.similarity("a b c d e f", "A b c d e f") == 1.0
     assert simhash.similarity("a b", "a b") == 1.0 and simhash.similarity("", "") == 1.0 and simhash.similarity("a", "") == 0.0
