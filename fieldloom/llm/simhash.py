@@ -206,12 +206,12 @@ def similarity(a: str, b: str, shingle: int = 5) -> float:
     return both / whole if whole else 1.0
 
 
-def deduplicated(docs: DataFrame, text: str = "text", id: str = "doc_id", tables: int = 6, radius: int = 2, shingle: int = 5, least: float = 0.8, bands: int = 24, band_rows: int = 4) -> DataFrame:
+def deduplicated(docs: DataFrame, text: str = "text", id: str = "doc_id", tables: int = 6, radius: int = 2, shingle: int = 5, least: float = 0.8, bands: int = 24, band_rows: int = 4, step: int = 32) -> DataFrame:
     """The rows without near copies: of each group the one with the least id stays.
 
     Candidates meet in any of `tables` independent fingerprints of words or in any of `bands` MinHash bands of
     word shingles (a pair of similarity 0.8 misses all 24 bands with a probability of 3e-6); each is verified by the
-    similarity of word shingles. Null and empty texts are one group. Rows equal in every column count as one.
+    similarity of word shingles. All members of a band's group are compared, but for those already in one component. Null and empty texts are one group. Rows equal in every column count as one.
     """
     names = docs.columns
     key = row_key(*names)
@@ -260,6 +260,25 @@ def deduplicated(docs: DataFrame, text: str = "text", id: str = "doc_id", tables
     edges = near(reduce(DataFrame.union, found))
     roots = components(edges)
     release(docs)
+    # a group's members are near its rep or not; those of different components then meet the next `step` ones, and so on, until
+    # all have met or are one component
+    members, low = members.filter("n > 2"), 1
+    while True:
+        state = members.filter(F.col("n") > low + 1).join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
+        state = saved(state.select("key", "node", "rep", "n", F.coalesce("root", "node").alias("root")))
+        parted = saved(state.groupBy("key").agg(F.min("root").alias("first"), F.max("root").alias("last")).filter("first <> last").select("key"))
+        if parted.isEmpty():
+            break
+        members = saved(state.join(parted, "key").drop("root"))
+        rest = state.join(parted, "key").filter("node <> rep")
+        ahead = F.collect_list(F.struct("node", "root")).over(Window.partitionBy("key").orderBy("node").rowsBetween(low, low + step - 1))
+        met = rest.withColumn("ahead", ahead).select("root", F.col("node").alias("a"), F.explode("ahead").alias("to"))
+        more = near(met.filter("root <> to.root").select("a", F.col("to.node").alias("b")))
+        if not more.isEmpty():
+            edges = edges.union(more)
+            roots = components(edges)
+        low += step
+        release(docs)
     member = rows.join(roots, rows.node == roots.node, "left").select(rows.id.alias("id"), "row_a", "row_b", F.coalesce("root", rows.node).alias("root"))
     stay = member.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row_a", "row_b")).alias("m")).select("m.row_a", "m.row_b")
     kept = docs.withColumns({"row_a": key[0], "row_b": key[1]}).join(stay, ["row_a", "row_b"])

@@ -319,6 +319,19 @@ def test_deduplicated_finds_all_pairs_with_blocks_added_or_cut(spark):
     assert sorted(r.doc_id for r in got.collect()) == want and len(want) < 60
 
 
+def test_deduplicated_compares_all_of_a_group(spark):
+    rng = random.Random(12)
+    make = lambda n: [f"w{rng.randrange(2000)}" for _ in range(n)]
+    texts = []
+    for _ in range(12):  # the copies share a group with texts that are like them, but under 0.8
+        base = make(300)
+        texts += [base, base[:100] + make(55) + base[100:]] + [base[:k] + make(90) + base[k:] for k in range(20, 280, 5)]
+    texts = [" ".join(x) for x in texts]
+    want = kept_by_brute_force(texts)
+    got = simhash.deduplicated(spark.createDataFrame([(i, x, "en", "s", 1) for i, x in enumerate(texts)], SCHEMA))
+    assert sorted(r.doc_id for r in got.collect()) == want and len(want) > 500
+
+
 def test_similarity():
     assert simhash.similarity("a b c d e f", "A b c d e f") == 1.0
     assert simhash.similarity("a b", "a b") == 1.0 and simhash.similarity("", "") == 1.0 and simhash.similarity("a", "") == 0.0
