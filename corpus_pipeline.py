@@ -1,7 +1,7 @@
 """A corpus pipeline: quality rules, near-dedup, decontamination, mixing, sharding.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns
-of documents. run() writes every stage as a table in the shared folder and reads it again.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last two return the columns
+of documents; mixing adds each row's place in the mix (mix), which decides the slots of the shards. run() writes every stage as a table in the shared folder and reads it again.
 """
 
 from __future__ import annotations
@@ -28,13 +28,13 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, written in the order of the mix."""
+    """All documents in the order of the mix, with their place in it."""
     return pfair_mixing.mixed(docs)
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their shard and slot."""
-    return hilbert_sharding.sharded(docs)
+    """All documents with their shard and slot; slots follow the mix."""
+    return hilbert_sharding.sharded(docs, order="mix")
 
 
 STAGES = [

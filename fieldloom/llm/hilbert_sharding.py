@@ -29,6 +29,7 @@ from fieldloom.llm._tables import table
 
 SUBCELLS = 64
 BITS = 3
+ORDER_RANGE = 1 << 15
 NEW = ("hilbert", "position", "shard", "slot")
 
 
@@ -113,8 +114,11 @@ def metadata(id: str = "doc_id", text: str = "text", source: str = "source", lan
     }
 
 
-def sharded(docs: DataFrame, shards: int = 8, law: str = "rows", bits: int = BITS, dimensions: dict[str, Column] | None = None, id: str = "doc_id", text: str = "text", size: Column | None = None) -> DataFrame:
-    """Every row with its place on the curve (hilbert), position in the whole order, shard and slot in the shard."""
+def sharded(docs: DataFrame, shards: int = 8, law: str = "rows", bits: int = BITS, dimensions: dict[str, Column] | None = None, id: str = "doc_id", text: str = "text", size: Column | None = None, order: str | None = None) -> DataFrame:
+    """Every row with its place on the curve (hilbert), position in the whole order, shard and slot in the shard.
+
+    order: a column of whole numbers that decides the slots of a shard's rows; without it they follow the position.
+    """
     if law not in ("rows", "bytes"):
         raise ValueError(f"law must be rows or bytes, not {law}")
     keep = [c for c in docs.columns if c not in NEW]
@@ -137,10 +141,24 @@ def sharded(docs: DataFrame, shards: int = 8, law: str = "rows", bits: int = BIT
     ranked = ranked.join(firsts, ["hilbert", "_part"]).withColumn("position", F.col("_first_n") + F.col("_row") - 1)
     if law == "rows":
         ranked = ranked.withColumn("shard", F.expr(f"position * {shards} div {n}").cast("int"))
-        return ranked.withColumn("slot", F.col("position") - F.expr(f"(shard * {n}L + {shards - 1}) div {shards}")).select(*keep, *NEW)
-    ranked = ranked.withColumn("shard", F.expr(f"cast((_first_b + coalesce(_run, 0)) * {shards} div {b} as int)"))
-    starts = ranked.groupBy("shard").agg(F.min("position").alias("_start"))
-    return ranked.join(F.broadcast(starts), "shard").withColumn("slot", F.col("position") - F.col("_start")).select(*keep, *NEW)
+        if order is None:
+            return ranked.withColumn("slot", F.col("position") - F.expr(f"(shard * {n}L + {shards - 1}) div {shards}")).select(*keep, *NEW)
+    else:
+        ranked = ranked.withColumn("shard", F.expr(f"cast((_first_b + coalesce(_run, 0)) * {shards} div {b} as int)"))
+        if order is None:
+            starts = ranked.groupBy("shard").agg(F.min("position").alias("_start"))
+            return ranked.join(F.broadcast(starts), "shard").withColumn("slot", F.col("position") - F.col("_start")).select(*keep, *NEW)
+    return _slotted(ranked, order, id).select(*keep, *NEW)
+
+
+def _slotted(placed: DataFrame, order: str, id: str) -> DataFrame:
+    """Adds the slot in the shard by `order` (null first): counts of ranges of ORDER_RANGE give first slots, so no task sorts a shard."""
+    placed = placed.withColumn("_range", F.coalesce(F.floor(F.col(order) / ORDER_RANGE), F.lit(-1)).cast("long"))
+    counts = placed.groupBy("shard", "_range").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("shard").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = counts.select("shard", "_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_first"))
+    within = F.row_number().over(Window.partitionBy("shard", "_range").orderBy(order, "_tie", id, "_text"))
+    return placed.withColumn("_nth", within).join(firsts, ["shard", "_range"]).withColumn("slot", F.col("_first") + F.col("_nth") - 1)
 
 
 def op1_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -487,5 +487,22 @@ def test_pipeline(spark, sf_dir):
     assert len(ids) == len(set(ids)) and 0.4 * source.count() < len(ids) < source.count()
 
 
+def test_target_weights_hold_in_the_rows_of_the_pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    got = corpus_pipeline.run(spark, sf_dir).select("source", "shard", "slot", "mix").collect()
+    for s in {r.shard for r in got}:
+        inside = sorted((r for r in got if r.shard == s), key=lambda r: r.slot)
+        assert [r.slot for r in inside] == list(range(len(inside))) and all(a.mix < b.mix for a, b in zip(inside, inside[1:]))
+    counts = Counter(r.source for r in got)
+    blocks = {s: -(-n // pfair_mixing.BLOCK_ROWS) for s, n in counts.items()}
+    total, seen = sum(n**0.5 for n in counts.values()), Counter()
+    for k, (_, source) in enumerate(sorted({(r.mix // pfair_mixing.BLOCK_ROWS, r.source) for r in got}), 1):
+        seen[source] += 1
+        assert all(abs(seen[s] - k * n**0.5 / total) < 1.05 for s, n in counts.items())
+        if seen[source] == blocks[source]:
+            break
+
+
 def test_digest():
     assert fm_index.items_digest([]) == hashlib.sha256(b"").hexdigest()
