@@ -421,6 +421,19 @@ def test_stretches_keep_every_source_within_a_block():
                 assert all(abs(got[s] - w * (slot - begin + 1)) < 1 for s, w in target.items())
 
 
+def test_stretches_keep_the_weights_given():
+    blocks = {f"s{i:02}": 3000 if i else 12000 for i in range(20)}
+    weights = {s: n**0.5 for s, n in blocks.items()}
+    plan = [p for p in pfair_mixing.stretches(blocks, weights) if p[3] == 0]
+    total = sum(weights.values())
+    used = {slots[(i - a) % share] + (i - a) // share * period: s for s, a, b, _, share, period, slots in plan for i in range(a, b)}
+    assert sorted(used) == list(range(len(used))) and len(used) > 30000
+    got = dict.fromkeys(weights, 0)
+    for slot in range(len(used)):
+        got[used[slot]] += 1
+        assert all(abs(got[s] - w * (slot + 1) / total) < 1 + 1e-6 for s, w in weights.items())
+
+
 def test_mixing_keeps_all_rows(docs, rows):
     got = pfair_mixing.scheduled(docs, {"s0": 3.0, "s1": 1.0}, block_rows=4).collect()
     assert Counter((r.doc_id, r.text) for r in got) == Counter((r[0], r[1]) for r in rows)
