@@ -442,6 +442,17 @@ def test_mixing_keeps_all_rows(docs, rows):
     assert Counter((r.doc_id, r.text) for r in pfair_mixing.mixed(docs).collect()) == Counter((r[0], r[1]) for r in rows)
 
 
+def test_mixing_takes_any_number_of_sources(spark):
+    rows = [(i, f"t{i}", "en", f"s{i % 700}" if i < 2000 else "hot", 1) for i in range(3000)]
+    many = spark.createDataFrame(rows, SCHEMA)
+    for weights in (None, {"s699": 5.0, "hot": 9.0}):
+        got = pfair_mixing.scheduled(many, weights).collect()
+        assert Counter((r.doc_id, r.source) for r in got) == Counter((r[0], r[3]) for r in rows)
+        assert len({(r.slot, r.offset) for r in got}) == len(rows) and {r.slot for r in got} == set(range(max(r.slot for r in got) + 1))
+        hot = [r.slot for r in got if r.source == "hot"]
+        assert {r.source for r in got if r.slot in set(hot)} == {"hot"}
+
+
 # 9 rules
 
 
