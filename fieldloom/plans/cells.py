@@ -75,7 +75,7 @@ def greedy_spacing(spark: SparkSession, d: str) -> DataFrame:
 
 
 def continuity_choice(spark: SparkSession, d: str) -> DataFrame:
-    rows = read(spark, d, "lineitem").filter("l_orderkey % 20 = 0").select("l_orderkey", "l_linenumber", (F.col("l_linenumber") * 10.0).cast("double").alias("measure"), (F.col("l_quantity") + 0.0).alias("value"), (F.col("l_discount") * 100).alias("quality")).dropDuplicates(["l_orderkey", "l_linenumber", "value"])
+    rows = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_linenumber") * 10.0).cast("double").alias("measure"), (F.col("l_quantity") + 0.0).alias("value"), (F.col("l_discount") * 100).alias("quality")).dropDuplicates(["l_orderkey", "l_linenumber", "value"])
     return graphs.continuity_choice(rows.drop("quality").withColumn("quality", F.pmod(F.col("value"), F.lit(7.0))), "l_orderkey", "l_linenumber", "measure", "value", "quality").select("l_orderkey", "l_linenumber", "value", "chosen")
 
 

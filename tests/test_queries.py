@@ -22,3 +22,8 @@ def test_entry(spark, sf_dir):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_continuity_choice_takes_all_orders(spark, sf_dir):
+    got = catalogue.QUERIES["continuity_choice"](spark, sf_dir).select("l_orderkey").distinct().count()
+    assert got == spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey").distinct().count()
