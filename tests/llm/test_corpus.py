@@ -225,24 +225,45 @@ def test_word_repeats(docs, rows, size, automata):
 # 4 lines
 
 
-@pytest.mark.parametrize("run", [1, 2, 3])
-def test_line_runs(docs, rows, run):
+def line_reference(rows, run):
+    """Lines that go and maximal repeated runs, by comparing every suffix with all that come before it."""
     distinct = sorted({(r[0], r[1]) for r in rows if r[1] is not None}, key=lambda r: (r[0] is not None, r[0]))
-    first: dict = {}
+    suffixes, longest = [], {}
     for i, x in distinct:
         lines = x.split("\n")
-        for p in range(len(lines) - run + 1):
-            first.setdefault(tuple(lines[p : p + run]), (i, p))
+        for p in range(len(lines)):
+            agree = lambda q, r, lines=lines, p=p: next((k for k in range(min(len(lines) - p, len(q) - r)) if lines[p + k] != q[r + k]), min(len(lines) - p, len(q) - r))
+            longest[i, p] = max((agree(q, r) for q, r in suffixes), default=0)
+            suffixes.append((lines, p))
     want = Counter()
     for r in rows:
-        lines, gone = ([] if r[1] is None else r[1].split("\n")), set()
-        for p in range(len(lines) - run + 1):
-            if first[tuple(lines[p : p + run])] != (r[0], p):
-                gone |= set(range(p, p + run))
+        lines = [] if r[1] is None else r[1].split("\n")
+        size = [longest[r[0], p] if longest[r[0], p] >= run else 0 for p in range(len(lines))]
+        gone = {k for p, n in enumerate(size) for k in range(p, p + n)}
         kept = None if r[1] is None else "\n".join(x for i, x in enumerate(lines) if i not in gone)
-        want[(r[0], kept, len(gone), sum(1 for g in gone if g - 1 not in gone))] += 1
+        want[(r[0], kept, len(gone), sum(1 for p, n in enumerate(size) if n and (p == 0 or size[p - 1] <= n)))] += 1
+    return want
+
+
+@pytest.mark.parametrize("run", [1, 2, 3])
+def test_line_runs(docs, rows, run):
     got = line_runs.deduplicated(docs.withColumn("kept", F.lit(0)), min_run=run)
-    assert counted(got, "doc_id", "kept", "n_removed", "n_runs") == want
+    assert counted(got, "doc_id", "kept", "n_removed", "n_runs") == line_reference(rows, run)
+
+
+def test_line_runs_are_maximal_repeats(spark):
+    texts = ["a\nb\nq", "r\nb\nc", "a\nb\nc", "x\n" * 40, "y\nx\nx\nx", "a\nb\nq\nr\nb\nc"]
+    rows = [(i, x, "en", "s", 1) for i, x in enumerate(texts)]
+    got = line_runs.deduplicated(spark.createDataFrame(rows, SCHEMA), min_run=2)
+    assert counted(got, "doc_id", "kept", "n_removed", "n_runs") == line_reference(rows, 2)
+    assert {r.doc_id: r.n_runs for r in got.collect()}[2] == 2  # a b of one document and b c of another
+
+
+def test_line_runs_of_random_lines(spark):
+    rng = random.Random(5)
+    rows = [(i, "\n".join(rng.choice("ab") for _ in range(rng.randrange(30))), "en", "s", 1) for i in range(12)]
+    got = line_runs.deduplicated(spark.createDataFrame(rows, SCHEMA))
+    assert counted(got, "doc_id", "kept", "n_removed", "n_runs") == line_reference(rows, 2)
 
 
 # 5 near copies
