@@ -1,17 +1,21 @@
 """Main text of web pages by tag-path ratios.
 
-Every text node belongs to its path of tags from the root. Text length and punctuation are
-summed per path (with the class or id of each element, so that equal tags of different
-parts stay apart); long, punctuated text that fills few nodes marks content, many short
-nodes mark menus. The path ratios of the nodes are smoothed over the page order, length
-and punctuation ratios are fused, and the paths whose fused ratio passes a threshold set
-from their spread point at the content. The content root is the deepest element that holds
-the selected paths' weight; its blocks are the text, without elements that never are content
-(menus, headers, footers, asides, forms, scripts, styles, adverts, notices, comments).
-
-Defined results: null, empty and text-free pages give an empty text; open and misnested
-tags are closed as browsers do; whole pages are read, nothing is cut off; repeated pages
-give equal texts; other columns pass through.
+Every block of text belongs to its path of tags from the root (with the class or id of each element,
+so that equal tags of different parts stay apart). Text length and punctuation are summed per path;
+long, punctuated text that fills few blocks marks content, many short blocks mark menus. The ratios are
+smoothed over the page order, length and punctuation ratios are fused, the smoothed value is tempered by
+the path's own, and paths that reach a part of the page's mean are selected.
+
+The content root is the deepest element that holds most of the selected text; it grows to the article around
+it, and to a parent with headings or selected paragraphs of its own. Below the root, named containers
+and link lists without any selected path go. Tags and names that never are content (menus, headers, footers, asides,
+forms, scripts, styles, adverts, notices, comments) are left out before; a name counts for
+nothing where its element holds an article or main part and more text than all that has no such name.
+
+Defined results: null, empty and text-free pages give an empty text; open and misnested tags are closed and
+quotes in attributes read as browsers do (a quote without an end takes the rest of the page);
+whole pages are read, nothing is cut off, and work is linear in the page however deep it nests;
+repeated pages give equal texts; other columns pass through, a column named like the result is replaced.
 """
 
 from __future__ import annotations
@@ -43,36 +47,60 @@ CLOSED_BY = {
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "option": frozenset(["option", "optgroup"]),
     "tr": frozenset(["tr", "tbody", "tfoot"]), "td": frozenset(["td", "th", "tr", "tbody", "tfoot"]), "th": frozenset(["td", "th", "tr", "tbody", "tfoot"]), "head": frozenset(["body"]),
 }
+#: For each start tag, the open elements that it may close.
+CLOSES = {tag: tuple(x for x, by in CLOSED_BY.items() if tag in by) for tag in frozenset().union(*CLOSED_BY.values())}
+LISTS = frozenset("ul ol dl menu".split())
+CONTAINERS = frozenset("div section".split())
+#: Elements that hold a part of a text, never a whole one.
+HOLDERS = HEADINGS | frozenset(CLOSED_BY) | LISTS | frozenset("table tbody thead tfoot caption pre blockquote figure figcaption details address".split())
+OWN_TEXT = HEADINGS | frozenset(["p"])
 LIST_SCOPE = frozenset(["ul", "ol", "menu", "table", "body", "html", "article", "div", "section", "main"])
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?/][^a-zA-Z>][^>]*>?|<[!?][^>]*>?|</>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]+|=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))|=)*+)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 SPACE = re.compile(r"\s+")
 MARKS = re.compile(r"[.,;:!?。，？！…]")
 
 
 class Element:
-    __slots__ = ("tag", "key", "parent", "aside", "weight", "depth")
+    """An element; path numbers its path of tags and names, beside tells why it is no content: 0 it may be, 1 by its name, 2 by its tag."""
+
+    __slots__ = ("beside", "block", "has_article", "here", "inside", "linked", "named", "parent", "path", "picked", "size", "tag")
 
-    def __init__(self, tag: str, key: str, parent: Element | None, aside: bool):
-        self.tag, self.key, self.parent, self.aside, self.weight = tag, key, parent, aside, 0.0
-        self.depth = parent.depth + 1 if parent else 0
+    def __init__(self, tag: str, path: int, parent: Element | None, beside: int, named: bool):
+        self.tag, self.path, self.parent, self.beside, self.named = tag, path, parent, beside, named
+        self.block = parent.block if parent is not None and tag in INLINE else self
+        self.size, self.linked, self.picked, self.here, self.inside, self.has_article = 0, 0, 0.0, False, False, False
 
 
-def _beside(tag: str, attributes: str) -> tuple[bool, str]:
+def _beside(tag: str, attributes: str) -> tuple[int, str]:
     """Whether an element never is content, and its names."""
     if not attributes or attributes.isspace():
-        return tag in SKIPPED, ""
+        return 2 * (tag in SKIPPED), ""
     got = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(attributes)}
     names = f"{got.get('class', '')} {got.get('id', '')} {got.get('role', '')}".strip()
-    unseen = "hidden" in got or got.get("aria-hidden") == "true" or "display:none" in got.get("style", "").replace(" ", "").lower()
-    return tag in SKIPPED or unseen or bool(names and tag not in ("html", "body", "article", "main") and ASIDE.search(names)), names
+    if tag in SKIPPED or "hidden" in got or got.get("aria-hidden") == "true" or "display:none" in got.get("style", "").replace(" ", "").lower():
+        return 2, names
+    return int(bool(names and tag not in ("html", "body", "article", "main") and ASIDE.search(names))), names
 
 
-def text_nodes(page: str) -> Iterator[tuple[Element, str | None]]:
-    """(element, decoded text) in page order; the text None marks a break between blocks."""
-    root = here = Element("", "", None, False)
+def text_nodes(page: str, elements: list[Element]) -> Iterator[tuple[Element, str | None]]:
+    """(element, decoded text) in page order; the text None marks a break between blocks. Elements are listed parents first."""
+    paths: dict[tuple[int, str], int] = {}
+    root = here = Element("", 0, None, 0, False)
+    elements.append(root)
+    opened: dict[str, int] = defaultdict(int)
     lower = None
     at, n = 0, len(page)
+
+    def close(last: Element) -> None:
+        nonlocal here
+        while True:
+            opened[here.tag] -= 1
+            done = here is last
+            here = here.parent
+            if done:
+                return
+
     while at < n:
         found = TOKEN.search(page, at)
         begin = found.start() if found else n
@@ -82,17 +110,17 @@ def text_nodes(page: str) -> Iterator[tuple[Element, str | None]]:
             return
         at = found.end()
         name = found[2]
-        if name is None:
+        if name is None or page[at - 1] != ">":
             continue
         tag = name.lower()
         if found[1]:
-            up = here
-            while up is not root and up.tag != tag:
-                up = up.parent
-            if up is not root:
+            if opened[tag] > 0:
+                up = here
+                while up.tag != tag:
+                    up = up.parent
                 if tag not in INLINE:
                     yield here, None
-                here = up.parent
+                close(up)
             elif tag in ("p", "br"):
                 yield here, None
             continue
@@ -100,87 +128,148 @@ def text_nodes(page: str) -> Iterator[tuple[Element, str | None]]:
             yield here, None
         if tag in VOID:
             continue
-        up = here
-        while up is not root:
-            closers = CLOSED_BY.get(up.tag)
-            if closers and tag in closers:
-                here = up.parent
-                break
-            if up.tag in LIST_SCOPE or (up.tag not in INLINE and up.tag not in CLOSED_BY):
-                break
-            up = up.parent
+        if any(opened[x] > 0 for x in CLOSES.get(tag, ())):
+            up = here
+            while up is not root:
+                if tag in CLOSED_BY.get(up.tag, ()):
+                    close(up)
+                    break
+                if up.tag in LIST_SCOPE or (up.tag not in INLINE and up.tag not in CLOSED_BY):
+                    break
+                up = up.parent
         beside, names = _beside(tag, found[3])
-        child = Element(tag, f"{here.key}/{tag}" + (f".{names}" if names else ""), here, here.aside or beside)
+        path = paths.setdefault((here.path, f"{tag}.{names}" if names else tag), len(paths) + 1)
+        child = Element(tag, path, here, max(beside, 2 * (here.beside == 2)), bool(names))
+        elements.append(child)
         if tag in RAW:
             lower = page.lower() if lower is None else lower
             end = lower.find(f"</{tag}", at)
             stop = n if end < 0 else end
             if tag in ("textarea", "title"):
                 yield child, html.unescape(page[at:stop])
-            close = n if end < 0 else page.find(">", end)
-            at = n if close < 0 or end < 0 else close + 1
+            close_at = n if end < 0 else page.find(">", end)
+            at = n if close_at < 0 or end < 0 else close_at + 1
             continue
         if found[3].rstrip().endswith("/") and tag not in ("p", "div", "a", "span"):
             continue
         here = child
+        opened[tag] += 1
+
+
+def path_values(blocks: list[tuple[int, int, int]], width: int) -> dict[int, float]:
+    """The fused, smoothed and tempered ratio of each path, from (path, length, marks) of the blocks in page order."""
+    length, marks, count = defaultdict(int), defaultdict(int), defaultdict(int)
+    for path, size, points in blocks:
+        length[path] += size
+        marks[path] += points
+        count[path] += 1
+    ratio = np.array([length[p] / count[p] for p, _, _ in blocks])
+    points = np.array([(marks[p] + 1) / count[p] for p, _, _ in blocks])
+    window = np.ones(min(2 * width + 1, len(blocks)))
+    smooth = lambda v: np.convolve(v, window, "same") / np.convolve(np.ones(len(v)), window, "same")
+    near = np.sqrt(smooth(ratio) * smooth(points))
+    total: dict[int, float] = defaultdict(float)
+    for (p, _, _), f in zip(blocks, near.tolist()):
+        total[p] += f
+    return {p: math.sqrt(total[p] / count[p] * math.sqrt(length[p] / count[p] * (marks[p] + 1) / count[p])) for p in count}
+
 
+def _unnamed(elements: list[Element]) -> None:
+    """Names count for nothing on elements that hold an article or main part and more text than all that has no such name; children inherit what is left."""
+    for e in reversed(elements[1:]):
+        e.parent.has_article |= e.has_article or e.tag in ("article", "main")
+    plain = elements[0].size
+    for e in elements[1:]:
+        e.inside = e.parent.inside or e.beside == 1  # below a name, for the sum alone
+        if e.beside == 1 and not e.parent.inside:
+            plain -= e.size
+    for e in elements:
+        if e.beside == 1 and e.has_article and e.size > plain:
+            e.beside = 0
+        if e.parent is not None and e.parent.beside:
+            e.beside = e.parent.beside
 
-def main_text(page: str, width: int = 1, threshold: float = 0.5, hold: float = 0.6) -> str:
+
+def main_text(page: str, width: int = 1, threshold: float = 0.35, hold: float = 0.6) -> str:
     """The content blocks of a page, one a line.
 
-    width: text nodes on either side that are smoothed over; threshold: parts of the standard
-    deviation of the fused ratios that a path must reach; hold: share of the selected paths'
-    weight that the content root must keep.
+    width: blocks on either side that are smoothed over; threshold: part of the mean path value (weighted by
+    length) that a path must reach; hold: share of the selected text that the content root must keep.
     """
-    nodes = [(e, x if x is None else SPACE.sub(" ", x)) for e, x in text_nodes(page)]
-    spoken = [(e, x) for e, x in nodes if x is not None and x != " " and x and not e.aside]
-    if not spoken:
+    elements: list[Element] = []
+    nodes = [(e, x if x is None else SPACE.sub(" ", x)) for e, x in text_nodes(page, elements)]
+    for e, x in nodes:
+        if x is not None and e.beside < 2:
+            e.size += len(x.strip())
+    links = [e.tag == "a" or False for e in elements]
+    index = {id(e): k for k, e in enumerate(elements)}
+    for k, e in enumerate(elements):
+        links[k] = links[k] or (e.parent is not None and links[index[id(e.parent)]])
+        e.linked = e.size if links[k] else 0
+    for e in reversed(elements[1:]):
+        e.parent.size += e.size
+        e.parent.linked += e.linked
+    _unnamed(elements)
+
+    # blocks of text: path of the block's element, length, marks
+    blocks: list[tuple[int, int, int]] = []
+    of: list[Element] = []
+    size = points = 0
+    last: Element | None = None
+    for e, x in [*nodes, (elements[0], None)]:
+        if size and (x is None or e.block is not last):
+            blocks.append((last.path, size, points))
+            of.append(last)
+            size = points = 0
+        if x is not None and not e.beside and x.strip():
+            last = e.block
+            size += len(x.strip())
+            points += len(MARKS.findall(x))
+    if not blocks:
         return ""
-    length, marks, count = defaultdict(int), defaultdict(int), defaultdict(int)
-    for e, x in spoken:
-        length[e.key] += len(x)
-        marks[e.key] += len(MARKS.findall(x))
-        count[e.key] += 1
-    ratio = np.array([length[e.key] / count[e.key] for e, _ in spoken])
-    points = np.array([(marks[e.key] + 1) / count[e.key] for e, _ in spoken])
-    window = np.ones(2 * width + 1)
-    smooth = lambda v: np.convolve(v, window, "same") / np.convolve(np.ones(len(v)), window, "same")
-    fused = np.sqrt(smooth(ratio) * smooth(points))
-    limit = threshold * float(fused.std())
-    best: dict[str, float] = {}
-    for (e, _), f in zip(spoken, fused.tolist()):
-        best[e.key] = max(best.get(e.key, 0.0), f)
-    weigh = [(e, len(x) * math.sqrt(best[e.key])) for e, x in spoken if best[e.key] >= limit]
-    total = sum(w for _, w in weigh)
-    elements: dict[int, Element] = {}
-    for e, w in weigh:
-        up = e
-        while up is not None:
-            up.weight += w
-            elements[id(up)] = up
-            up = up.parent
-    root = max((e for e in elements.values() if e.weight >= hold * total and e.tag not in INLINE), key=lambda e: e.depth)
-    while root.parent is not None and (root.tag in HEADINGS or root.tag in CLOSED_BY):
+    value = path_values(blocks, width)
+    limit = threshold * sum(value[p] * n for p, n, _ in blocks) / sum(n for _, n, _ in blocks)
+    for (p, n, _), e in zip(blocks, of):
+        if value[p] >= limit:
+            e.picked += n
+        if (value[p] >= limit or e.tag in ("h1", "h2")) and e.parent is not None and e.tag in OWN_TEXT:
+            e.parent.here = True
+    for e in reversed(elements[1:]):
+        e.parent.picked += e.picked
+
+    root = elements[0]
+    for e in elements:
+        if e.picked >= hold * elements[0].picked and e.tag not in INLINE and not e.beside:
+            root = e  # parents come first, and only one child of an element can hold most
+    while root.parent is not None and (root.tag in HOLDERS or root.parent.here):
         root = root.parent
-    blocks, part = [], []
+    up = root
+    while up.parent is not None and up.tag != "article":
+        up = up.parent
+    if up.tag == "article" and not up.beside:
+        root = up
+
+    # below the root: named containers and link lists without a selected path go
+    for e in elements:
+        inside = e is root or (e.parent is not None and e.parent.inside)
+        if inside and e is not root and not e.picked and ((e.named and e.tag in CONTAINERS) or (e.tag in LISTS and 2 * e.linked > e.size)):
+            inside = False
+        e.inside = inside and not e.beside
+    out, part = [], []
 
     def flush() -> None:
         block = SPACE.sub(" ", "".join(part)).strip()
         if block:
-            blocks.append(block)
+            out.append(block)
         part.clear()
 
     for e, x in nodes:
         if x is None:
             flush()
-            continue
-        up = e
-        while up is not None and up is not root:
-            up = up.parent
-        if up is root and not e.aside:
+        elif e.inside:
             part.append(x)
     flush()
-    return "\n".join(blocks)
+    return "\n".join(out)
 
 
 def extracted(pages: DataFrame, html: str = "html", name: str = "text", **options) -> DataFrame:
