@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fieldloom.llm._tables import row_key, saved, table
+from fieldloom.llm._tables import release, row_key, saved, table
 
 NEW = ("kept", "n_lines", "n_removed", "n_runs")
 MIN_RUN = 2
@@ -44,8 +44,11 @@ def _lines(column: str) -> Column:
 
 
 def _classes(state: DataFrame, key: list[str]) -> DataFrame:
-    """The first member of each class of `key` with two members or more; written, as Spark splits only joins that read plain shuffles."""
-    return saved(state.groupBy(*key).agg(F.min(F.struct(*_PLACE)).alias("leader"), F.count("*").alias("n")).filter("n > 1").drop("n"))
+    """The first member of each class of `key` with two members or more; written, as Spark splits only joins that read plain shuffles.
+
+    Joins are by merging: there are many rounds, and the driver would have to build what they broadcast.
+    """
+    return saved(state.groupBy(*key).agg(F.min(F.struct(*_PLACE)).alias("leader"), F.count("*").alias("n")).filter("n > 1").drop("n")).hint("merge")
 
 
 def _named(state: DataFrame, key: list[str]) -> DataFrame:
@@ -65,6 +68,7 @@ def doubled(docs: DataFrame, text: str, id: str) -> list[DataFrame]:
         far = F.max(F.struct("i", "name")).over(along.rangeBetween(step, step))
         pairs = levels[-1].withColumn("far", far).filter("far is not null").select(*_PLACE, "name", F.col("far.name").alias("next"))
         levels.append(saved(_named(pairs, ["name", "next"])))
+        release(docs)
     return levels[:-1]
 
 
@@ -76,7 +80,7 @@ def longest_earlier(levels: list[DataFrame], min_run: int) -> DataFrame | None:
         level, step, grown = levels[j], 1 << j, []
         if parts is not None:
             after = level.select(*_ROW, F.col("i").alias("at"), F.col("name").alias("next"))
-            met = parts.withColumn("at", F.col("i") + F.col("size")).join(after, [*_ROW, "at"], "left").drop("at")
+            met = parts.withColumn("at", F.col("i") + F.col("size")).join(after.hint("merge"), [*_ROW, "at"], "left").drop("at")
             leaders = _classes(met.filter("next is not null"), ["size", "node", "next"])
             met = met.join(leaders, ["size", "node", "next"], "left")
             place = F.struct(*_PLACE)
@@ -94,6 +98,7 @@ def longest_earlier(levels: list[DataFrame], min_run: int) -> DataFrame | None:
             for more in grown[1:]:
                 parts = parts.union(more)
             parts = saved(parts)
+            release(levels[j])
     return None if parts is None else parts.filter(~F.col("witness") & (F.col("size") >= min_run)).select(*_PLACE, "size")
 
 
