@@ -5,64 +5,125 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Tags of areas, and words of the tag rules.
-AREA_TAGS = ("area", "building", "landuse", "leisure", "natural", "water", "waterway", "amenity", "shop", "tourism", "landcover", "man_made")
-PEDESTRIAN = ("footway", "path", "pedestrian", "steps", "cycleway", "corridor", "track", "crossing", "bridleway")
+#: Words of the tag rules.
 TREES = ("tree", "tree_row", "wood", "scrub", "shrub", "bush")
 PLANTED = ("forest", "orchard", "vineyard", "plant_nursery")
 COVERED = ("trees", "tree_cover", "shrubs", "scrub")
 ROCKS = ("rock", "stone", "boulder", "cliff")
+OUTCROPS = ("outcrop", "boulder")
+#: Values of area:highway, and of highway, that are paths and not roads.
+PEDESTRIAN_AREAS = ("footway", "path", "pedestrian", "steps", "corridor", "cycleway")
+PEDESTRIAN_WAYS = ("footway", "path", "pedestrian", "steps", "corridor", "cycleway", "bridleway")
+#: Tags that make a closed way an area.
+AREA_TAGS = ("building", "landuse", "leisure", "natural", "attraction", "water", "amenity", "man_made", "area:highway")
+#: Access tags that keep guests out.
+CLOSED_ACCESS = ("private", "no", "permit", "delivery", "agricultural", "forestry")
+#: Colour names.
+COLOUR_NAMES = {
+    "black": "#202124", "charcoal": "#343434", "grey": "#808080", "gray": "#808080", "dark grey": "#4b4b4b", "dark gray": "#4b4b4b", "light grey": "#c5c5c5", "light gray": "#c5c5c5",
+    "white": "#f2f2f2", "red": "#a63d32", "brick": "#9b4b3f", "brown": "#765341", "buff": "#c8ad7f", "beige": "#c9b99a", "tan": "#b89363", "yellow": "#d5b53f", "orange": "#c87832", "blue": "#416b9b", "green": "#5f7f4a",
+}
+
+
+def tag(tags: Column, name: str) -> Column:
+    """A tag's value; null for an empty one."""
+    return F.nullif(tags[name], F.lit(""))
+
+
+def _listed(value: Column) -> Column:
+    return F.coalesce(F.lower(value).isin("yes", "true", "1", "designated"), F.lit(False))
+
+
+def classified(tags: Column) -> Column:
+    """Kind and subtype of a feature by an ordered cascade over its tags; null where no rule fits."""
+    get = lambda k: tag(tags, k)
+    has = lambda *ks: F.coalesce(*map(get, ks)).isNotNull()
+    among = lambda k, values: get(k).isin(*values)
+    first = lambda *ks: F.coalesce(*map(get, ks))
+    said = lambda k: F.concat(F.lit(f"{k}:"), get(k))
+    area_way = F.lower(get("area:highway"))
+    rules = [
+        ("park_boundary", get("tourism") == "theme_park", F.lit("theme_park")),
+        ("ride_track", get("roller_coaster") == "track", F.coalesce(get("roller_coaster:track"), F.lit("coaster"))),
+        ("ride_support", get("roller_coaster") == "support", F.lit("support")),
+        ("ride_attachment", (get("man_made") == "ride_attachment") | has("ride_attachment"), F.coalesce(get("ride_attachment"), F.lit("ride-attachment"))),
+        ("building", get("roller_coaster") == "station", F.lit("coaster_station")),
+        ("building", has("building"), get("building")),
+        ("attraction", has("attraction"), get("attraction")),
+        ("vegetation", get("barrier") == "hedge", F.lit("hedge")),
+        ("vegetation", among("natural", TREES), get("natural")),
+        ("vegetation", among("landuse", PLANTED), get("landuse")),
+        ("vegetation", among("landcover", COVERED), get("landcover")),
+        ("terrain_detail", among("natural", ROCKS), get("natural")),
+        ("terrain_detail", among("geological", OUTCROPS), get("geological")),
+        ("path", area_way.isin(*PEDESTRIAN_AREAS), F.concat(F.lit("area:"), area_way)),
+        ("road", has("area:highway"), F.concat(F.lit("area:"), area_way)),
+        ("path", among("highway", PEDESTRIAN_WAYS), get("highway")),
+        ("road", has("highway"), get("highway")),
+        ("water", (get("natural") == "water") | has("water") | has("waterway") | (get("leisure") == "swimming_pool"), first("water", "waterway", "natural", "leisure")),
+        ("rail", has("railway"), get("railway")),
+        ("barrier", has("barrier"), get("barrier")),
+        ("surface", has("landuse", "landcover", "natural", "leisure"), first("landuse", "landcover", "natural", "leisure")),
+        ("structure", has("man_made"), get("man_made")),
+        ("amenity", has("amenity"), get("amenity")),
+        ("amenity", has("shop"), said("shop")),
+        ("detail", has("entrance", "door"), F.coalesce(said("entrance"), said("door"))),
+        ("detail", has("historic"), said("historic")),
+        ("detail", has("information"), said("information")),
+        ("detail", has("playground"), said("playground")),
+        ("detail", has("public_transport"), said("public_transport")),
+        ("amenity", has("tourism"), said("tourism")),
+    ]
+    out = F.lit(None).cast("struct<kind:string,subtype:string>")
+    for name, rule, subtype in reversed(rules):
+        out = F.when(F.coalesce(rule, F.lit(False)), F.struct(F.lit(name).alias("kind"), subtype.alias("subtype"))).otherwise(out)
+    return out
 
 
 def kind(tags: Column) -> Column:
-    """The kind of a feature by an ordered cascade over its tags; null where no rule fits."""
-    has = lambda k: tags[k].isNotNull()
-    among = lambda k, values: tags[k].isin(*values)
-    rules = [
-        ("park_boundary", tags["tourism"] == "theme_park"), ("ride_track", tags["roller_coaster"] == "track"), ("ride_support", tags["roller_coaster"] == "support"),
-        ("ride_attachment", (tags["man_made"] == "ride_attachment") | has("ride_attachment")), ("building", tags["roller_coaster"] == "station"), ("building", has("building")),
-        ("attraction", has("attraction")), ("vegetation", tags["barrier"] == "hedge"), ("vegetation", among("natural", TREES)), ("vegetation", among("landuse", PLANTED)), ("vegetation", among("landcover", COVERED)),
-        ("terrain_detail", among("natural", ROCKS) | among("geological", ("outcrop", "boulder"))), ("path", among("area:highway", PEDESTRIAN)), ("road", has("area:highway")), ("path", among("highway", PEDESTRIAN)), ("road", has("highway")),
-        ("water", (tags["natural"] == "water") | has("water") | has("waterway") | (tags["leisure"] == "swimming_pool")), ("rail", has("railway")), ("barrier", has("barrier")),
-        ("surface", has("landuse") | has("landcover") | has("natural") | has("leisure")), ("structure", has("man_made")), ("amenity", has("amenity") | has("shop")), ("detail", has("entrance") | has("door") | has("historic") | has("information") | has("playground") | has("public_transport")), ("amenity", has("tourism")),
-    ]
-    out = F.lit(None).cast("string")
-    for name, rule in reversed(rules):
-        out = F.when(F.coalesce(rule, F.lit(False)), name).otherwise(out)
-    return out
+    return classified(tags)["kind"]
 
 
 def is_area(tags: Column, closed: Column) -> Column:
-    """A closed way with a tag of areas; area=no rules it out."""
-    any_tag = F.lit(False)
-    for k in AREA_TAGS:
-        any_tag = any_tag | tags[k].isNotNull()
-    return F.coalesce(closed & any_tag & (F.coalesce(tags["area"], F.lit("")) != "no"), F.lit(False))
+    """A closed way with area=yes, a theme park or another tag of areas; area=no rules it out."""
+    named = F.coalesce(tags["area"] == "yes", F.lit(False)) | F.coalesce(tags["tourism"] == "theme_park", F.lit(False))
+    return F.coalesce(closed, F.lit(False)) & (F.coalesce(tags["area"], F.lit("")) != "no") & (named | F.coalesce(*(tag(tags, k) for k in AREA_TAGS)).isNotNull())
 
 
-def path_role(tags: Column) -> Column:
+def path_role(tags: Column, kind: Column | None = None) -> Column:
     """Queue, then service, then guest."""
-    said = F.lower(F.concat_ws(" ", tags["name"], tags["description"], tags["queue"]))
-    return F.when(said.rlike(r"\bqueue\b|\byes\b"), "queue").when((tags["service"].isNotNull()) | tags["access"].isin("private", "no"), "service").otherwise("guest")
+    low = lambda k: F.coalesce(F.lower(tag(tags, k)), F.lit(""))
+    way = F.coalesce(F.nullif(low("highway"), F.lit("")), low("area:highway"))
+    queue = _listed(tags["queue"]) | _listed(tags["queue:line"])
+    for k in ("footway", "attraction", "amenity"):
+        queue = queue | F.coalesce(tags[k] == "queue", F.lit(False))
+    queue = queue | (way == "queue") | ((low("access") == "customers") & low("name").rlike("queue|entrance line"))
+    closed = low("access").isin(*CLOSED_ACCESS) | low("foot").isin("private", "no") | low("motor_vehicle").isin("private", "no")
+    service = way.isin("service", "track") | (low("service") != "") | _listed(tags["backstage"]) | _listed(tags["staff"]) | _listed(tags["staff_only"])
+    road = F.lit(False) if kind is None else F.coalesce(kind == "road", F.lit(False)) & ~way.isin("pedestrian", "living_street")
+    return F.when(queue, "queue").when(closed | service | road, "service").otherwise("guest")
 
 
 def bridge(tags: Column) -> Column:
-    return F.coalesce(tags["bridge"].isNotNull() & ~F.lower(tags["bridge"]).isin("no", "false", "0"), F.lit(False))
+    """A bridge tag that is not no, or a bridge by man_made or as a via ferrata."""
+    value = F.lower(tag(tags, "bridge"))
+    return F.coalesce(value != "no", F.lit(False)) | F.coalesce(tags["man_made"] == "bridge", F.lit(False)) | F.coalesce(tags["highway"] == "via_ferrata", F.lit(False))
 
 
 def tunnel(tags: Column) -> Column:
-    return F.coalesce((tags["tunnel"].isNotNull() & ~F.lower(tags["tunnel"]).isin("no", "false", "0")) | (tags["covered"] == "yes"), F.lit(False))
+    """A tunnel tag that is not denied, or a location under the ground."""
+    return F.coalesce(~F.lower(tag(tags, "tunnel")).isin("no", "false", "0"), F.lit(False)) | F.coalesce(F.lower(tags["location"]) == "underground", F.lit(False))
 
 
 def colour(text: Column) -> Column:
-    """#rgb, #rrggbb, rgb(r, g, b) and a few names as struct<r,g,b>; null for others."""
-    t = F.lower(F.trim(text))
-    short, names = F.regexp_replace(t, "^#(.)(.)(.)$", "#$1$1$2$2$3$3"), {"black": "#000000", "white": "#ffffff", "red": "#ff0000", "green": "#008000", "blue": "#0000ff", "grey": "#808080", "gray": "#808080", "brown": "#a52a2a", "yellow": "#ffff00"}
-    hexed = F.coalesce(F.create_map(*(F.lit(x) for p in names.items() for x in p))[t], short)
-    byte = lambda i: F.conv(F.substring(hexed, i, 2), 16, 10).cast("int")
-    part = lambda i: F.regexp_extract(t, r"^rgb\(\s*(\d{1,3})\s*,\s*(\d{1,3})\s*,\s*(\d{1,3})\s*\)$", i).try_cast("int")
-    rgb = lambda f: F.struct(*(f(i).alias(c) for c, i in zip("rgb", (1, 2, 3))))
-    return F.when(hexed.rlike("^#[0-9a-f]{6}$"), F.struct(byte(2).alias("r"), byte(4).alias("g"), byte(6).alias("b"))).when(part(1).isNotNull() & (F.greatest(part(1), part(2), part(3)) <= 255), rgb(part))
+    """[#]rgb, [#]rrggbb, rgb(r, g, b) and names as struct<r,g,b>; null for others."""
+    t = F.regexp_replace(F.lower(F.trim(text)), "[_-]+", " ")
+    named = F.coalesce(F.create_map(*(F.lit(x) for p in COLOUR_NAMES.items() for x in p))[t], t)
+    hexed = F.regexp_replace(F.regexp_replace(named, "^#", ""), "^([0-9a-f])([0-9a-f])([0-9a-f])$", "$1$1$2$2$3$3")
+    byte = lambda i: F.conv(F.substring(hexed, 2 * i - 1, 2), 16, 10).cast("int")
+    part = lambda i: F.regexp_extract(t, r"^rgb\s*\(\s*(\d{1,3})\s*,\s*(\d{1,3})\s*,\s*(\d{1,3})\s*\)$", i).try_cast("int")
+    rgb = lambda f: F.struct(*(f(i).alias(c) for i, c in enumerate("rgb", 1)))
+    return F.when(hexed.rlike("^[0-9a-f]{6}$"), rgb(byte)).when(part(1).isNotNull() & (F.greatest(part(1), part(2), part(3)) <= 255), rgb(part))
 
 
 def block_spec(text: Column) -> Column:
@@ -77,9 +138,3 @@ def attributes(tag: Column) -> Column:
     pairs = F.arrays_zip(F.regexp_extract_all(F.lower(tag), F.lit(pattern), F.lit(1)).alias("k"), F.regexp_extract_all(tag, F.lit(pattern), F.lit(2)).alias("v"))
     last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs) - i - 1, F.lit(0))), lambda q: q.k == p.k))
     return F.map_from_entries(last)
-
-
-def trunk_diameter(metres: Column, centimetres: Column, circumference: Column, height: Column, crown: Column, factor: Column) -> Column:
-    """Stated diameter, then from centimetres, then circumference, else from height and crown, held to 0.12 to 2.4 m."""
-    guess = (0.018 * height + 0.032 * crown) * factor
-    return F.coalesce(metres, centimetres / 100, circumference / 3.141592653589793, F.greatest(F.lit(0.12), F.least(F.lit(2.4), guess)))

@@ -46,13 +46,13 @@ def truthy_if_listed(tag: Column) -> Column:
 
 
 def parse_length(text: Column) -> Column:
-    """The first number of a text, with a comma read as the decimal point; null without one."""
-    return F.regexp_extract(F.replace(text, F.lit(","), F.lit(".")), r"-?\d+(\.\d+)?", 0).try_cast("double")
+    """The first number of a text, with the first comma read as the decimal point; null without one."""
+    return F.regexp_extract(F.regexp_replace(text, "^([^,]*),", "$1."), r"-?\d+(\.\d+)?", 0).try_cast("double")
 
 
 def parse_bytes(text: Column) -> Column:
-    """'12.5 MB' in bytes, rounded up."""
-    number = F.regexp_extract(text, r"(?i)^\s*(\d+(?:\.\d+)?)\s*(B|KB|MB|GB)\s*$", 1).try_cast("double")
-    unit = F.upper(F.regexp_extract(text, r"(?i)^\s*(\d+(?:\.\d+)?)\s*(B|KB|MB|GB)\s*$", 2))
-    power = F.when(unit == "KB", 1024.0).when(unit == "MB", 1024.0**2).when(unit == "GB", 1024.0**3).otherwise(1.0)
+    """'12.5 MB' in bytes, rounded up; a number alone is bytes, and kB and KiB both are 1024."""
+    pattern = r"(?i)^\s*([0-9]+(?:\.[0-9]+)?)\s*(B|[KMG]I?B)?\s*$"
+    number, unit = F.regexp_extract(text, pattern, 1).try_cast("double"), F.upper(F.substring(F.regexp_extract(text, pattern, 2), 1, 1))
+    power = F.when(unit == "K", 1024.0).when(unit == "M", 1024.0**2).when(unit == "G", 1024.0**3).otherwise(1.0)
     return F.ceil(number * power).cast("bigint")

@@ -6,19 +6,50 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Points of document texts.
+from fieldloom.functions.text import cascade
+
+#: Words of useful documents, of noise, of direct files, the points of a title, and the roles in order.
+USEFUL = r"(?i)(?:\bplans?\b|drawing|layout|general arrangement|elevation|section|roof|landscap|planting|tree|arbor|material|finish|surface|hardscape|paving|path|plaza|ride|coaster|track|\bsupport(?:s| structure| layout| detail| foundation)?\b|structure|foundation|footing|drain|water|flood|earthwork|level|topograph|survey|boundary|fence|wall|retaining|bridge|tunnel|lighting|street furniture|utilities|services|as[ -]?built|existing)"
+NOISE = r"(?i)(?:application form|planning statement|decision notice|screening opinion|letter of representation|ownership certificate|community infrastructure levy|cil form|consultation response|neighbour letter|site notice|press notice|fee|validation checklist|email|correspondence|committee agenda)"
+FILE = r"(?i)\.(?:pdf|tiff?|png|jpe?g|zip|dxf|dwg|ifc)(?:$|[?#])"
+DIRECT = r"(?i)(?:AttachmentShowServlet|ViewDocument|DownloadFile|download|attachment|viewfile|image)"
 DOCUMENT_RULES = (
-    (r"(?i)approved|decision|condition|as[- ]built|existing", 25), (r"(?i)layout|elevation|section", 20), (r"(?i)ride|track|support", 20), (r"(?i)advert|consultation|neighbour|email", -80),
+    (r"(?i)approved|decision|condition|as[ -]?built|existing", 25), (r"(?i)general arrangement|site plan|layout|elevation|section", 20), (r"(?i)ride|coaster|track|\bsupport(?:s| structure| layout| detail| foundation)?\b", 20),
 )
-USEFUL = r"(?i)plan|drawing|layout|elevation|section|report|survey"
+NOISE_POINTS = -80
+ROLES = (
+    ("as-built-drawing", r"(?i)as[ -]?built|record drawing|completion plan"),
+    ("ride-layout-and-structure", r"(?i)ride|coaster|track|\bsupport(?:s| structure| layout| detail| foundation)?\b|foundation|footing"),
+    ("site-layout", r"(?i)site.*(?:plan|layout)|masterplan|general arrangement|proposed layout"),
+    ("elevations-and-sections", r"(?i)elevation|section|roof|level"),
+    ("landscape-and-vegetation", r"(?i)landscap|planting|tree|arbor|hedge|ecolog"),
+    ("materials-and-surfaces", r"(?i)material|finish|surface|paving|path|plaza|hardscape"),
+    ("water-and-drainage", r"(?i)water|drain|flood|pond|lake"),
+    ("structures-and-earthworks", r"(?i)wall|fence|barrier|bridge|tunnel|earthwork|retaining"),
+)
 #: Reasons and points that take relevance from an application.
 APPLICATION_PENALTIES = ((r"(?i)consultation copy|neighbouring authority", -1000), (r"(?i)telecom|antenna|mast", -180), (r"(?i)screening opinion", -120), (r"(?i)withdrawn|refused", -8))
 KEEP_FROM = 180
 
 
-def document_score(title: Column) -> Column:
-    """45 for useful titles, else 5, plus the rules' points."""
-    return F.when(title.rlike(USEFUL), 45).otherwise(5) + sum((F.when(title.rlike(p), n).otherwise(0) for p, n in DOCUMENT_RULES), F.lit(0))
+def document_class(title: Column, url: Column) -> Column:
+    """struct<role, score, relevant> of a document by its title and address."""
+    text = F.trim(F.regexp_replace(F.concat_ws(" ", title, F.try_url_decode(url)), r"\s+", " "))
+    score = F.when(text.rlike(USEFUL) | F.coalesce(url.rlike(FILE), F.lit(False)), 45).otherwise(5) + sum((F.when(text.rlike(p), n).otherwise(0) for p, n in (*DOCUMENT_RULES, (NOISE, NOISE_POINTS))), F.lit(0))
+    return F.struct(cascade(text, list(ROLES), "planning-document").alias("role"), score.alias("score"), (score >= 30).alias("relevant"))
+
+
+def direct_link(url: Column) -> Column:
+    """Whether an address names a document's file or a portal's way of sending one."""
+    path = F.regexp_extract(url, r"^https?://[^/?#]+([^?#]*)", 1)
+    return path.rlike(FILE) | path.rlike(DIRECT)
+
+
+def ranked_documents(links: DataFrame, page: str, url: str, text: str) -> DataFrame:
+    """Direct links of each page with their class and place: the best score first, then by address; equal addresses once."""
+    first = links.filter(direct_link(F.col(url))).groupBy(page, url).agg(F.min_by(text, "pos").alias(text))
+    scored = first.withColumn("_c", document_class(F.col(text), F.col(url))).select(page, url, "_c.*")
+    return scored.withColumn("place", F.row_number().over(Window.partitionBy(page).orderBy(F.desc("score"), url)))
 
 
 def application_score(text: Column, terms: list[str], categories: list[tuple[str, str, int]]) -> tuple[Column, Column]:

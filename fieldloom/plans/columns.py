@@ -27,8 +27,8 @@ def coercions(spark: SparkSession, d: str) -> DataFrame:
     tag = F.element_at(F.split("p_type", " "), 1)
     return read(spark, d, "part").select(
         "p_partkey", numbers.number_or_null(F.when(F.col("p_partkey") % 3 == 0, "n/a").otherwise(F.col("p_size").cast("string"))).alias("n"),
-        numbers.parse_length(F.concat(F.lit("ca. "), F.col("p_size"), F.lit(",5 m"))).alias("length_m"),
-        numbers.parse_bytes(F.concat("p_size", F.lit(".5 kb"))).alias("size_bytes"),
+        numbers.parse_length(F.concat(F.lit("ca. "), F.col("p_size"), F.lit(",5 m, or 7,2"))).alias("length_m"),
+        numbers.parse_bytes(F.concat("p_size", F.get(F.array(*map(F.lit, (".5 kb", ".5KiB", "", " MiB", " parsec"))), F.pmod(F.col("p_partkey"), F.lit(5)).cast("int")))).alias("size_bytes"),
         numbers.first_present(F.when(F.col("p_size") > 25, ""), F.when(F.col("p_size") > 10, F.col("p_brand")), F.lit("none")).alias("first"),
         numbers.truthy_unless_denied(F.when(F.col("p_size") % 2 == 0, "no").otherwise(tag)).alias("not_denied"),
         numbers.truthy_if_listed(F.when(F.col("p_size") % 2 == 0, "yes").otherwise(tag)).alias("listed"),
@@ -75,11 +75,23 @@ def document_scores(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").select("doc_id", points_of.cast("int").alias("score"), (points_of >= 30).alias("relevant"))
 
 
+TARGETS = ("a.html", "../up/b.html", "/root?x=1", "//host.example/p", "https://other.example/q", "?page=2", "./c/./d", "mailto:x@y.z", "#top", "")
+
+
 def html_links(spark: SparkSession, d: str) -> DataFrame:
-    links = read(spark, d, "pages").select("page_id", "url", F.posexplode(text.link_targets(F.col("html"))).alias("pos", "target"))
+    """The pages' own links, and one more of every form, in either kind of quotes."""
+    more = F.array_join(F.array(*(F.lit(f"<a class=x href={q}{t}{q}>" if t != "a.html" else f"<A HREF = {q}{t}{q}>") for t, q in zip(TARGETS, "'\"" * 5))), " ")
+    links = read(spark, d, "pages").select("page_id", "url", F.posexplode(text.link_targets(F.concat("html", more))).alias("pos", "target"))
     return links.select("page_id", "pos", text.absolute_url(F.col("url"), F.col("target")).alias("link"))
 
 
+def table_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Fields of a portal's table, in rows with one and with two pairs."""
+    html = F.concat(F.lit("<table><tr><th>Reference:</th><td>"), F.col("page_id").cast("string"), F.lit("/FUL</td></tr><tr><td>Status -</td> <td><b>Open</b></td><td>Site address</td><td>"), "url", F.lit("</td></tr><TR><td>reference</td><td>late</td><td></td><td>odd</td></TR></table>"))
+    fields = text.table_fields(html)
+    return read(spark, d, "pages").select("page_id", fields["reference"].alias("reference"), fields["status"].alias("status"), fields["site address"].alias("address"), F.size(fields).alias("n"))
+
+
 def html_text(spark: SparkSession, d: str) -> DataFrame:
     clean = text.clean_html(F.col("html"))
     return read(spark, d, "pages").select("page_id", F.char_length(clean).alias("n_chars"), F.md5(clean).alias("digest"), text.media_type(F.col("html"), F.col("url")).alias("media_type"))
@@ -95,7 +107,7 @@ def event_properties(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "events").select("event_id", F.coalesce(F.size(fields), F.lit(0)).alias("n_fields"), text.iso_date(F.date_format("ts", "dd/MM/yyyy")).alias("day"))
 
 
-QUERIES = {f.__name__: f for f in (rounding, coercions, projection, quadkeys, cell_hashes, nearest_prototype, classification, document_scores, html_links, html_text, scale_texts, event_properties)}
+QUERIES = {f.__name__: f for f in (rounding, coercions, projection, quadkeys, cell_hashes, nearest_prototype, classification, document_scores, html_links, table_fields, html_text, scale_texts, event_properties)}
 
 _PTS = "(SELECT vec_id, CAST(floor(CAST(embedding[1] AS DOUBLE)*1000) AS BIGINT) AS x, CAST(floor(CAST(embedding[2] AS DOUBLE)*1000) AS BIGINT) AS z, label AS kind, embedding FROM embeddings)"
 
@@ -129,7 +141,7 @@ SELECT l_orderkey, l_linenumber, floor((l_extendedprice - 30000) * 10 + 0.5) / 1
 FROM lineitem""",
     "coercions": """
 SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE CAST(p_size AS DOUBLE) END AS n, p_size + 0.5::DOUBLE AS length_m,
-       CAST(ceil((p_size + 0.5) * 1024) AS BIGINT) AS size_bytes,
+       CASE p_partkey % 5 WHEN 0 THEN CAST(ceil((p_size + 0.5) * 1024) AS BIGINT) WHEN 1 THEN CAST(ceil((p_size + 0.5) * 1024) AS BIGINT) WHEN 2 THEN p_size WHEN 3 THEN p_size * 1048576 END AS size_bytes,
        CASE WHEN p_size > 10 THEN p_brand ELSE 'none' END AS first,
        p_size % 2 <> 0 AS not_denied, p_size % 2 = 0 AS listed,
        regexp_replace(regexp_replace(lower(p_brand || ' / ' || p_type), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug
@@ -157,11 +169,18 @@ SELECT own.vec_id, CAST(own.r AS INT) AS r, CAST(own.g AS INT) AS g, CAST(own.b
 FROM own, proto GROUP BY own.vec_id, own.r, own.g, own.b""",
     "classification": f"SELECT p_partkey, CASE {_CASE} ELSE 'other' END AS kind FROM part",
     "document_scores": f"SELECT doc_id, CAST({_SCORE} AS INT) AS score, ({_SCORE}) >= 30 AS relevant FROM documents",
-    "html_links": """
-WITH found AS (SELECT page_id, url, unnest(x) AS target, generate_subscripts(x, 1) AS n FROM (SELECT page_id, url, regexp_extract_all(html, '(?i)<a\\b[^>]*?\\bhref="([^"]*)"', 1) AS x FROM pages)),
-kept AS (SELECT page_id, url, target, min(n) AS n FROM found WHERE NOT regexp_matches(target, '(?i)^(mailto:|tel:|#|javascript:)') AND target <> '' GROUP BY ALL)
-SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY n) - 1 AS INT) AS pos,
-       CASE WHEN regexp_matches(target, '(?i)^https?://') THEN target WHEN starts_with(target, '/') THEN regexp_extract(url, '^(https?://[^/?#]+)', 1) || target ELSE regexp_extract(url, '^(https?://[^/?#]+)', 1) || '/' || target END AS link FROM kept""",
+    "html_links": r"""
+WITH own AS (SELECT page_id, url, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS host, coalesce(nullif(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), ''), '/') AS page, regexp_extract_all(html, '(?i)<a\b[^>]*?\bhref="([^"]*)"', 1) AS x FROM pages),
+found AS (SELECT page_id, host, page, unnest(x) AS target, generate_subscripts(x, 1) AS n FROM own),
+kept AS (SELECT page_id, host, page, target, min(n) AS n FROM found WHERE NOT regexp_matches(target, '(?i)^(mailto:|tel:|#|javascript:)') AND target <> '' GROUP BY ALL),
+folders AS (SELECT *, regexp_replace(page, '[^/]*$', '') AS folder FROM own),
+made AS (
+ SELECT page_id, 1000000 AS n, host || folder || 'a.html' AS link FROM folders UNION ALL SELECT page_id, 1000001, host || regexp_replace(regexp_replace(folder, '/$', ''), '[^/]+$', '') || CASE WHEN folder = '/' THEN '/' ELSE '' END || 'up/b.html' FROM folders
+ UNION ALL SELECT page_id, 1000002, host || '/root?x=1' FROM folders UNION ALL SELECT page_id, 1000003, regexp_extract(host, '^https?:') || '//host.example/p' FROM folders UNION ALL SELECT page_id, 1000004, 'https://other.example/q' FROM folders
+ UNION ALL SELECT page_id, 1000005, host || page || '?page=2' FROM folders UNION ALL SELECT page_id, 1000006, host || folder || 'c/d' FROM folders),
+every AS (SELECT page_id, n, CASE WHEN regexp_matches(target, '(?i)^https?://') THEN target WHEN starts_with(target, '/') THEN host || target ELSE host || regexp_replace(page, '[^/]*$', '') || target END AS link FROM kept UNION ALL SELECT * FROM made)
+SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY n) - 1 AS INT) AS pos, link FROM every""",
+    "table_fields": "SELECT page_id, page_id || '/FUL' AS reference, 'Open' AS status, trim(regexp_replace(url, '\\s+', ' ', 'g')) AS address, CAST(3 AS INT) AS n FROM pages",
     "html_text": r"""
 WITH a AS (SELECT page_id, url, html, regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g') AS x FROM pages),
 b AS (SELECT *, trim(regexp_replace(replace(replace(replace(replace(replace(replace(x, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g')) AS t FROM a)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fieldloom.functions import text
 from fieldloom.functions.numbers import half_up
 from fieldloom.operators import authority, features
+from fieldloom.plans.made import Made
 from fieldloom.plans.tables import points, read
 from fieldloom.sources import sinks
 
@@ -15,7 +16,7 @@ from fieldloom.sources import sinks
 def _rows(spark: SparkSession, d: str) -> DataFrame:
     n = F.pmod(F.col("doc_id"), F.lit(6))
     return read(spark, d, "documents").select(
-        "doc_id", F.when(n == 0, "OpenStreetMap").when(n == 1, "Council").otherwise("Survey").alias("provider"), F.when(n == 2, F.concat(F.lit("way/"), "doc_id")).otherwise(F.concat(F.lit("f"), "doc_id")).alias("id"),
+        "doc_id", F.when(n == 0, "OpenStreetMap").when(n == 1, "Council").otherwise("Survey").alias("provider"), F.when(n == 2, F.concat(F.lit("osm:way/"), "doc_id")).when(n == 5, F.concat(F.lit("overture:"), "doc_id")).otherwise(F.concat(F.lit("f"), "doc_id")).alias("id"),
         F.when(n == 3, '[{"dataset":"OSM"}]').alias("upstream"), (n == 1).alias("planning"), F.when(F.col("n_chars") > 3000, "implausible-span").alias("outlier"),
         F.element_at(F.array(F.lit("vegetation"), F.lit("building"), F.lit("water"), F.lit("path")), (F.pmod(F.col("doc_id"), F.lit(4)) + 1).cast("int")).alias("kind"), (F.col("lang") == "es").alias("excluded"),
     )
@@ -36,9 +37,28 @@ def evidence_merge(spark: SparkSession, d: str) -> DataFrame:
     return merged.select("l_orderkey", F.array_join(F.transform("evidence", lambda e: F.concat(e.property, F.lit(":"), e["value"])), ",").alias("evidence"))
 
 
+VERTICAL = Made("p_partkey", {"height": [3.0, None, 7.5], "height_source": ["OSM tag", "survey", "retained-during-planning-override", None, "lidar"], "height_confidence": [0.5, 0.9], "elevation": [100.0, None], "elevation_source": ["osm:ele", "lidar", None]})
+
+
 def inherited_heights(spark: SparkSession, d: str) -> DataFrame:
-    rows = read(spark, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("height"), F.when(F.col("p_size") % 3 == 0, "OSM tag").otherwise("survey").alias("height_source"))
-    return authority.without_inherited_height(rows, "height", "height_source")
+    return read(spark, d, "part").select("p_partkey", authority.scrubbed(F.struct(*VERTICAL.columns())).alias("v")).select("p_partkey", "v.*")
+
+
+FENCE = Made("p_partkey", {"semantic": ["Construction-Fence", "fence", None, "wall", "site fence"], "barrier": ["fence", None, "wall"], "state": ["Temporary works", "permanent", None], "temporary": [True, None, False, None], "colour": ["Red", "#F00", "blue", None, "#ff0000", "dark red"]})
+
+
+def construction_fences(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "part").select("p_partkey", authority.construction_fence(*(FENCE.column(c) for c in ("semantic", "barrier", "state", "temporary", "colour"))).alias("fence"))
+
+
+SOURCE = Made("p_partkey", {"provider": ["Survey", "Planning office", None, "x"], "dataset": [None, "planning-data", "y"], "adapter": [None, "z", None, None, "planning"], "policy": [None, "planning-first", "keep"], "flagged": [None, None, True], "named": [None, "", "18/0042/FUL", None, None], "stated": [None, "cad", ""]})
+
+
+def planning_authorities(spark: SparkSession, d: str) -> DataFrame:
+    c = SOURCE.column
+    world = authority.planning_world(*(c(n) for n in ("provider", "dataset", "adapter", "policy", "flagged", "named")))
+    graph = authority.planning_graph(c("provider"), c("dataset"), c("flagged"), c("named"))
+    return read(spark, d, "part").select("p_partkey", world.alias("world"), graph.alias("graph"), authority.attribution(c("stated"), c("named"), graph).alias("authority"))
 
 
 def evidence_ranks(spark: SparkSession, d: str) -> DataFrame:
@@ -88,9 +108,9 @@ def label_semantics(spark: SparkSession, d: str) -> DataFrame:
     return p.select("p_partkey", text.cascade(F.col("p_name"), rules).alias("material")).filter("material is not null").groupBy("material").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (authority_disposition, authority_counts, evidence_merge, inherited_heights, evidence_ranks, source_union, set_differences, roofs, width_ladder, observed_colours, sign_lines, report_lines, label_semantics)}
+QUERIES = {f.__name__: f for f in (authority_disposition, authority_counts, evidence_merge, inherited_heights, construction_fences, planning_authorities, evidence_ranks, source_union, set_differences, roofs, width_ladder, observed_colours, sign_lines, report_lines, label_semantics)}
 
-_ROWS = """(SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN true WHEN 2 THEN true WHEN 3 THEN true ELSE false END AS derived, doc_id % 6 = 1 AS planning, CASE WHEN n_chars > 3000 THEN 'implausible-span' END AS outlier,
+_ROWS = """(SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN true WHEN 2 THEN true WHEN 3 THEN true WHEN 5 THEN true ELSE false END AS derived, doc_id % 6 = 1 AS planning, CASE WHEN n_chars > 3000 THEN 'implausible-span' END AS outlier,
  list_extract(['vegetation', 'building', 'water', 'path'], doc_id % 4 + 1) AS kind, coalesce(lang = 'es', false) AS excluded FROM documents)"""
 _DISPOSED = f"SELECT doc_id, CASE WHEN excluded THEN 'excluded' WHEN derived THEN 'map-derived' WHEN planning AND outlier IS NOT NULL THEN 'outlier:' || outlier WHEN planning THEN 'planning' WHEN kind IN ('vegetation', 'water', 'terrain_detail') THEN 'independent' ELSE 'not-planning' END AS disposition FROM {_ROWS}"
 _kinds = list(features.WIDTH_PRIORS.values())
@@ -100,7 +120,15 @@ ORACLE_SQL = {
     "authority_disposition": _DISPOSED,
     "authority_counts": f"SELECT disposition, count(*) AS n FROM ({_DISPOSED}) GROUP BY 1",
     "evidence_merge": "SELECT l_orderkey, string_agg(p || ':' || v, ',' ORDER BY n, p, v) AS evidence FROM (SELECT l_orderkey, l_returnflag AS p, l_linestatus AS v, min(l_linenumber * 1000000 + l_partkey) AS n FROM lineitem GROUP BY 1, 2, 3) GROUP BY 1",
-    "inherited_heights": "SELECT p_partkey, CASE WHEN p_size % 3 <> 0 THEN p_size::DOUBLE END AS height, CASE WHEN p_size % 3 = 0 THEN 'OSM tag' ELSE 'survey' END AS height_source FROM part",
+    "inherited_heights": f"""
+WITH v AS (SELECT p_partkey, {VERTICAL.sql()} FROM part), o AS (SELECT *, coalesce(height_source IN ('OSM tag', 'retained-during-planning-override'), false) AS h, coalesce(elevation_source = 'osm:ele', false) AS e FROM v)
+SELECT p_partkey, CASE WHEN NOT h THEN height END AS height, CASE WHEN NOT h THEN height_source END AS height_source, CASE WHEN NOT h THEN height_confidence END AS height_confidence, CASE WHEN NOT e THEN elevation END AS elevation, CASE WHEN NOT e THEN elevation_source END AS elevation_source FROM o""",
+    "construction_fences": f"""
+SELECT p_partkey, coalesce(semantic = 'Construction-Fence', false) OR ((coalesce(state = 'Temporary works', false) OR coalesce(temporary, false)) AND (coalesce(semantic IN ('Construction-Fence', 'fence', 'site fence'), false) OR coalesce(barrier = 'fence', false)) AND coalesce(colour NOT IN ('blue'), false)) AS fence
+FROM (SELECT p_partkey, {FENCE.sql()} FROM part)""",
+    "planning_authorities": f"""
+WITH s AS (SELECT p_partkey, {SOURCE.sql()} FROM part), g AS (SELECT *, coalesce(provider = 'Planning office', false) OR coalesce(dataset = 'planning-data', false) OR coalesce(flagged, false) OR coalesce(named, '') <> '' AS graph FROM s)
+SELECT p_partkey, graph OR coalesce(adapter = 'planning', false) OR coalesce(policy = 'planning-first', false) AS world, graph, CASE WHEN stated = 'cad' THEN 'cad' WHEN coalesce(named, '') <> '' THEN named WHEN graph THEN 'planning-data' ELSE 'independent-evidence' END AS authority FROM g""",
     "evidence_ranks": "SELECT l_suppkey, CAST(max(CASE WHEN l_partkey % 9 = 8 THEN 0 ELSE l_partkey % 9 END) AS INT) AS best, CAST(sum(CASE WHEN l_partkey % 9 = 8 THEN 0 ELSE l_partkey % 9 END) AS BIGINT) AS total FROM lineitem GROUP BY 1",
     "source_union": "SELECT c_custkey AS id, c_name AS name, NULL::DOUBLE AS balance, 0 AS source_order FROM customer UNION ALL SELECT s_suppkey, s_name, s_acctbal, 1 FROM supplier WHERE s_suppkey NOT IN (SELECT c_custkey FROM customer)",
     "set_differences": """

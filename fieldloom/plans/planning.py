@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.operators import discovery
@@ -11,9 +11,21 @@ from fieldloom.plans.tables import read
 CATEGORIES = [("links", r"(?i)href", 90), ("styled", r"(?i)<style", 60), ("dense", r"(?i)&amp;", 70)]
 
 
+TITLES = ("Site plan", "Decision notice", "Neighbour letter", "Track layout", "Roof and wall finishes", "Email about a tree", "Pond, as-built", "Fees")
+
+
+def _title() -> Column:
+    return F.get(F.array(*map(F.lit, TITLES)), F.pmod(F.col("page_id"), F.lit(len(TITLES))).cast("int"))
+
+
 def document_ranking(spark: SparkSession, d: str) -> DataFrame:
-    title = F.concat_ws(" ", F.element_at(F.array(F.lit("Site plan"), F.lit("Decision notice"), F.lit("Neighbour letter"), F.lit("Track layout")), (F.pmod(F.col("page_id"), F.lit(4)) + 1).cast("int")), "url")
-    return read(spark, d, "pages").select("page_id", discovery.document_score(title).alias("score"))
+    return read(spark, d, "pages").select("page_id", discovery.document_class(_title(), F.col("url")).alias("c")).select("page_id", "c.*")
+
+
+def document_links(spark: SparkSession, d: str) -> DataFrame:
+    ends = F.array(F.lit("/plans/a.pdf"), F.lit("/ViewDocument"), F.lit("/about"), F.lit("/b.DWG"))
+    pages = read(spark, d, "pages").select(F.pmod(F.col("page_id"), F.lit(97)).alias("page"), F.col("page_id").alias("pos"), F.concat(F.regexp_extract("url", r"^(https?://[^/?#]+)", 1), F.get(ends, F.pmod(F.col("page_id"), F.lit(4)).cast("int")), F.lit("?t="), F.pmod(F.col("page_id"), F.lit(11))).alias("url"), _title().alias("title"))
+    return discovery.ranked_documents(pages, "page", "url", "title")
 
 
 def application_ranking(spark: SparkSession, d: str) -> DataFrame:
@@ -41,13 +53,26 @@ def shard_artifacts(spark: SparkSession, d: str) -> DataFrame:
     return discovery.complete_attempt(rows, 5)
 
 
-QUERIES = {f.__name__: f for f in (document_ranking, application_ranking, allowed_hosts, document_queue, breaker_replay, shard_artifacts)}
-_TITLE = "(SELECT page_id, list_extract(['Site plan', 'Decision notice', 'Neighbour letter', 'Track layout'], page_id % 4 + 1) || ' ' || url AS t FROM pages)"
-_D = " + ".join(f"CASE WHEN regexp_matches(t, '{p}') THEN {n} ELSE 0 END" for p, n in discovery.DOCUMENT_RULES)
+QUERIES = {f.__name__: f for f in (document_ranking, document_links, application_ranking, allowed_hosts, document_queue, breaker_replay, shard_artifacts)}
+_AT = f"list_extract([{', '.join(repr(x) for x in TITLES)}], page_id % {len(TITLES)} + 1)"
+
+
+def _class_sql(title: str, url: str) -> str:
+    """Role, score and relevance of a title and an address."""
+    roles = " ".join(f"WHEN regexp_matches(t, '{p}') THEN '{n}'" for n, p in discovery.ROLES)
+    points = " + ".join(f"CASE WHEN regexp_matches(t, '{p}') THEN {n} ELSE 0 END" for p, n in (*discovery.DOCUMENT_RULES, (discovery.NOISE, discovery.NOISE_POINTS)))
+    score = f"CASE WHEN regexp_matches(t, '{discovery.USEFUL}') OR regexp_matches({url}, '{discovery.FILE}') THEN 45 ELSE 5 END + {points}"
+    return f"SELECT *, CASE {roles} ELSE 'planning-document' END AS role, CAST({score} AS INT) AS score, ({score}) >= 30 AS relevant FROM (SELECT *, trim(regexp_replace({title} || ' ' || url_decode({url}), '\\s+', ' ', 'g')) AS t FROM {{src}})"
+
+
 _A = " + ".join([*(f"CASE WHEN contains(lower(html), '{x}') THEN {n} ELSE 0 END" for x, n in (("article", 20), ("en", 20), ("the and", 40))), *(f"CASE WHEN regexp_matches(html, '{p}') THEN {n} ELSE 0 END" for p, n in [*((p, n) for _, p, n in CATEGORIES), *discovery.APPLICATION_PENALTIES])])
 _NAMES = ", ".join(f"CASE WHEN regexp_matches(html, '{p}') THEN '{c}' END" for c, p, _ in CATEGORIES)
 ORACLE_SQL = {
-    "document_ranking": f"SELECT page_id, CASE WHEN regexp_matches(t, '{discovery.USEFUL}') THEN 45 ELSE 5 END + {_D} AS score FROM {_TITLE}",
+    "document_ranking": f"SELECT page_id, role, score, relevant FROM ({_class_sql(_AT, 'url').format(src='pages')})",
+    "document_links": f"""
+WITH l AS (SELECT page_id % 97 AS page, page_id AS pos, regexp_extract(url, '^(https?://[^/?#]+)', 1) || list_extract(['/plans/a.pdf', '/ViewDocument', '/about', '/b.DWG'], page_id % 4 + 1) || '?t=' || page_id % 11 AS url, {_AT} AS title FROM pages),
+u AS (SELECT page, url, arg_min(title, pos) AS title FROM l WHERE NOT contains(url, '/about') GROUP BY 1, 2)
+SELECT page, url, role, score, relevant, CAST(row_number() OVER (PARTITION BY page ORDER BY score DESC, url) AS INT) AS place FROM ({_class_sql('title', 'url').format(src='u')})""",
     "application_ranking": f"SELECT page_id, {_A} AS score, concat_ws(',', {_NAMES}) AS categories, ({_A}) >= 180 AS keep FROM pages",
     "allowed_hosts": "SELECT page_id, page_id % 2 = 0 OR lower(regexp_extract(url, '^https?://([^/]+)', 1)) IN ('docs.example.org', 'www.example.com') AS allowed FROM pages",
     "document_queue": "WITH b AS (SELECT o_custkey AS application, o_custkey * 7 % 101 AS s, o_orderkey AS document, o_totalprice AS p FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 2) SELECT CAST(row_number() OVER (ORDER BY s DESC, application, p DESC, document) - 1 AS INT) AS position, application, document FROM b QUALIFY position < 160",

@@ -39,14 +39,18 @@ def test_block_spec_and_attributes(spark):
 
 
 def test_roles_and_structures(spark):
-    rows = spark.createDataFrame([({"name": "Main queue"},), ({"access": "private"},), ({"bridge": "viaduct", "tunnel": "no"},), ({"covered": "yes"},)], "t map<string,string>")
+    rows = spark.createDataFrame([({"name": "Main queue"},), ({"access": "customers", "name": "Main queue"},), ({"access": "private"},), ({"bridge": "viaduct", "tunnel": "no"},), ({"location": "underground"},)], "t map<string,string>")
     got = rows.select(kinds.path_role(F.col("t")).alias("r"), kinds.bridge(F.col("t")).alias("b"), kinds.tunnel(F.col("t")).alias("u")).collect()
-    assert [r.r for r in got] == ["queue", "service", "guest", "guest"] and [r.b for r in got] == [False, False, True, False] and [r.u for r in got] == [False, False, False, True]
+    assert [r.r for r in got] == ["guest", "queue", "service", "guest", "guest"] and [r.b for r in got] == [False, False, False, True, False] and [r.u for r in got] == [False, False, False, False, True]
 
 
-def test_trunk(spark):
-    rows = spark.createDataFrame([(None, 30.0, 2.0, 10.0, 5.0), (None, None, 3.141592653589793, 10.0, 5.0), (None, None, None, 10.0, 5.0), (None, None, None, 500.0, 5.0), (None, None, None, None, 5.0)], "m double, c double, g double, h double, k double")
-    assert [r.d if r.d is None else round(r.d, 3) for r in rows.select(kinds.trunk_diameter(*(F.col(c) for c in "mcghk"), F.lit(1.0)).alias("d")).collect()][:4] == [0.3, 1.0, 0.34, 2.4]
+def test_subtypes_and_areas(spark):
+    tags = [{"highway": "track"}, {"highway": "crossing"}, {"area:highway": "Footway"}, {"shop": "gift"}, {"natural": "", "amenity": "toilets"}, {"tourism": "hotel"}]
+    rows = spark.createDataFrame([(t,) for t in tags], "t map<string,string>")
+    got = [tuple(r.c) for r in rows.select(kinds.classified(F.col("t")).alias("c")).collect()]
+    assert got == [("road", "track"), ("road", "crossing"), ("path", "area:footway"), ("amenity", "shop:gift"), ("amenity", "toilets"), ("amenity", "tourism:hotel")]
+    areas = [r.a for r in rows.select(kinds.is_area(F.col("t"), F.lit(True)).alias("a")).collect()]
+    assert areas == [False, False, True, False, True, False]
 
 
 def test_relations_empty(spark):

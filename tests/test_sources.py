@@ -90,9 +90,9 @@ def test_authority_order(spark):
     assert got == ["excluded", "map-derived", "outlier:x", "planning", "independent", "not-planning"]
 
 
-def test_temporary_fence(spark):
-    rows = spark.createDataFrame([("barrier", None, "temporary", "Red"), ("barrier", None, "permanent", "red"), ("path", "construction-fence", None, None), (None, None, None, None)], "k string, s string, t string, c string")
-    assert [r.v for r in rows.select(authority.temporary_fence(*(F.col(c) for c in "kstc")).alias("v")).collect()] == [True, False, True, False]
+def test_construction_fence(spark):
+    rows = spark.createDataFrame([("fence", "fence", "temporary works", None, "Dark red"), ("fence", None, "permanent", None, "red"), ("x construction-fence", None, None, None, None), (None, "fence", None, True, "#f00"), (None, None, None, None, None)], "s string, b string, t string, f boolean, c string")
+    assert [r.v for r in rows.select(authority.construction_fence(*(F.col(c) for c in "sbtfc")).alias("v")).collect()] == [True, False, True, True, False]
 
 
 def test_wrapped(spark):
