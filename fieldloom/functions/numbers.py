@@ -13,7 +13,8 @@ def half_up(value: Column, digits: int = 0) -> Column:
 
 
 def clamp(value: Column, low: float, high: float) -> Column:
-    return F.greatest(F.least(value, F.lit(high)), F.lit(low))
+    """value held between two bounds; null stays null, which greatest and least alone would turn into a bound."""
+    return F.when(value.isNotNull(), F.greatest(F.least(value, F.lit(high)), F.lit(low)))
 
 
 def ratio(part: Column, whole: Column) -> Column:
