@@ -11,18 +11,23 @@ import heapq
 import math
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """The rows as a table in the shared folder named by spark.checkpoint.dir (a temporary one where unset)."""
+    """The rows as a table in the shared folder named by spark.checkpoint.dir; a temporary one where that is unset and Spark is local."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="fieldloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/graphs-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
@@ -30,6 +35,45 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def streamed(rows: DataFrame, key: str, order: list[str], added: str, solve: Callable[[dict[str, list]], dict[str, list]]) -> DataFrame:
+    """Rows with the columns `added` (DDL), which solve makes from the columns of one group in order; rows whose first added value is null go.
+
+    Partitions are sorted and streamed, so many small groups cost no call to a frame each, and a task holds one batch and one group.
+    """
+    from pyspark.sql import types as T
+
+    names, more = rows.columns, T._parse_datatype_string(added).fields
+    schema = T.StructType([*rows.schema.fields, *more])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+
+        def solved(table: pa.Table, last: bool) -> tuple[list[pa.RecordBatch], pa.Table]:
+            columns = {c: table.column(c).to_pylist() for c in names}
+            keys = columns[key]
+            cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+            whole = cuts if last else cuts[:-1]
+            new: dict[str, list] = {f.name: [] for f in more}
+            for a, b in zip(whole, whole[1:]):
+                got = solve({c: v[a:b] for c, v in columns.items()})
+                for c in new:
+                    new[c] += got[c]
+            end = whole[-1] if whole else 0
+            done = table.slice(0, end)
+            for f in more:
+                done = done.append_column(f.name, pa.array(new[f.name], to_arrow_type(f.dataType)))
+            return done.filter(done.column(more[0].name).is_valid()).to_batches(), table.slice(end)
+
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            out, rest = solved(table if rest is None else pa.concat_tables([rest, table]).combine_chunks(), False)
+            yield from out
+        if rest is not None and len(rest):
+            yield from solved(rest, True)[0]
+
+    return rows.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for links (a, b): the least node of each component, by pointing every node at the least it can see.
 
@@ -75,63 +119,87 @@ def _spaced(x: np.ndarray, z: np.ndarray, spacing: float, most: int) -> list[int
 
 def greedy_spacing(rows: DataFrame, key: str, order: list[str], spacing: float, most: int = 1 << 30) -> DataFrame:
     """Rows of each group taken in order, each at least `spacing` from all taken before, up to `most`."""
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(order, kind="stable")
-        return group.iloc[_spaced(group["x"].to_numpy(float), group["z"].to_numpy(float), spacing, most)]
+    def solve(group: dict[str, list]) -> dict[str, list]:
+        taken = set(_spaced(np.array(group["x"], float), np.array(group["z"], float), spacing, most))
+        return {"_taken": [True if i in taken else None for i in range(len(group["x"]))]}
+
+    return streamed(rows, key, order, "_taken boolean", solve).drop("_taken")
+
 
-    return rows.groupBy(key).applyInPandas(run, rows.schema)
+#: Fixed values of the continuity choice: cost of a metre's jump, slope without extra cost and its cost, slope ruled out, least run in metres.
+BEND, EASY, STEEP, FORBIDDEN, LEAST_RUN = 0.34, 1.15, 1.8, 3.5, 0.25
 
 
-def best_path(measure: list[float], options: list[list[tuple[float, float]]], bend: float = 0.34, limit: float = 1.15, forbidden: float = 3.5) -> list[int]:
-    """The option at each sample that maximises total quality less penalties for jumps and steep slopes; -1 where none fits.
+def best_path(measure: list[float], options: list[list[tuple[float, float]]]) -> list[int]:
+    """The option at each sample that maximises total quality less the costs of jumps and steep slopes; options: (value, quality) per sample.
 
-    options: (value, quality) per sample. A slope beyond `forbidden` is ruled out; where no step is left, the path starts anew.
+    Runs of samples without options part the line (-1 there). A slope beyond FORBIDDEN is ruled out; an option that no step reaches
+    is worth nothing, and what lies before it in its run stays unchosen (-1).
     """
-    score: list[list[float]] = []
-    back: list[list[int]] = []
-    for t, now in enumerate(options):
-        row, link = [], []
-        for value, quality in now:
-            top, via = quality, -1
-            if t and options[t - 1]:
-                run = max(measure[t] - measure[t - 1], 1e-9)
-                best = None
+    chosen, t = [-1] * len(options), 0
+    while t < len(options):
+        if not options[t]:
+            t += 1
+            continue
+        start, score, back = t, [[q for _, q in options[t]]], [[-1] * len(options[t])]
+        while t + 1 < len(options) and options[t + 1]:
+            t += 1
+            run = max(LEAST_RUN, measure[t] - measure[t - 1])
+            row, link = [], []
+            for value, quality in options[t]:
+                best, via = -math.inf, -1
                 for j, (before, _) in enumerate(options[t - 1]):
-                    slope = abs(value - before) / run
-                    if slope <= forbidden:
-                        got = score[t - 1][j] - bend * abs(value - before) - 1.8 * max(0.0, slope - limit)
-                        if best is None or got > best:
+                    jump = abs(value - before)
+                    if jump / run <= FORBIDDEN:
+                        got = score[-1][j] + quality - BEND * jump - STEEP * max(0.0, jump / run - EASY)
+                        if got > best:
                             best, via = got, j
-                top = quality + (best if best is not None else 0.0)
-            row.append(top)
-            link.append(via)
-        score.append(row)
-        back.append(link)
-    chosen = [-1] * len(options)
-    t, at = len(options) - 1, -1
-    while t >= 0:
-        if at < 0 and options[t]:
-            at = max(range(len(options[t])), key=lambda j: (score[t][j], -j))
-        chosen[t] = at
-        at = back[t][at] if at >= 0 else -1
-        t -= 1
+                row.append(best)
+                link.append(via)
+            score.append(row)
+            back.append(link)
+        at = max(range(len(options[t])), key=lambda j: (score[-1][j], -j))
+        for i in range(t, start - 1, -1):
+            chosen[i] = at
+            at = back[i - start][at]
+            if at < 0:
+                break
+        t += 1
     return chosen
 
 
-def continuity_choice(rows: DataFrame, key: str, sample: str, measure: str, value: str, quality: str) -> DataFrame:
-    """The candidate chosen at each sample of each line; adds `chosen`."""
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values([sample, value], kind="stable").reset_index(drop=True)
-        parts = [g for _, g in group.groupby(sample, sort=True)]
-        path = best_path([float(g[measure].iloc[0]) for g in parts], [list(zip(g[value].tolist(), g[quality].tolist())) for g in parts])
-        group["chosen"] = False
-        for g, j in zip(parts, path):
+def continuity(options: list[list[tuple[float, float]]], chosen: list[int]) -> list[tuple[float, float]]:
+    """How well each chosen option goes on from the one before (0.6 at a start), and how near in quality another option is."""
+    held = lambda x: max(0.0, min(1.0, x))
+    out = []
+    for t, at in enumerate(chosen):
+        if at < 0:
+            out.append((0.0, 0.0))
+            continue
+        value, quality = options[t][at]
+        other = next((q for j, (_, q) in enumerate(options[t]) if j != at), None)
+        first = t == 0 or not options[t - 1]
+        before = options[t - 1][chosen[t - 1]][0] if not first and chosen[t - 1] >= 0 else value
+        out.append((0.6 if first else held(1 - abs(value - before) / 5), 0.0 if other is None else held(1 - abs(quality - other) / 3)))
+    return out
+
+
+def continuity_choice(rows: DataFrame, key: str, sample: str, measure: str, value: str, quality: str, base: str | None = None) -> DataFrame:
+    """The candidate chosen at each sample of each line; adds `chosen`, and `confidence` of the chosen ones from the column `base` (0 without)."""
+    def solve(group: dict[str, list]) -> dict[str, list]:
+        n = len(group[sample])
+        cuts = [0, *(i for i in range(1, n) if group[sample][i] != group[sample][i - 1]), n]
+        parts = list(zip(cuts, cuts[1:]))
+        options = [list(zip(group[value][a:b], group[quality][a:b])) for a, b in parts]
+        path = best_path([float(group[measure][a]) for a, _ in parts], options)
+        out, trust = [False] * n, [None] * n
+        for (a, _), j, (smooth, unsure) in zip(parts, path, continuity(options, path)):
             if j >= 0:
-                group.loc[g.index[j], "chosen"] = True
-        return group
+                out[a + j] = True
+                trust[a + j] = max(0.0, min(0.9, (group[base][a + j] if base else 0.0) + 0.12 * smooth - 0.08 * unsure))
+        return {"chosen": out, "confidence": trust}
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.groupBy(key).applyInPandas(run, f"{schema}, chosen boolean")
+    return streamed(rows, key, [sample, value], "chosen boolean, confidence double", solve)
 
 
 def watershed(cells: dict[tuple[int, int], float], seeds: list[tuple[int, int]]) -> dict[tuple[int, int], int]:
@@ -153,7 +221,10 @@ def watershed(cells: dict[tuple[int, int], float], seeds: list[tuple[int, int]])
 
 
 def crowns(cells: DataFrame, key: str, value: str, seed: str) -> DataFrame:
-    """The seed number (order of z, x) that each cell of a group belongs to; cells out of reach are left out."""
+    """The seed number (order of z, x) that each cell of a group belongs to; cells out of reach are left out.
+
+    A group is one feature's cells or one tile in x and z: its size is bounded by the tile, not by the raster.
+    """
     def run(group: pd.DataFrame) -> pd.DataFrame:
         at = {(int(x), int(z)): float(v) for x, z, v in zip(group["x"], group["z"], group[value])}
         seeds = sorted(((int(x), int(z)) for x, z, s in zip(group["x"], group["z"], group[seed]) if s), key=lambda p: (p[1], p[0]))
@@ -189,11 +260,12 @@ def simplify(points: list[tuple[float, float]], tolerance: float) -> list[int]:
 
 
 def simplified(lines: DataFrame, key: str, order: str, tolerance: float) -> DataFrame:
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(order, kind="stable")
-        return group.iloc[simplify(list(zip(group["x"].tolist(), group["z"].tolist())), tolerance)]
+    """The vertices of each line that stay."""
+    def solve(group: dict[str, list]) -> dict[str, list]:
+        kept = set(simplify(list(zip(group["x"], group["z"])), tolerance))
+        return {"_kept": [True if i in kept else None for i in range(len(group["x"]))]}
 
-    return lines.groupBy(key).applyInPandas(run, lines.schema)
+    return streamed(lines, key, [order], "_kept boolean", solve).drop("_kept")
 
 
 def thin(mask: np.ndarray, rounds: int = 256) -> np.ndarray:

@@ -42,7 +42,7 @@ def inferred(nodes: DataFrame, size: float = 64.0) -> DataFrame:
 def building_heights(samples: DataFrame, id: str, surface: str, terrain: str) -> DataFrame:
     """Height of each building from surface less terrain (1.5 to 80 m): 65th percentile, spread, coverage, confidence."""
     rise = F.col(surface) - F.col(terrain)
-    seen = samples.groupBy(id).agg(F.count("*").alias("cells"), F.collect_list(F.when(rise.between(1.5, 80), rise)).alias("_h"), F.percentile(F.when(rise.between(1.5, 80), rise), F.array(F.lit(0.1), F.lit(0.65), F.lit(0.9))).alias("_p")).withColumn("n", F.size("_h"))
+    seen = samples.groupBy(id).agg(F.count("*").alias("cells"), F.count_if(rise.between(1.5, 80)).cast("int").alias("n"), F.percentile(F.when(rise.between(1.5, 80), rise), F.array(F.lit(0.1), F.lit(0.65), F.lit(0.9))).alias("_p"))
     share = F.col("n") / F.col("cells")
     good = (F.col("n") >= 4) & (share >= 0.35)
     height, spread = F.floor(F.col("_p")[1] * 10 + 0.5) / 10, F.floor((F.col("_p")[2] - F.col("_p")[0]) * 10 + 0.5) / 10

@@ -67,8 +67,21 @@ def limited_fanout(matches: DataFrame, key: str, most: int) -> DataFrame:
 
 
 def linear_reference(rows: DataFrame, segments: DataFrame, key: list[str], reach: float) -> DataFrame:
-    """For each point the nearest segment of its line within reach, with measure and lateral distance; ties take the lower measure."""
-    met = rows.alias("p").join(segments.alias("s"), key)
+    """For each point the nearest segment of its line within reach, with measure and lateral distance; ties take the lower measure.
+
+    Segments are cut into pieces as long as a cell of the grid, which are put into the cells that their reach touches; points
+    meet the pieces in their own cell, never all segments of a line.
+    """
+    cell = 2 * reach
+    pieces = F.greatest(F.lit(1), F.ceil(F.hypot(F.col("bx") - F.col("ax"), F.col("bz") - F.col("az")) / cell)).cast("int")
+    cut = segments.withColumns({"_pieces": pieces}).withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_pieces") - 1)))
+    end = lambda a, b, k: F.col(a) + (F.col(b) - F.col(a)) * k / F.col("_pieces")
+    for axis in "xz":
+        a, b = end(f"a{axis}", f"b{axis}", F.col("_k")), end(f"a{axis}", f"b{axis}", F.col("_k") + 1)
+        cut = cut.withColumn(f"_c{axis}", F.explode(_cells(F.least(a, b) - reach, F.greatest(a, b) + reach, cell)))
+    placed = rows.withColumns({f"_c{axis}": F.floor(F.col(axis) / cell) for axis in "xz"})
+    near = cut.select(*key, "_cx", "_cz", "ax", "az", "bx", "bz", "start").distinct()
+    met = placed.alias("p").join(near.alias("s"), [*key, "_cx", "_cz"])
     dx, dz = F.col("s.bx") - F.col("s.ax"), F.col("s.bz") - F.col("s.az")
     size = dx * dx + dz * dz
     along = F.when(size == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("p.x") - F.col("s.ax")) * dx + (F.col("p.z") - F.col("s.az")) * dz) / F.nullif(size, F.lit(0.0)))))

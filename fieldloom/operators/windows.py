@@ -78,12 +78,17 @@ def segments(rows: DataFrame, key: list[str], measure: str, value: str, longest:
                         F.when(F.col("end_measure") - F.col(measure) > longest, "unsupported-gap").otherwise("supported").alias("status"))
 
 
-def value_at(asked: DataFrame, known: DataFrame, key: list[str], at: str) -> DataFrame:
-    """The value on the first segment that holds the asked measure; null outside all segments."""
-    met = asked.join(known, key, "left").filter(F.col("start_measure").isNull() | F.col(at).between(F.col("start_measure"), F.col("end_measure")))
+def value_at(asked: DataFrame, known: DataFrame, key: list[str], at: str, bin: float = 64.0) -> DataFrame:
+    """The value on the first segment that holds the asked measure; null outside all segments.
+
+    Both sides meet in bins of the measure, so an asked row sees the segments near it, however many its line has.
+    """
+    asked = asked.withColumn("_bin", F.floor(F.col(at) / bin))
+    near = known.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("start_measure") / bin), F.floor(F.col("end_measure") / bin))))
+    met = asked.select(*key, at, "_bin").distinct().join(near, [*key, "_bin"]).filter(F.col(at).between(F.col("start_measure"), F.col("end_measure")))
     value = F.col("start_value") + (F.col("end_value") - F.col("start_value")) * (F.col(at) - F.col("start_measure")) / (F.col("end_measure") - F.col("start_measure"))
     best = met.groupBy(*key, at).agg(F.min_by(value, "start_measure").alias("value"))
-    return asked.join(best, [*key, at], "left")
+    return asked.drop("_bin").join(best, [*key, at], "left")
 
 
 def resample(lines: DataFrame, key: list[str], start: str, end: str, step: float) -> DataFrame:

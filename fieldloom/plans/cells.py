@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from fieldloom.functions.numbers import half_up
 from fieldloom.operators import graphs, raster
-from fieldloom.plans.tables import points, read
+from fieldloom.plans.tables import points, read, track
 
 
 def _cells(spark: SparkSession, d: str) -> DataFrame:
@@ -54,12 +54,12 @@ def chunk_split(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bilinear_samples(spark: SparkSession, d: str) -> DataFrame:
-    asked = points(spark, d).filter("vec_id % 3 = 0").select("vec_id", (F.col("x") / 8).alias("ax"), (F.col("z") / 8).alias("az"))
+    asked = points(spark, d).select("vec_id", (F.col("x") / 8).alias("ax"), (F.col("z") / 8).alias("az"))
     return raster.bilinear(asked, _cells(spark, d), "vec_id", "h").select("vec_id", half_up(F.col("h"), 6).alias("h"))
 
 
 def _links(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "orders").filter("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("a"), (F.pmod(F.col("o_orderkey"), F.lit(700)) + 100000).alias("b"))
+    return read(spark, d, "orders").select(F.col("o_custkey").alias("a"), (F.pmod(F.col("o_orderkey"), F.lit(700)) + 100000).alias("b"))
 
 
 def connected_components(spark: SparkSession, d: str) -> DataFrame:
@@ -71,7 +71,9 @@ def network_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def greedy_spacing(spark: SparkSession, d: str) -> DataFrame:
-    return graphs.greedy_spacing(points(spark, d).select("kind", "vec_id", "x", "z"), "kind", ["vec_id"], 40.0)
+    """Lines of a part as points of one feature."""
+    rows = read(spark, d, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber", F.pmod(F.col("l_orderkey") * 7, F.lit(211)).alias("x"), F.pmod(F.col("l_suppkey") * 13, F.lit(97)).alias("z"))
+    return graphs.greedy_spacing(rows, "l_partkey", ["l_orderkey", "l_linenumber"], 40.0)
 
 
 def continuity_choice(spark: SparkSession, d: str) -> DataFrame:
@@ -80,13 +82,14 @@ def continuity_choice(spark: SparkSession, d: str) -> DataFrame:
 
 
 def seeded_watershed(spark: SparkSession, d: str) -> DataFrame:
-    cells = _cells(spark, d).withColumns({"tile": F.floor(F.col("x") / 16).cast("bigint"), "seed": F.col("h") >= 8})
+    cells = _cells(spark, d).withColumns({"tile": F.floor(F.col("x") / 16).cast("bigint") * 1000003 + F.floor(F.col("z") / 16).cast("bigint"), "seed": F.col("h") >= 8})
     return graphs.crowns(cells, "tile", "h", "seed")
 
 
 def simplified_lines(spark: SparkSession, d: str) -> DataFrame:
-    line = points(spark, d).select("kind", "vec_id", F.col("x").cast("double").alias("x"), F.col("z").cast("double").alias("z"))
-    return graphs.simplified(line, "kind", "vec_id", 30.0)
+    """Every order's lines as the vertices of one line."""
+    line = track(spark, d).select("track_id", "seq", F.col("measure").alias("x"), (F.coalesce("elevation", F.lit(0.0)) / 1000).alias("z"))
+    return graphs.simplified(line, "track_id", "seq", 10.0)
 
 
 QUERIES = {f.__name__: f for f in (cell_maxima, local_maxima, boundary_cells, neighbour_majority, median_smoothing, overlay_paint, scanline_cells, chunk_split, bilinear_samples, connected_components, network_summary, greedy_spacing, continuity_choice, seeded_watershed, simplified_lines)}
@@ -94,7 +97,7 @@ QUERIES = {f.__name__: f for f in (cell_maxima, local_maxima, boundary_cells, ne
 _PTS = "(SELECT vec_id, CAST(floor(CAST(embedding[1] AS DOUBLE)*1000) AS BIGINT) AS x, CAST(floor(CAST(embedding[2] AS DOUBLE)*1000) AS BIGINT) AS z, label AS kind FROM embeddings)"
 _CELLS = f"(SELECT CAST(floor(x / 8) AS BIGINT) AS x, CAST(floor(z / 8) AS BIGINT) AS z, max(kind::DOUBLE) AS h FROM {_PTS} GROUP BY 1, 2)"
 _NEAR = "abs(a.x-b.x) <= 1 AND abs(a.z-b.z) <= 1 AND (a.x <> b.x OR a.z <> b.z)"
-_LINKS = "(SELECT o_custkey AS a, o_orderkey % 700 + 100000 AS b FROM orders WHERE o_orderkey % 3 = 0)"
+_LINKS = "(SELECT o_custkey AS a, o_orderkey % 700 + 100000 AS b FROM orders)"
 _ROOTS = f"""WITH RECURSIVE e AS (SELECT a, b FROM {_LINKS} UNION SELECT b, a FROM {_LINKS}), r(node, root) AS (SELECT a, a FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node)"""
 
 ORACLE_SQL = {
@@ -114,7 +117,7 @@ c AS (SELECT k, r.z, ax + (r.z + 0.5::DOUBLE - az) * (bx - ax) / (bz - az) AS at
 SELECT CAST(p.k AS INT) AS n_nationkey, CAST(p.z AS BIGINT) AS z, CAST(ceil(p.at - 0.5) AS BIGINT) AS first, CAST(floor(q.at - 0.5) AS BIGINT) AS last FROM c p JOIN c q ON p.k = q.k AND p.z = q.z AND q.n = p.n + 1 WHERE p.n % 2 = 1 AND ceil(p.at - 0.5) <= floor(q.at - 0.5)""",
     "chunk_split": f"SELECT vec_id, greatest(x, cx*16) AS x1, greatest(z, cz*16) AS z1, least(x+3*kind, cx*16+15) AS x2, least(z+20, cz*16+15) AS z2, cx AS chunk_x, cz AS chunk_z FROM (SELECT *, unnest(range(CAST(floor(x/16) AS BIGINT), CAST(floor((x+3*kind)/16) AS BIGINT)+1)) AS cx FROM (SELECT *, unnest(range(CAST(floor(z/16) AS BIGINT), CAST(floor((z+20)/16) AS BIGINT)+1)) AS cz FROM {_PTS}))",
     "bilinear_samples": f"""
-WITH q AS (SELECT vec_id, x/8.0::DOUBLE - 0.5 AS u, z/8.0::DOUBLE - 0.5 AS v FROM {_PTS} WHERE vec_id % 3 = 0),
+WITH q AS (SELECT vec_id, x/8.0::DOUBLE - 0.5 AS u, z/8.0::DOUBLE - 0.5 AS v FROM {_PTS}),
 c AS (SELECT vec_id, floor(u)+dx AS x, floor(v)+dz AS z, (CASE WHEN dx = 1 THEN u-floor(u) ELSE 1-(u-floor(u)) END)*(CASE WHEN dz = 1 THEN v-floor(v) ELSE 1-(v-floor(v)) END) AS w FROM q, (VALUES (0,0),(1,0),(0,1),(1,1)) o(dx, dz))
 SELECT q.vec_id, floor(sum(w*h)/sum(CASE WHEN h IS NOT NULL THEN w END)*1000000+0.5)/1000000 AS h FROM q LEFT JOIN (SELECT c.vec_id, w, h FROM c JOIN {_CELLS} k ON k.x = c.x AND k.z = c.z WHERE w > 0) m ON m.vec_id = q.vec_id GROUP BY q.vec_id""",
     "connected_components": f"{_ROOTS} SELECT node, min(root) AS root FROM r GROUP BY 1",

@@ -49,8 +49,8 @@ def box_gaps(spark: SparkSession, d: str) -> DataFrame:
 
 def replace_by_id(spark: SparkSession, d: str) -> DataFrame:
     base = read(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
-    changes = read(spark, d, "orders").filter("o_orderkey % 50 = 0").groupBy("o_custkey").agg(F.min("o_orderkey").alias("k"))
-    changes = changes.select((F.col("k") + 10000000).alias("id"), F.concat(F.lit("order "), F.col("k").cast("string")).alias("name"), F.when(F.col("k") % 100 == 0, F.col("o_custkey")).alias("replaces"))
+    changes = read(spark, d, "orders").groupBy("o_custkey").agg(F.min("o_orderkey").alias("k"))
+    changes = changes.select((F.col("k") + 10000000).alias("id"), F.concat(F.lit("order "), F.col("k").cast("string")).alias("name"), F.when(F.col("k") % 2 == 0, F.col("o_custkey")).alias("replaces"))
     return spatial.replaced(base, changes, "id", "replaces")[0]
 
 
@@ -70,7 +70,7 @@ def linear_references(spark: SparkSession, d: str) -> DataFrame:
     by = Window.partitionBy("kind").orderBy("vec_id")
     path = p.select("kind", F.col("x").cast("double").alias("ax"), F.col("z").cast("double").alias("az"), F.lead("x").over(by).cast("double").alias("bx"), F.lead("z").over(by).cast("double").alias("bz"), F.row_number().over(by).alias("n"))
     path = path.filter("bx is not null").withColumn("start", (F.col("n") * 1000).cast("double"))
-    asked = p.filter("vec_id % 10 = 0").select(F.col("vec_id").alias("id"), "kind", (F.col("x") + 3).alias("x"), (F.col("z") - 2).alias("z"))
+    asked = p.select(F.col("vec_id").alias("id"), "kind", (F.col("x") + 3).alias("x"), (F.col("z") - 2).alias("z"))
     found = spatial.linear_reference(asked, path, ["kind"], 14.0)
     return found.select("id", half_up(F.col("lateral"), 3).alias("side_m"), half_up(F.col("measure"), 3).alias("measure"))
 
@@ -130,12 +130,12 @@ ORACLE_SQL = {
     "nearest_compatible": f"SELECT a AS node, b AS seen, score FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS n FROM (SELECT a, b, floor((1 - distance/50 + CASE WHEN ka + 1 = kb THEN 1.25::DOUBLE ELSE 0 END)*1000000+0.5)/1000000 AS score FROM {_PAIRS} WHERE distance <= 50)) WHERE n = 1",
     "box_overlaps": f"SELECT a.vec_id AS a, b.vec_id AS b FROM {_PTS} a, {_PTS} b WHERE a.kind % 2 = 0 AND b.kind % 2 = 1 AND a.x - a.kind - 4 <= b.x + b.kind AND b.x - b.kind <= a.x + a.kind + 4 AND a.z - 9 <= b.z + 5 AND b.z - 5 <= a.z + 9",
     "box_gaps": f"SELECT vec_id, floor(sqrt(pow(greatest(0.0, x - 3 - 20, -20 - (x + 3)), 2) + pow(greatest(0.0, z - 2 - 10, -10 - (z + 2)), 2))*10000+0.5)/10000 AS gap FROM {_PTS}",
-    "replace_by_id": "WITH ch AS (SELECT o_custkey, min(o_orderkey) AS k FROM orders WHERE o_orderkey % 50 = 0 GROUP BY 1) SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM ch WHERE k % 100 = 0) UNION ALL SELECT k + 10000000, 'order ' || k FROM ch",
+    "replace_by_id": "WITH ch AS (SELECT o_custkey, min(o_orderkey) AS k FROM orders GROUP BY 1) SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM ch WHERE k % 2 = 0) UNION ALL SELECT k + 10000000, 'order ' || k FROM ch",
     "fanout_limit": "SELECT l_partkey, l_orderkey, l_linenumber FROM lineitem JOIN part ON l_partkey = p_partkey QUALIFY count(*) OVER (PARTITION BY l_partkey) <= 30",
     "semantic_point_dedupe": f"SELECT * FROM {_PTS} a WHERE NOT EXISTS (SELECT 1 FROM {_PTS} b WHERE b.kind = a.kind AND b.vec_id < a.vec_id AND (a.x-b.x)*(a.x-b.x)+(a.z-b.z)*(a.z-b.z) <= 625)",
     "linear_references": f"""
 WITH path AS (SELECT kind, x::DOUBLE AS ax, z::DOUBLE AS az, (lead(x) OVER w)::DOUBLE AS bx, (lead(z) OVER w)::DOUBLE AS bz, row_number() OVER w * 1000.0::DOUBLE AS start FROM {_PTS} WINDOW w AS (PARTITION BY kind ORDER BY vec_id)),
-met AS (SELECT p.vec_id AS id, start, p.x + 3 AS px, p.z - 2 AS pz, ax, az, bx-ax AS dx, bz-az AS dz FROM {_PTS} p JOIN path ON path.kind = p.kind WHERE p.vec_id % 10 = 0 AND bx IS NOT NULL),
+met AS (SELECT p.vec_id AS id, start, p.x + 3 AS px, p.z - 2 AS pz, ax, az, bx-ax AS dx, bz-az AS dz FROM {_PTS} p JOIN path ON path.kind = p.kind WHERE bx IS NOT NULL),
 u AS (SELECT *, CASE WHEN dx*dx+dz*dz = 0 THEN 0 ELSE greatest(0.0, least(1.0, ((px-ax)*dx+(pz-az)*dz)/nullif(dx*dx+dz*dz, 0))) END AS t FROM met),
 v AS (SELECT id, sqrt(pow(px-(ax+t*dx), 2)+pow(pz-(az+t*dz), 2)) AS side, start+t*sqrt(dx*dx+dz*dz) AS measure FROM u)
 SELECT id, floor(side*1000+0.5)/1000 AS side_m, floor(measure*1000+0.5)/1000 AS measure FROM v WHERE side <= 14 QUALIFY row_number() OVER (PARTITION BY id ORDER BY side, measure) = 1""",

@@ -18,14 +18,14 @@ def gap_repairs(spark: SparkSession, d: str) -> DataFrame:
 
 def entrance_buildings(spark: SparkSession, d: str) -> DataFrame:
     p = points(spark, d)
-    doors = p.filter("vec_id % 4 = 0").select(F.col("vec_id").alias("id"), "x", "z", F.col("kind").alias("rank"))
-    found = paths.entrances(doors, p.filter("vec_id % 4 = 1").select(F.col("vec_id").alias("id"), "x", "z"), 40.0)
+    doors = p.filter("vec_id % 2 = 0").select(F.col("vec_id").alias("id"), "x", "z", F.col("kind").alias("rank"))
+    found = paths.entrances(doors, p.filter("vec_id % 2 = 1").select(F.col("vec_id").alias("id"), "x", "z"), 40.0)
     return found.select("building", "door", "rank")
 
 
 def shape_labels(spark: SparkSession, d: str) -> DataFrame:
     p = points(spark, d)
-    found = paths.labelled(p.filter("vec_id % 3 = 0").select(F.col("vec_id").alias("id"), "x", "z", (F.col("kind") * 100).alias("priority")), p.filter("vec_id % 3 = 1").select(F.col("vec_id").alias("id"), "x", "z"), 60.0, 8)
+    found = paths.labelled(p.filter("vec_id % 2 = 0").select(F.col("vec_id").alias("id"), "x", "z", (F.col("kind") * 100).alias("priority")), p.filter("vec_id % 2 = 1").select(F.col("vec_id").alias("id"), "x", "z"), 60.0, 8)
     return found.withColumn("score", half_up(F.col("score"), 3))
 
 
@@ -61,7 +61,7 @@ def cell_regions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def voxel_precedence(spark: SparkSession, d: str) -> DataFrame:
-    p = points(spark, d).filter("vec_id % 5 = 0")
+    p = points(spark, d)
     c = lambda n: F.col(n).cast("double")
     cells = p.select("vec_id", "kind", F.explode(regions.voxel_line(c("x"), c("kind"), c("z"), c("x") + 6, c("kind") * 2, c("z") - 3)).alias("c")).select("c.*", "vec_id", "kind")
     return regions.precedence(cells, F.col("kind"), "vec_id")
@@ -80,10 +80,10 @@ p AS (SELECT a.id, b.id AS to_id, {_D} AS distance, a.role = b.role AS same FROM
 q AS (SELECT *, floor(least(0.96::DOUBLE, 0.62::DOUBLE + 0.2::DOUBLE * greatest(0.0, 1 - distance / 30) + 0.04::DOUBLE * CASE WHEN same THEN 1.0::DOUBLE ELSE 0.7 END) * 1000 + 0.5) / 1000 AS confidence FROM p QUALIFY row_number() OVER (PARTITION BY id ORDER BY distance, to_id) = 1)
 SELECT id, to_id, floor(distance * 1000 + 0.5) / 1000 AS distance, confidence, confidence >= 0.72 AS accepted FROM q""",
     "entrance_buildings": f"""
-WITH n AS (SELECT a.vec_id AS door, a.kind AS rank, b.vec_id AS building FROM {_PTS} a JOIN {_PTS} b ON a.vec_id % 4 = 0 AND b.vec_id % 4 = 1 WHERE {_D} <= 40 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY {_D}, b.vec_id) = 1)
+WITH n AS (SELECT a.vec_id AS door, a.kind AS rank, b.vec_id AS building FROM {_PTS} a JOIN {_PTS} b ON a.vec_id % 2 = 0 AND b.vec_id % 2 = 1 WHERE {_D} <= 40 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY {_D}, b.vec_id) = 1)
 SELECT building, door, rank FROM n QUALIFY row_number() OVER (PARTITION BY building ORDER BY rank DESC, door) = 1""",
     "shape_labels": f"""
-WITH m AS (SELECT a.vec_id AS label, b.vec_id AS shape, {_D} - 0.08::DOUBLE * a.kind * 100 AS score FROM {_PTS} a JOIN {_PTS} b ON a.vec_id % 3 = 0 AND b.vec_id % 3 = 1 WHERE {_D} <= 60),
+WITH m AS (SELECT a.vec_id AS label, b.vec_id AS shape, {_D} - 0.08::DOUBLE * a.kind * 100 AS score FROM {_PTS} a JOIN {_PTS} b ON a.vec_id % 2 = 0 AND b.vec_id % 2 = 1 WHERE {_D} <= 60),
 f AS (SELECT * FROM m QUALIFY count(*) OVER (PARTITION BY label) <= 8)
 SELECT label, shape, floor(score * 1000 + 0.5) / 1000 AS score FROM f QUALIFY row_number() OVER (PARTITION BY shape ORDER BY score, label) = 1""",
     "anchor_thinning": f"""
@@ -111,6 +111,6 @@ WITH RECURSIVE c AS (SELECT DISTINCT CAST(floor(x / 12) AS BIGINT) AS x, CAST(fl
 l AS (SELECT x, z, min((rz, rx)) AS root FROM r GROUP BY 1, 2)
 SELECT count(*) AS n, min(x) AS min_x, max(x) AS max_x, min(z) AS min_z, max(z) AS max_z FROM l GROUP BY root HAVING count(*) >= 2""",
     "voxel_precedence": f"""
-WITH s AS (SELECT *, greatest(6, kind) AS steps FROM {_PTS} WHERE vec_id % 5 = 0), v AS (SELECT DISTINCT vec_id, kind, CAST(floor(x + 6.0::DOUBLE * i / steps + 0.5) AS BIGINT) AS x, CAST(floor(kind + kind::DOUBLE * i / steps + 0.5) AS BIGINT) AS y, CAST(floor(z - 3.0::DOUBLE * i / steps + 0.5) AS BIGINT) AS z FROM s, range(0, 100) r(i) WHERE i <= steps)
+WITH s AS (SELECT *, greatest(6, kind) AS steps FROM {_PTS}), v AS (SELECT DISTINCT vec_id, kind, CAST(floor(x + 6.0::DOUBLE * i / steps + 0.5) AS BIGINT) AS x, CAST(floor(kind + kind::DOUBLE * i / steps + 0.5) AS BIGINT) AS y, CAST(floor(z - 3.0::DOUBLE * i / steps + 0.5) AS BIGINT) AS z FROM s, range(0, 100) r(i) WHERE i <= steps)
 SELECT x, y, z, arg_max(vec_id, (kind, vec_id)) AS vec_id, max(kind) AS kind FROM v GROUP BY 1, 2, 3""",
 }

@@ -133,6 +133,29 @@ def test_best_path_is_best(options):
     assert math.isclose(worth(got), max(worth(p) for p in itertools.product(*(range(len(o)) for o in options))), abs_tol=1e-9)
 
 
+def test_best_path_stops_where_no_step_leads_on():
+    assert graphs.best_path([0.0, 10.0, 20.0], [[(0.0, 5.0)], [(100.0, 1.0)], [(101.0, 1.0), (0.0, 9.0)]]) == [-1, -1, 0]
+    assert graphs.best_path([0.0, 10.0, 20.0], [[(0.0, 5.0)], [], [(101.0, 1.0), (0.0, 9.0)]]) == [0, -1, 1]
+    assert graphs.best_path([0.0, 0.0], [[(0.0, 1.0)], [(0.8, 1.0), (1.0, 9.0)]]) == [0, 0]  # runs count as a quarter metre at least
+    assert graphs.continuity([[(0.0, 1.0)], [(2.0, 1.0), (9.0, 2.5)]], [0, 0]) == [(0.6, 0.0), (0.6, 0.5)]
+
+
+def test_streamed_groups_match_per_group_results(spark):
+    rng = random.Random(2)
+    rows = [(rng.randrange(40) if rng.random() < 0.9 else None, i, float(rng.randrange(60)), float(rng.randrange(60))) for i in range(4000)]
+    df = spark.createDataFrame(rows, "k int, n int, x double, z double")
+    want = set()
+    for k in {r[0] for r in rows}:
+        group = sorted((r for r in rows if r[0] == k), key=lambda r: r[1])
+        want |= {group[i] for i in graphs._spaced(np.array([r[2] for r in group]), np.array([r[3] for r in group]), 9.0, 20)}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        assert {tuple(r) for r in graphs.greedy_spacing(df, "k", ["n"], 9.0, 20).collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert graphs.simplified(df.limit(0), "k", "n", 1.0).count() == 0
+
+
 def test_simplify_keeps_corners():
     assert graphs.simplify([(0, 0), (5, 0.1), (10, 0), (10, 10)], 0.5) == [0, 2, 3]
     assert graphs.simplify([], 1) == []
