@@ -196,14 +196,15 @@ def recurring(docs: DataFrame, spec: Spec, text: str = "text", id: str = "doc_id
         return run
 
     def with_texts(left: DataFrame) -> DataFrame:
-        """Rows that hold listed pieces: uid, ord, text and found, the list."""
-        lists = saved(left.groupBy("uid").agg(F.collect_list(F.struct("i", "low", "high", "core")).alias("found")))
+        """Rows that hold listed pieces: uid, ord, text and found, the list. Of rows with equal keys one stands for all."""
+        lists = saved(left.groupBy("uid").agg(F.collect_set(F.struct("i", "low", "high", "core")).alias("found")))
         release(docs)
-        return keyed.join(rows.join(lists, "uid"), ["row_a", "row_b"]).select("uid", "ord", "found", text)
+        return keyed.join(chosen.join(lists, "uid"), ["row_a", "row_b"]).select("uid", "ord", F.sort_array("found").alias("found"), text)
 
     base = f"uid long, ord long, row_a long, row_b long, pieces array<{PIECE}>"
     first = saved(keyed.mapInArrow(start, base))
     rows = first.select("uid", "row_a", "row_b")
+    chosen = saved(rows.groupBy("row_a", "row_b").agg(F.min("uid").alias("uid")))
     pieces, done, cores = _exploded(first), [], None
     if spec.batches:
         family = SuffixLevels()
@@ -233,4 +234,5 @@ def recurring(docs: DataFrame, spec: Spec, text: str = "text", id: str = "doc_id
     starts = every.select("uid", F.explode(F.array_distinct(F.array(F.expr("i - low"), F.expr("i - high")))).alias("p"))
     starts = saved(starts.groupBy("uid").agg(F.collect_list("p").alias("starts")))
     release(docs)
-    return starts.join(rows, "uid").groupBy("row_a", "row_b").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"))
+    placed = starts.join(rows, "uid").select("row_a", "row_b", F.explode("starts").alias("p"))
+    return placed.groupBy("row_a", "row_b").agg(F.collect_set("p").alias("starts"))

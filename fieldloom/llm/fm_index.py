@@ -7,7 +7,7 @@ items are searched backwards at once; the rows of their intervals are located by
 sampled suffix positions. Hit words of a document merge into spans to remove.
 
 No shuffle: each task indexes its own documents, one shard at a time. The test items are the
-broadcast side; their size is measured first, and beyond `block_bytes` they are handled in
+broadcast side; the size of their windows is measured first, and beyond `block_bytes` they are handled in
 blocks, one pass over the documents for each, so nothing larger is ever broadcast.
 
 Defined results: a null text has no words and no hits; an item without words has no window;
@@ -236,11 +236,16 @@ def _pass(docs: DataFrame, text: str, items: list[tuple[str, str]], window: int,
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = 16 << 20) -> DataFrame:
-    """Every row with n_words, n_hit, items (ids, sorted) and spans (byte ranges of hit words)."""
+    """Every row with n_words, n_hit, items (ids, sorted) and spans (byte ranges of hit words).
+
+    block_bytes: the most that a pass broadcasts, by the windows' codes and not by the items' text, of which they are about 16 times.
+    """
     new = [x.split()[0] for x in NEW.split(", ")]
     docs = docs.drop(*new)
     asked = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("null")).alias("i"), F.col(item_text).alias("x")).filter("x is not null")
-    total = asked.agg(F.sum(F.octet_length("x") + F.octet_length("i"))).first()[0] or 0
+    # what is broadcast: the codes of each window (8 bytes a word of it), its place, and the items' names
+    words = F.regexp_count("x", F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"))
+    total = asked.agg(F.sum(words * (8 * (window + 2)) + F.octet_length("i"))).first()[0] or 0
     blocks = total // block_bytes + 1
     for b in range(blocks):
         part = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("i", "x"), F.lit(blocks)) == b)

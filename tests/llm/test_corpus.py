@@ -129,7 +129,7 @@ def test_suffix_array():
         assert fm_index.suffix_array(s).tolist() == sorted(range(n), key=lambda i: s[i:].tolist())
 
 
-@pytest.mark.parametrize("block", [16 << 20, 60])
+@pytest.mark.parametrize("block", [16 << 20, 960])
 def test_decontamination(spark, docs, rows, block):
     plain = [r[1] for r in rows if r[1] and len(ALNUM.findall(r[1])) > 25]
     items = [("a", plain[0][:120].upper()), ("b", "No, ID at"), ("b", "one"), ("c", None), ("d", " ,; "), (None, plain[1][30:160]), ("e", plain[0][:120])]
