@@ -167,10 +167,10 @@ def word_fingerprints(buf: np.ndarray, at: np.ndarray, tables: int) -> np.ndarra
     return out
 
 
-def band_keys(buf: np.ndarray, at: np.ndarray, size: int, bands: int, rows: int) -> np.ndarray:
-    """MinHash keys (texts x bands) of each text's lower-cased word shingles; texts without words agree in all.
+def band_keys(buf: np.ndarray, at: np.ndarray, size: int, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """MinHash keys (texts x bands) of each text's lower-cased word shingles, and 16 bits of each least hash (texts x bands * rows).
 
-    Two texts of similarity s agree in a band with a probability of s ** rows.
+    Texts without words agree in all. Two texts of similarity s agree in a band with a probability of s ** rows, in a least hash with s.
     """
     raw = t.LOWER[buf]
     start, end, word_at = t.words(raw, at)
@@ -181,16 +181,24 @@ def band_keys(buf: np.ndarray, at: np.ndarray, size: int, bands: int, rows: int)
     shingles = t.Hasher(t.byte_hasher(raw)(start, end))(begin, begin + np.repeat(np.minimum(n, size), counts))
     some = np.flatnonzero(counts)
     factors = np.random.RandomState(20240711).randint(1, 1 << 62, (bands, rows), dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-    keys = np.empty((len(n), bands), np.int64)
+    keys, marks = np.empty((len(n), bands), np.int64), np.empty((len(n), bands * rows), np.uint16)
     for k in range(bands):
         key = np.full(len(n), k, np.uint64)
-        for factor in factors[k]:
+        for i, factor in enumerate(factors[k]):
             least = np.full(len(n), ~np.uint64(0))
             if len(some):
                 least[some] = np.minimum.reduceat(shingles * factor, offsets[some])
+            marks[:, k * rows + i] = (t.mix(least) & np.uint64(0xFFFF)).astype(np.uint16)
             key = t.mix((key ^ least) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
         keys[:, k] = key.view(np.int64)
-    return keys
+    return keys, marks
+
+
+def plausible(a: pa.Array, b: pa.Array, least: float) -> pa.Array:
+    """Whether pairs of marks (see band_keys) agree as often as texts of similarity `least` do, less 5.5 standard deviations."""
+    both = [np.frombuffer(b"".join(x.to_pylist()), np.uint16).reshape(len(x), -1) for x in (a, b)]
+    n = both[0].shape[1]
+    return pa.array((both[0] == both[1]).sum(axis=1) >= least * n - 5.5 * (least * (1 - least) * n) ** 0.5)
 
 
 def similarity(a: str, b: str, shingle: int = 5) -> float:
@@ -211,7 +219,10 @@ def deduplicated(docs: DataFrame, text: str = "text", id: str = "doc_id", tables
 
     Candidates meet in any of `tables` independent fingerprints of words or in any of `bands` MinHash bands of
     word shingles (a pair of similarity 0.8 misses all 24 bands with a probability of 3e-6); each is verified by the
-    similarity of word shingles. All members of a band's group are compared, but for those already in one component. Null and empty texts are one group. Rows equal in every column count as one.
+    similarity of word shingles, unless its least hashes agree too seldom for that (a pair at 0.8 fails that with a probability of
+    about 1e-6). All members of a band's group are compared but for those in one component: first all with one member,
+    then those outside the group's main component with the others, in stretches that double. Null and empty texts are one group.
+    Rows equal in every column count as one.
     """
     names = docs.columns
     key = row_key(*names)
@@ -220,14 +231,15 @@ def deduplicated(docs: DataFrame, text: str = "text", id: str = "doc_id", tables
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in t.slices(batches, text):
             buf, at = t.utf8(t.column(batch, text))
-            keys = [pa.array(list(x), pa.list_(pa.int64())) for x in (word_fingerprints(buf, at, tables), band_keys(buf, at, shingle, bands, band_rows))]
+            banded, marks = band_keys(buf, at, shingle, bands, band_rows)
+            keys = [pa.array(list(x), pa.list_(pa.int64())) for x in (word_fingerprints(buf, at, tables), banded)]
             rest = [t.column(batch, c) for c in ("id", "row_a", "row_b", "node")]
-            yield pa.RecordBatch.from_arrays([*rest, *keys], names=["id", "row_a", "row_b", "node", "prints", "bands"])
+            yield pa.RecordBatch.from_arrays([*rest, *keys, pa.array([x.tobytes() for x in marks], pa.binary())], names=["id", "row_a", "row_b", "node", "prints", "bands", "marks"])
 
     keyed = docs.select(F.col(id).alias("id"), *key, node, F.col(text).alias(text))
-    rows = saved(keyed.mapInArrow(run, t.arrow_type(keyed.drop(text), "prints array<long>, bands array<long>")))
+    rows = saved(keyed.mapInArrow(run, t.arrow_type(keyed.drop(text), "prints array<long>, bands array<long>, marks binary")))
     # one row stands for all copies of a text
-    texts = saved(rows.groupBy("node").agg(F.first("prints").alias("prints"), F.first("bands").alias("bands"), F.min(F.struct("row_a", "row_b")).alias("at")))
+    texts = saved(rows.groupBy("node").agg(F.first("prints").alias("prints"), F.first("bands").alias("bands"), F.first("marks").alias("marks"), F.min(F.struct("row_a", "row_b")).alias("at")))
     found = []
     for k in range(tables):  # one after the other: the variants of one table at a time take room
         spread = texts.select("node", F.col("prints")[k].alias("simhash"))
@@ -252,32 +264,45 @@ def deduplicated(docs: DataFrame, text: str = "text", id: str = "doc_id", tables
             ok = [similarity(p or "", q or "", shingle) >= least for p, q in zip(t.column(batch, "xa").to_pylist(), t.column(batch, "xb").to_pylist())]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                yield batch.select(["a", "b"]).filter(plausible(t.column(batch, "ma"), t.column(batch, "mb"), least))
+
     def near(pairs: DataFrame) -> DataFrame:
         pairs = saved(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        marked = pairs.join(texts.select(F.col("node").alias("a"), F.col("marks").alias("ma")), "a").join(texts.select(F.col("node").alias("b"), F.col("marks").alias("mb")), "b")
+        pairs = saved(marked.mapInArrow(likely, "a binary, b binary"))
         sided = pairs.join(whole.select(F.col("node").alias("a"), F.col("x").alias("xa")), "a").join(whole.select(F.col("node").alias("b"), F.col("x").alias("xb")), "b")
         return saved(sided.mapInArrow(verify, "a binary, b binary"))
 
     edges = near(reduce(DataFrame.union, found))
     roots = components(edges)
     release(docs)
-    # a group's members are near its rep or not; those of different components then meet the next `step` ones, and so on, until
-    # all have met or are one component
-    members, low = members.filter("n > 2"), 1
+    # a group's members are near its rep or not; those outside the component of the group's anchor then meet the members at
+    # the next places of the group, twice as many each time, until all have met or are one component. An anchor stays: what has joined
+    # its component needs no more pairs of its own, as every pair of two components has a member outside
+    placed = members.filter("n > 2").withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("node")) - 1)
+    placed = placed.select("key", "node", "n", "place", F.floor(F.col("place") / step).alias("block"))
+    low, wide, anchors = 0, step, None
     while True:
-        state = members.filter(F.col("n") > low + 1).join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
-        state = saved(state.select("key", "node", "rep", "n", F.coalesce("root", "node").alias("root")))
-        parted = saved(state.groupBy("key").agg(F.min("root").alias("first"), F.max("root").alias("last")).filter("first <> last").select("key"))
-        if parted.isEmpty():
+        state = placed.join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
+        state = saved(state.select("key", "node", "n", "place", "block", F.coalesce("root", "node").alias("root")))
+        if anchors is None:
+            shares = state.groupBy("key", "root").agg(F.count("*").alias("m"), F.min("node").alias("anchor"))
+            anchors = saved(shares.groupBy("key").agg(F.min_by("anchor", F.struct(-F.col("m"), "anchor")).alias("anchor")))
+        main = saved(anchors.join(state.select("key", F.col("node").alias("anchor"), F.col("root").alias("main")), ["key", "anchor"]).select("key", "main"))
+        outside = saved(state.filter(F.col("n") > low).join(main, "key").filter("root <> main").select("key", "node", "root"))
+        if outside.isEmpty():
             break
-        members = saved(state.join(parted, "key").drop("root"))
-        rest = state.join(parted, "key").filter("node <> rep")
-        ahead = F.collect_list(F.struct("node", "root")).over(Window.partitionBy("key").orderBy("node").rowsBetween(low, low + step - 1))
-        met = rest.withColumn("ahead", ahead).select("root", F.col("node").alias("a"), F.explode("ahead").alias("to"))
-        more = near(met.filter("root <> to.root").select("a", F.col("to.node").alias("b")))
+        blocks = F.sequence(F.lit(low // step).cast("long"), F.lit((low + wide) // step - 1).cast("long"))
+        asking = outside.select("key", "root", F.col("node").alias("a"), F.explode(blocks).alias("block"))
+        met = asking.join(state.select("key", "block", F.col("node").alias("b"), F.col("root").alias("other")), ["key", "block"]).filter("root <> other")
+        more = near(met.select("a", "b"))
         if not more.isEmpty():
             edges = edges.union(more)
             roots = components(edges)
-        low += step
+        low, wide = low + wide, 2 * wide
         release(docs)
     member = rows.join(roots, rows.node == roots.node, "left").select(rows.id.alias("id"), "row_a", "row_b", F.coalesce("root", rows.node).alias("root"))
     stay = member.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row_a", "row_b")).alias("m")).select("m.row_a", "m.row_b")
