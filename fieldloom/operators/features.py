@@ -30,7 +30,7 @@ def set_report(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 
 def roofs(samples: DataFrame, key: list[str], x: str, z: str, height: str) -> DataFrame:
-    """Form of each roof: flat up to 0.6 m of relief (10-90 spread), shed where a plane fits, pitched from 1.5 m, else complex."""
+    """Form of each roof: flat up to 0.6 m of relief (from the 20th to the 90th percentile), shed where a plane fits, pitched from 1.5 m, else complex."""
     spread = samples.groupBy(*key).agg(F.percentile(height, F.array(F.lit(0.2), F.lit(0.9))).alias("p"))
     fitted = plane(samples, key, x, z, height).join(spread, key).withColumn("relief", F.col("p")[1] - F.col("p")[0])
     form = F.when(F.col("n") < 4, "unresolved").when(F.col("relief") <= 0.6, "flat").when((F.col("r2") >= 0.55) & (F.col("relief") >= 1.5), "shed").when(F.col("relief") >= 1.5, "pitched").otherwise("complex")

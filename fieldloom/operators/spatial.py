@@ -31,6 +31,17 @@ def pairs_within(left: DataFrame, right: DataFrame, reach: float, size: float |
     return both.withColumn("distance", distance).filter(F.col("distance") <= reach)
 
 
+#: Kinds of named places.
+PLACES = ("attraction", "amenity", "detail")
+
+
+def new_places(found: DataFrame, existing: DataFrame, tolerance: float) -> DataFrame:
+    """Found points (id, name, x, z) without those that an existing place (kind in PLACES) of the same name lies near: ten metres or four tolerances."""
+    said = lambda df: df.withColumn("_name", F.lower("name"))
+    near = pairs_within(said(found), said(existing.filter(F.col("kind").isin(*PLACES) & (F.coalesce("name", F.lit("")) != ""))), max(10.0, 4 * tolerance), same=("_name",))
+    return found.join(near.select(F.col("l.id").alias("id")).distinct(), "id", "left_anti")
+
+
 def nearest(pairs: DataFrame, by: str, order: list[Column], most: int) -> DataFrame:
     """At most `most` pairs for each `by`, the first in order; adds `place`."""
     return pairs.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("place") <= most)

@@ -60,9 +60,11 @@ def fanout_limit(spark: SparkSession, d: str) -> DataFrame:
 
 
 def semantic_point_dedupe(spark: SparkSession, d: str) -> DataFrame:
-    p = points(spark, d).select("vec_id", "x", "z", "kind")
-    near = spatial.pairs_within(p.withColumnRenamed("vec_id", "id"), p.withColumnRenamed("vec_id", "id"), 25.0, same=("kind",)).filter("r.id < l.id").select(F.col("l.id").alias("vec_id")).distinct()
-    return p.join(near, "vec_id", "left_anti")
+    n = F.col("vec_id")
+    kind = F.get(F.array(*map(F.lit, ("attraction", "path", "amenity", "detail", "building"))), F.pmod(F.floor(n / 2), F.lit(5)).cast("int"))
+    name = F.when(F.col("kind") != 3, F.concat(F.when(n % 3 == 0, "Gate ").otherwise("GATE "), F.col("kind").cast("string")))
+    p = points(spark, d).select(n.alias("id"), kind.alias("type"), name.alias("name"), "x", "z").withColumnRenamed("type", "kind")
+    return spatial.new_places(p.filter("id % 2 = 1"), p.filter("id % 2 = 0"), 10.0).select("id", "name")
 
 
 def linear_references(spark: SparkSession, d: str) -> DataFrame:
@@ -132,7 +134,9 @@ ORACLE_SQL = {
     "box_gaps": f"SELECT vec_id, floor(sqrt(pow(greatest(0.0, x - 3 - 20, -20 - (x + 3)), 2) + pow(greatest(0.0, z - 2 - 10, -10 - (z + 2)), 2))*10000+0.5)/10000 AS gap FROM {_PTS}",
     "replace_by_id": "WITH ch AS (SELECT o_custkey, min(o_orderkey) AS k FROM orders GROUP BY 1) SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM ch WHERE k % 2 = 0) UNION ALL SELECT k + 10000000, 'order ' || k FROM ch",
     "fanout_limit": "SELECT l_partkey, l_orderkey, l_linenumber FROM lineitem JOIN part ON l_partkey = p_partkey QUALIFY count(*) OVER (PARTITION BY l_partkey) <= 30",
-    "semantic_point_dedupe": f"SELECT * FROM {_PTS} a WHERE NOT EXISTS (SELECT 1 FROM {_PTS} b WHERE b.kind = a.kind AND b.vec_id < a.vec_id AND (a.x-b.x)*(a.x-b.x)+(a.z-b.z)*(a.z-b.z) <= 625)",
+    "semantic_point_dedupe": f"""
+WITH p AS (SELECT vec_id AS id, list_extract(['attraction', 'path', 'amenity', 'detail', 'building'], (vec_id // 2) % 5 + 1) AS kind, CASE WHEN s.kind <> 3 THEN CASE WHEN vec_id % 3 = 0 THEN 'Gate ' ELSE 'GATE ' END || s.kind END AS name, x, z FROM {_PTS} s)
+SELECT id, name FROM p a WHERE id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM p b WHERE b.id % 2 = 0 AND b.kind IN ('attraction', 'amenity', 'detail') AND lower(b.name) = lower(a.name) AND (a.x-b.x)*(a.x-b.x)+(a.z-b.z)*(a.z-b.z) <= 1600)""",
     "linear_references": f"""
 WITH path AS (SELECT kind, x::DOUBLE AS ax, z::DOUBLE AS az, (lead(x) OVER w)::DOUBLE AS bx, (lead(z) OVER w)::DOUBLE AS bz, row_number() OVER w * 1000.0::DOUBLE AS start FROM {_PTS} WINDOW w AS (PARTITION BY kind ORDER BY vec_id)),
 met AS (SELECT p.vec_id AS id, start, p.x + 3 AS px, p.z - 2 AS pz, ax, az, bx-ax AS dx, bz-az AS dz FROM {_PTS} p JOIN path ON path.kind = p.kind WHERE bx IS NOT NULL),
