@@ -49,6 +49,15 @@ def release(df: DataFrame) -> None:
     df.sparkSession.sparkContext._jvm.System.gc()
 
 
+def with_found(docs: DataFrame, found: DataFrame, text: str, id: str, column: str) -> tuple[DataFrame, str]:
+    """docs with a column of `found` (row_a, row_b, column), met by row_key; and the column's name, one that no column of docs has."""
+    names, name = docs.columns, column
+    while name in names:
+        name += "_"
+    keyed = docs.select(F.struct(*names).alias("_doc"), *row_key(id, text))
+    return keyed.join(found, ["row_a", "row_b"], "left").select(*(F.col("_doc").getField(c).alias(c) for c in names), F.col(column).alias(name)), name
+
+
 def row_key(*columns: str) -> list[Column]:
     """Two independent 64-bit hashes of the given columns; rows that agree in all of them share the key.
 

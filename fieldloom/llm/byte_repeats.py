@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.llm import _text as t
 from fieldloom.llm._repeats import Spec, recurring
-from fieldloom.llm._tables import row_key, table
+from fieldloom.llm._tables import table, with_found
 
 SIZE = 400
 BATCHES = 4
@@ -46,12 +46,12 @@ def deduplicated(docs: DataFrame, text: str = "text", id: str = "doc_id", size:
     docs = docs.drop("kept", "n_bytes", "n_removed", "n_spans")
     names = docs.columns
     starts = recurring(docs, spec(size, batches), text, id)
-    met = docs.withColumns(dict(zip(("row_a", "row_b"), row_key(id, text)))).join(starts, ["row_a", "row_b"], "left").select(*names, "starts")
+    met, at_starts = with_found(docs, starts, text, id, "starts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in t.slices(batches, text):
             buf, at = t.utf8(t.column(batch, text))
-            found = t.column(batch, "starts")
+            found = t.column(batch, at_starts)
             of = np.repeat(np.arange(len(batch)), [0 if x is None else x for x in pa.compute.list_value_length(found).to_pylist()])
             gone = t.covered(found.flatten().to_numpy(zero_copy_only=False).astype(np.int64) + at[of], size, len(buf))
             begin, _ = t.runs(gone, at)

@@ -15,7 +15,8 @@ combining aggregation and a join, which Spark can split, so a node may have any
 
 Defined results: null and empty texts have fingerprint 0 and link like any other; equal
 fingerprints are one class; rows without doc_id form classes like others but never give
-a component its id; other columns pass through, new names replace input columns so named.
+a component its id. clusters() gives a row for each input row with its id, fingerprint and component and no
+other column; deduplicated() gives whole rows.
 """
 
 from __future__ import annotations

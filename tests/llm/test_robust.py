@@ -28,7 +28,6 @@ def operators(bench):
         "fm_index": (lambda d: fm_index.contaminated(d, bench), ("n_words", "n_hit", "items", "spans")),
         "byte_repeats": (byte_repeats.deduplicated, ("kept", "n_bytes", "n_removed", "n_spans")),
         "line_runs": (line_runs.deduplicated, line_runs.NEW),
-        "simhash": (simhash.clusters, ("fingerprint", "component_id")),
         "line_crf": (lambda d: line_crf.scored(d, model()), ("score",)),
         "pfair": (pfair_mixing.scheduled, pfair_mixing.NEW),
         "quality": (quality_rules.judged, ("n_words", *quality_rules.VERDICT)),
@@ -62,6 +61,13 @@ def test_clashing_columns_nulls_ties_and_long_texts(spark, bench, name):
     assert {(r.row_a, r.i) for r in got.select("row_a", "i").collect()} == {("mine", "too")}
 
 
+def test_clusters_of_clashing_columns_and_ties(spark):
+    rows = [(1, "a b c d", "x"), (2, "A B c d", None), (2, "A B c d", None), (3, None, "y"), (None, "", "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, component_id string").withColumns({"simhash": F.lit("old"), "row_a": F.lit("mine")})
+    got = Counter((r.doc_id, r.component_id) for r in simhash.clusters(docs).collect())
+    assert got == {(1, 1): 1, (2, 1): 2, (3, 3): 1, (None, 3): 1}
+
+
 def test_classifier_on_empty_table(spark):
     none = spark.createDataFrame([], SCHEMA)
     labels = spark.createDataFrame([(1, 1), (2, None)], "doc_id long, quality int")
