@@ -9,8 +9,6 @@ from __future__ import annotations
 
 import heapq
 import math
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,19 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-
-def saved(df: DataFrame) -> DataFrame:
-    """The rows as a table in the shared folder named by spark.checkpoint.dir; a temporary one where that is unset and Spark is local."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="fieldloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/graphs-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from fieldloom.operators.tables import Scratch
 
 
 def streamed(rows: DataFrame, key: str, order: list[str], added: str, solve: Callable[[dict[str, list]], dict[str, list]]) -> DataFrame:
@@ -74,24 +60,29 @@ def streamed(rows: DataFrame, key: str, order: list[str], added: str, solve: Cal
     return rows.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, root) for links (a, b): the least node of each component, by pointing every node at the least it can see.
+def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, root) for links (a, b): the least node of each component, by alternating large-star and small-star steps.
 
-    Labels jump along their own labels each round, so rounds grow with the logarithm of a path's length.
+    A large star ties every larger neighbour of a node to the least node around, a small star the smaller ones; rounds grow with the
+    logarithm of the nodes. A node's least neighbour comes from a combining aggregation and a join that Spark can
+    split, so a node may have any number of links. Nodes that are only linked to themselves are no rows.
     """
-    both = saved(links.select("a", "b").union(links.select("b", "a")).filter("a <> b").distinct())
-    label = saved(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("root")).withColumnRenamed("a", "node"))
+    tables = Scratch(links.sparkSession)
+    pairs = tables.saved(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct())
+    seen = None
     while True:
-        seen = both.join(label, F.expr("b = node")).groupBy("a").agg(F.min("root").alias("other"))
-        near = label.join(seen, F.expr("node = a"), "left").select("node", F.least("root", F.coalesce("other", "root")).alias("root"))
-        near = saved(near)
-        jump = near.alias("n").join(near.alias("r"), F.expr("n.root = r.node"), "left").select("n.node", F.least("n.root", F.coalesce("r.root", "n.root")).alias("root"))
-        # a root that has found a lesser one takes its whole tree along
-        jump = saved(jump)
-        changed = jump.alias("j").join(label.alias("l"), "node").filter("j.root <> l.root").limit(1).count()
-        label = jump
-        if not changed:
-            return label
+        both = pairs.union(pairs.select("v", "u"))
+        large = both.join(both.groupBy("u").agg(F.min("v").alias("m")), "u").filter("v > u")
+        large = large.select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
+        small = small.select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        new = tables.saved(small)
+        tables.discard(pairs)
+        pairs = new
+        now = tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if now == seen:
+            return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).union(pairs.select("v", "v").distinct())
+        seen = now
 
 
 def network_summary(links: DataFrame) -> DataFrame:
