@@ -3,46 +3,17 @@
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldloom.operators.tables import Scratch, discard, saved, saved_at  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A folder of this application in the one that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset and Spark is local."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="fieldloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/tables-{spark.sparkContext.applicationId}"
-
-
-def saved_at(df: DataFrame) -> tuple[DataFrame, str]:
-    """The same rows as a table in the shared folder, and its path."""
-    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """The same rows as a table in the shared folder: it cuts the lineage, and a lost executor costs no more than a read."""
-    return saved_at(df)[0]
-
-
-def discard(spark: SparkSession, path: str) -> None:
-    """Deletes a table that nothing reads any more."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
 def release(df: DataFrame) -> None:
     """Lets Spark drop shuffle files of finished steps; else they stay until the driver happens to collect garbage."""
     gc.collect()

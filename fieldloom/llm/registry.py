@@ -5,11 +5,14 @@ from __future__ import annotations
 from importlib import import_module
 
 MODULES = (
+    "byte_pairs",
     "byte_repeats",
+    "collocations",
     "fm_index",
     "hilbert_sharding",
     "line_crf",
     "line_runs",
+    "merkle_manifest",
     "pfair_mixing",
     "quality_rules",
     "simhash",
