@@ -31,8 +31,9 @@ from fieldloom.llm._tables import Scratch, table
 from fieldloom.operators import chains
 
 UNKNOWN = "und"
-SLICE_BYTES = 8 << 20
-STEP = 1 << 21
+SLICE_BYTES = 6 << 20
+STEP = 1 << 20
+ROWS = 1 << 16
 PIECE_ENDS = np.zeros(256, bool)
 PIECE_ENDS[[*b".,;:!?", *range(10, 14)]] = True
 BETWEEN = PIECE_ENDS.copy()
@@ -40,14 +41,14 @@ BETWEEN[[9, 32]] = True
 SCALE = 1_000_000
 
 
-def runs(buf: np.ndarray, at: np.ndarray, langs: pa.Array, longest: int) -> Iterator[pa.Table]:
-    """(lang, run, size, n): the longest run within its piece from each word on, counted per language in stretches of STEP words."""
+def counted(buf: np.ndarray, at: np.ndarray, langs: pa.Array, longest: int) -> Iterator[tuple[pa.Table, pa.Array]]:
+    """The longest run within its piece from each word on, as word numbers w0, w1, ... (null beyond its end), counted per lang number in stretches of STEP words; and the words."""
     raw = t.LOWER[buf]
     start, end, word_at = t.words(raw, at, ~BETWEEN)
     if not len(start):
         return
     words = pa.StringArray.from_buffers(len(start), pa.py_buffer(np.concatenate([[0], np.cumsum(end - start)]).astype(np.int32)), pa.py_buffer(raw[~BETWEEN[raw]]))
-    piece = np.cumsum(PIECE_ENDS[raw])[start] + np.repeat(np.arange(len(at) - 1), np.diff(word_at)) * (len(raw) + 1)
+    piece = np.cumsum(PIECE_ENDS[raw], dtype=np.int32)[start] + np.repeat(np.arange(len(at) - 1), np.diff(word_at)) * (len(raw) + 1)
     of = np.repeat(langs.indices.to_numpy(), np.diff(word_at))
     for low in range(0, len(start), STEP):
         high = min(low + STEP, len(start))
@@ -59,32 +60,86 @@ def runs(buf: np.ndarray, at: np.ndarray, langs: pa.Array, longest: int) -> Iter
             inside[:room], of_word[:room] = here[k : k + room] == here[:room], ids[k : k + room]
             columns.append(pa.array(of_word, mask=~inside))
         names = ["lang", *(f"w{k}" for k in range(longest))]
-        counted = pa.table(columns, names=names).group_by(names, use_threads=False).aggregate([([], "count_all")])
-        parts = [known.dictionary.take(counted.column(c).combine_chunks()) for c in names[1:]]
-        size = sum(pc.cast(p.is_valid(), pa.int32()).to_numpy(zero_copy_only=False) for p in parts)
-        yield pa.table([langs.dictionary.take(counted.column("lang").combine_chunks()), pc.binary_join_element_wise(*parts, " ", null_handling="skip"), pa.array(size, pa.int32()), counted.column("count_all")], names=["lang", "run", "size", "n"])
+        yield pa.table(columns, names=names).group_by(names, use_threads=False).aggregate([([], "count_all")]), known.dictionary
+
+
+def runs(found: pa.Table, words: pa.Array, langs: pa.Array) -> pa.Table:
+    """(node, last, n): runs as texts, the language and a tab before them; an edge is a node and its last word, a shorter run has no last."""
+    taken = lambda c, of: of.take(found.column(c).combine_chunks())
+    parts = [taken(c, words) for c in found.column_names if c[0] == "w"]
+    node = pc.binary_join_element_wise(*parts[:-1], " ", null_handling="skip")
+    return pa.table([pc.binary_join_element_wise(taken("lang", langs), node, "\t"), parts[-1], found.column("count_all")], names=["node", "last", "n"])
+
+
+def _source(docs: DataFrame, text: str, lang: str) -> DataFrame:
+    return docs.select(F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col(text).alias("text"))
+
+
+def hot_nodes(docs: DataFrame, text: str = "text", lang: str = "lang", longest: int = 3, parts: int = 200) -> DataFrame:
+    """(node) of the nodes with so many different edges that they would crowd one of `parts` partitions; at most 4 * parts rows.
+
+    It decides only how rows are dealt, no result.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in t.slices(batches, "text", SLICE_BYTES):
+            langs = t.column(batch, "lang").dictionary_encode()
+            for found, words in counted(*t.utf8(t.column(batch, "text")), langs, longest):
+                edges = found.filter(found.column(f"w{longest - 1}").is_valid())
+                node = [c for c in found.column_names if c[0] == "w"][:-1]
+                many = edges.group_by(["lang", *node], use_threads=False).aggregate([([], "count_all")])
+                many = many.filter(pc.greater_equal(pc.multiply(many.column("count_all"), 4 * parts), len(edges)))
+                names = pc.binary_join_element_wise(*(words.take(many.column(c).combine_chunks()) for c in node), " ")
+                names = pc.binary_join_element_wise(langs.dictionary.take(many.column("lang").combine_chunks()), names, "\t")
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays([names, pa.array([None], names.type)]), pa.array([*many.column("count_all").to_pylist(), len(edges)], pa.int64())], names=["node", "n"])
+
+    seen = _source(docs, text, lang).mapInArrow(run, "node string, n long").groupBy("node").agg(F.sum("n").alias("n"))
+    seen = Scratch(docs.sparkSession).saved(seen)
+    total = seen.filter("node is null").agg(F.sum("n")).first()[0] or 0
+    return seen.filter(F.col("node").isNotNull() & (F.col("n") * (4 * parts) >= total)).select("node")
 
 
 def edges(docs: DataFrame, text: str = "text", lang: str = "lang", longest: int = 3) -> DataFrame:
-    """(lang, run, size, n): the graph's edges (size = longest) and the corrections of shorter runs, counted over all texts."""
-    source = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col(text).alias("text"))
+    """(node, last, n): the graph's edges and the corrections of shorter runs, counted within stretches of texts, as runs() gives them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in t.slices(batches, "text", SLICE_BYTES):
-            for found in runs(*t.utf8(t.column(batch, "text")), t.column(batch, "lang").dictionary_encode(), longest):
-                yield from found.to_batches(max_chunksize=1 << 16)
+            langs = t.column(batch, "lang").dictionary_encode()
+            for found, words in counted(*t.utf8(t.column(batch, "text")), langs, longest):
+                # rows of a node follow each other, as shuffled blocks of like rows are smaller
+                found = found.sort_by([(c, "ascending") for c in found.column_names[:longest]])
+                for low in range(0, len(found), ROWS):
+                    yield from runs(found.slice(low, ROWS), words, langs.dictionary).to_batches()
+
+    return _source(docs, text, lang).mapInArrow(run, "node string, last string, n long")
 
-    return source.mapInArrow(run, "lang string, run string, size int, n long").groupBy("lang", "run", "size").agg(F.sum("n").alias("n"))
 
+def counts(found: DataFrame, hot: DataFrame | None = None, longest: int = 3, least: int = 10, parts: int = 200) -> DataFrame:
+    """(lang, run, size, n): every single word, and every longer run of `least` occurrences or more, from the flow of the graph.
 
-def counts(found: DataFrame, longest: int = 3, least: int = 10) -> DataFrame:
-    """(lang, run, size, n): every single word, and every longer run of `least` occurrences or more, from the flow of the graph."""
-    for size in reversed(range(1, longest)):
-        longer = F.col("size") == size + 1
-        flow = F.when(longer, F.struct(F.substring_index("run", " ", size).alias("run"), F.lit(size).alias("size"), "n"))
-        itself = F.when(~longer | (F.col("n") >= least), F.struct("run", "size", "n"))
-        found = found.select("lang", F.explode(F.array_compact(F.array(flow, itself))).alias("x")).groupBy("lang", "x.run", "x.size").agg(F.sum("x.n").alias("n"))
-    return found.filter((F.col("n") >= least) | (F.col("size") == 1))
+    One shuffle by node brings a node's edges and corrections together, so that edges and nodes are counted in the same tasks; the edges of a hot node
+    are dealt to `parts` salts, whose sums meet in the next, small step.
+    Node and language are one column, as every byte of a row counts here.
+    """
+    keys = ["node"]
+    if hot is not None and not hot.isEmpty():
+        salted = found.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), "node", "left")
+        found, keys = salted.withColumn("salt", F.when(F.col("_hot"), 1 + F.pmod(F.hash("last"), F.lit(parts))).otherwise(0)).drop("_hot"), ["node", "salt"]
+    # the run itself, and for an edge its node, to which it flows
+    none = F.lit(None).cast("string")
+    each = found.repartition(*keys).select(*keys, "n", F.explode(F.when(F.col("last").isNull(), F.array(none)).otherwise(F.array(none, "last"))).alias("end"))
+    summed = each.groupBy(*keys, "end").agg(F.sum("n").alias("n")).filter(F.col("end").isNull() | (F.col("n") >= least))
+    run = F.substring_index("node", "\t", -1)
+    length = F.when(F.col("end").isNull(), F.length("run") - F.length(F.replace("run", F.lit(" "), F.lit(""))) + 1).otherwise(longest)
+    found = summed.withColumn("run", run).select(
+        F.expr("substring(node, 1, length(node) - length(run) - 1)").alias("lang"), F.concat_ws(" ", "run", "end").alias("run"), length.cast("int").alias("size"), "n",
+        (F.col("salt") > 0 if len(keys) > 1 else F.lit(False)).alias("part"),
+    )
+    for size in reversed(range(1, longest - 1)):
+        flow, itself = F.struct(F.substring_index("run", " ", size).alias("run"), F.lit(size).alias("size")), F.struct("run", "size")
+        given = F.when(F.col("size") != size + 1, F.array(itself)).when(F.col("part") | (F.col("n") >= least), F.array(flow, itself)).otherwise(F.array(flow))
+        found = found.select("lang", F.explode(given).alias("x"), "n").groupBy("lang", "x.run", "x.size").agg(F.sum("n").alias("n")).withColumn("part", F.lit(False))
+    return found.filter((F.col("n") >= least) | (F.col("size") == 1)).select("lang", "run", "size", "n")
 
 
 def compacted(known: DataFrame, longest: int = 3) -> DataFrame:
@@ -128,7 +183,9 @@ def mined(docs: DataFrame, text: str = "text", lang: str = "lang", longest: int
     if longest < 3:
         raise ValueError("a de Bruijn graph of phrases needs runs of 3 words or more")
     tables = Scratch(docs.sparkSession)
-    every = tables.saved(counts(edges(docs, text, lang, longest), longest, least))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hot = tables.saved(hot_nodes(docs, text, lang, longest, parts))
+    every = tables.saved(counts(edges(docs, text, lang, longest), hot, longest, least, parts))
     total = every.filter("size = 1").groupBy("lang").agg(F.sum("n").alias("total"))
     known = tables.saved(every.filter(F.col("n") >= least))
     phrases = tables.saved(expanded(compacted(known, longest), known, longest))

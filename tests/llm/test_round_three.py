@@ -202,7 +202,10 @@ def test_collocations(spark, longest, least, share, limit):
 
 def test_paths_hold_every_edge_once(spark):
     rows = phrase_rows()
-    known = collocations.counts(collocations.edges(spark.createDataFrame(rows, "text string, lang string")), 3, 2)
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    hot = collocations.hot_nodes(docs, parts=200)
+    assert not hot.isEmpty()
+    known = collocations.counts(collocations.edges(docs), hot, 3, 2, 200)
     known.cache()
     paths = collocations.compacted(known)
     assert paths.agg(F.max(F.size("words"))).first()[0] >= 50
@@ -216,7 +219,12 @@ def test_runs_in_stretches(monkeypatch):
     import pyarrow as pa
 
     text = b"a b c d e. f g\nh"
-    counted = lambda: {(r["run"], r["n"]) for x in collocations.runs(np.frombuffer(text, np.uint8), np.array([0, len(text)]), pa.array(["en"]).dictionary_encode(), 3) for r in x.to_pylist()}
+    langs = pa.array(["en"]).dictionary_encode()
+
+    def counted():
+        found = (collocations.runs(x, words, langs.dictionary) for x, words in collocations.counted(np.frombuffer(text, np.uint8), np.array([0, len(text)]), langs, 3))
+        return {(" ".join(filter(None, (r["node"].split("\t")[1], r["last"]))), r["n"]) for x in found for r in x.to_pylist()}
+
     whole = counted()
     monkeypatch.setattr(collocations, "STEP", 2)
     assert counted() == whole == {(x, 1) for x in ("a b c", "b c d", "c d e", "d e", "e", "f g", "g", "h")}
