@@ -75,8 +75,8 @@ def _source(docs: DataFrame, text: str, lang: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col(text).alias("text"))
 
 
-def hot_nodes(docs: DataFrame, text: str = "text", lang: str = "lang", longest: int = 3, parts: int = 200) -> DataFrame:
-    """(node) of the nodes with so many different edges that they would crowd one of `parts` partitions; at most 4 * parts rows.
+def hot_nodes(docs: DataFrame, text: str = "text", lang: str = "lang", longest: int = 3, parts: int = 200) -> list[str]:
+    """The nodes, language and tab before them, with so many different edges that they would crowd one of `parts` partitions; at most 4 * parts.
 
     It decides only how rows are dealt, no result.
     """
@@ -96,11 +96,12 @@ def hot_nodes(docs: DataFrame, text: str = "text", lang: str = "lang", longest:
     seen = _source(docs, text, lang).mapInArrow(run, "node string, n long").groupBy("node").agg(F.sum("n").alias("n"))
     seen = Scratch(docs.sparkSession).saved(seen)
     total = seen.filter("node is null").agg(F.sum("n")).first()[0] or 0
-    return seen.filter(F.col("node").isNotNull() & (F.col("n") * (4 * parts) >= total)).select("node")
+    return [r["node"] for r in seen.filter(F.col("node").isNotNull() & (F.col("n") * (4 * parts) >= total)).select("node").collect()]
 
 
-def edges(docs: DataFrame, text: str = "text", lang: str = "lang", longest: int = 3) -> DataFrame:
-    """(node, last, n): the graph's edges and the corrections of shorter runs, counted within stretches of texts, as runs() gives them."""
+def edges(docs: DataFrame, text: str = "text", lang: str = "lang", longest: int = 3, hot: list[str] | None = None) -> DataFrame:
+    """(node, last, n): the graph's edges and the corrections of shorter runs, counted within stretches of texts, as runs() gives them; with hot nodes, also whether a row is one's."""
+    hot = hot or []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in t.slices(batches, "text", SLICE_BYTES):
@@ -109,12 +110,13 @@ def edges(docs: DataFrame, text: str = "text", lang: str = "lang", longest: int
                 # rows of a node follow each other, as shuffled blocks of like rows are smaller
                 found = found.sort_by([(c, "ascending") for c in found.column_names[:longest]])
                 for low in range(0, len(found), ROWS):
-                    yield from runs(found.slice(low, ROWS), words, langs.dictionary).to_batches()
+                    rows = runs(found.slice(low, ROWS), words, langs.dictionary)
+                    yield from (rows.append_column("hot", pc.is_in(rows.column("node"), pa.array(hot, pa.string()))) if hot else rows).to_batches()
 
-    return _source(docs, text, lang).mapInArrow(run, "node string, last string, n long")
+    return _source(docs, text, lang).mapInArrow(run, "node string, last string, n long" + ", hot boolean" * bool(hot))
 
 
-def counts(found: DataFrame, hot: DataFrame | None = None, longest: int = 3, least: int = 10, parts: int = 200) -> DataFrame:
+def counts(found: DataFrame, longest: int = 3, least: int = 10, parts: int = 200) -> DataFrame:
     """(lang, run, size, n): every single word, and every longer run of `least` occurrences or more, from the flow of the graph.
 
     One shuffle by node brings a node's edges and corrections together, so that edges and nodes are counted in the same tasks; the edges of a hot node
@@ -122,9 +124,8 @@ def counts(found: DataFrame, hot: DataFrame | None = None, longest: int = 3, lea
     Node and language are one column, as every byte of a row counts here.
     """
     keys = ["node"]
-    if hot is not None and not hot.isEmpty():
-        salted = found.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), "node", "left")
-        found, keys = salted.withColumn("salt", F.when(F.col("_hot"), 1 + F.pmod(F.hash("last"), F.lit(parts))).otherwise(0)).drop("_hot"), ["node", "salt"]
+    if "hot" in found.columns:
+        found, keys = found.withColumn("salt", F.when(F.col("hot"), 1 + F.pmod(F.hash("last"), F.lit(parts))).otherwise(0)).drop("hot"), ["node", "salt"]
     # the run itself, and for an edge its node, to which it flows
     none = F.lit(None).cast("string")
     each = found.repartition(*keys).select(*keys, "n", F.explode(F.when(F.col("last").isNull(), F.array(none)).otherwise(F.array(none, "last"))).alias("end"))
@@ -184,8 +185,8 @@ def mined(docs: DataFrame, text: str = "text", lang: str = "lang", longest: int
         raise ValueError("a de Bruijn graph of phrases needs runs of 3 words or more")
     tables = Scratch(docs.sparkSession)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    hot = tables.saved(hot_nodes(docs, text, lang, longest, parts))
-    every = tables.saved(counts(edges(docs, text, lang, longest), hot, longest, least, parts))
+    hot = hot_nodes(docs, text, lang, longest, parts)
+    every = tables.saved(counts(edges(docs, text, lang, longest, hot), longest, least, parts))
     total = every.filter("size = 1").groupBy("lang").agg(F.sum("n").alias("total"))
     known = tables.saved(every.filter(F.col("n") >= least))
     phrases = tables.saved(expanded(compacted(known, longest), known, longest))

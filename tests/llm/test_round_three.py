@@ -204,8 +204,8 @@ def test_paths_hold_every_edge_once(spark):
     rows = phrase_rows()
     docs = spark.createDataFrame(rows, "text string, lang string")
     hot = collocations.hot_nodes(docs, parts=200)
-    assert not hot.isEmpty()
-    known = collocations.counts(collocations.edges(docs), hot, 3, 2, 200)
+    assert hot
+    known = collocations.counts(collocations.edges(docs, hot=hot), 3, 2, 200)
     known.cache()
     paths = collocations.compacted(known)
     assert paths.agg(F.max(F.size("words"))).first()[0] >= 50
