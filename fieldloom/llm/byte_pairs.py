@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding with the vocabulary of a tokenizer file.
 
 A text is cut at special tokens, then into pieces by the pattern of byte-level BPE. A piece of at most SHORT bytes is
-encoded over two contiguous lists: the boundaries of its parts, and the rank of each pair of adjacent parts. The least rank
+encoded over contiguous lists: the boundaries of its parts, their ids, and the rank of each pair of adjacent parts. The least rank
 is sought again and again, the boundary inside that pair deleted, and the two neighbouring ranks refreshed. Longer
 pieces have the same merges from a heap, as scanning would grow with the square of their length. Each distinct piece of a worker is
 encoded once as long as the memo has room (MEMO pieces, then it starts anew), so that a text costs one look-up a piece.
@@ -18,6 +18,7 @@ from __future__ import annotations
 import heapq
 import json
 import re
+import struct
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import cache
@@ -34,17 +35,22 @@ from fieldloom.llm._tables import table
 SHORT = 96
 MEMO = 1 << 19
 NONE = 1 << 31
+SHIFT = 32
 
 # Letters and numbers that Unicode 16 added; older tables of Python lack them
 NEW_LETTERS = "1c89-1c8a a7cb-a7cd a7da-a7dc 105c0-105f3 10d4a-10d65 10d6f-10d85 10ec2-10ec4 11380-11389 1138b-1138b 1138e-1138e 11390-113b5 113b7-113b7 113d1-113d1 113d3-113d3 11bc0-11be0 13460-143fa 16100-1611d 16d40-16d6c 18cff-18cff 1e5d0-1e5ed 1e5f0-1e5f0"
 NEW_NUMBERS = "10d40-10d49 116d0-116e3 11bf0-11bf9 16130-16139 16d70-16d79 1ccf0-1ccf9 1e5f1-1e5fa"
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 UNICODE = 16
+WIDE = re.compile("[\U00010000-\U0010ffff]")
 
 
 @cache
-def pattern() -> re.Pattern:
-    """The pattern of byte-level BPE, with classes in full as Python's own follow other tables."""
+def pattern(last: int = 0x10FFFF) -> re.Pattern:
+    """The pattern of byte-level BPE for texts of characters up to `last`, with classes in full as Python's own follow other tables.
+
+    Up to U+FFFF a class is one table look-up; beyond, ranges are tried one by one.
+    """
 
     def ranges(kind: str, new: str) -> str:
         spans = [tuple(int(x, 16) for x in r.split("-")) for r in new.split()]
@@ -54,7 +60,7 @@ def pattern() -> re.Pattern:
             spans += [(a, b - 1) for a, b in zip(edges[::2].tolist(), edges[1::2].tolist())]
         else:
             raise ValueError("the classes are known up to Unicode 16")
-        return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in spans)
+        return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in spans if b <= last)
 
     letters, numbers = ranges("L", NEW_LETTERS), ranges("N", NEW_NUMBERS)
     return re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{letters}]+| ?[{numbers}]+| ?[^{SPACE}{letters}{numbers}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
@@ -83,58 +89,62 @@ class Vocabulary:
         raw = lambda token: bytes(byte[c] for c in token)
         self.ids = {raw(token): i for token, i in model["vocab"].items()}
         pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
-        self.ranks = {(raw(a), raw(b)): rank for rank, (a, b) in enumerate(pairs)}
+        pairs = [(raw(a), raw(b)) for a, b in pairs]
+        self.ranks = {self.ids[a] << SHIFT | self.ids[b]: rank for rank, (a, b) in enumerate(pairs)}  # a pair of parts as one number
+        self.made = [self.ids[a + b] for a, b in pairs]
+        self.first = [self.ids[bytes([b])] for b in range(256)]
         self.special = {x["content"]: x["id"] for x in file["added_tokens"]}
         by_id = {i: token for token, i in self.ids.items()} | {i: token.encode() for token, i in self.special.items()}
         self.bytes = [by_id.get(i, b"") for i in range(max(by_id) + 1)]
         self.known = np.array([i in by_id for i in range(len(self.bytes))])
 
 
-def merged_bounds(piece: bytes, ranks: dict[tuple[bytes, bytes], int]) -> list[int]:
-    """Part boundaries of a short piece: the least rank of adjacent parts, the first of equals, is merged until none is left."""
-    bounds = list(range(len(piece) + 1))
-
-    def rank(i: int) -> int:
-        """Of the parts that meet at boundary i + 1."""
-        return ranks.get((piece[bounds[i] : bounds[i + 1]], piece[bounds[i + 1] : bounds[i + 2]]), NONE) if i + 2 < len(bounds) else NONE
-
-    near = [rank(i) for i in range(len(piece) - 1)]
-    while near and (least := min(near)) != NONE:
+def scanned(piece: bytes, v: Vocabulary) -> tuple[list[int], list[int]]:
+    """Part boundaries of a short piece and the parts' ids: the least rank of adjacent parts, the first of equals, is merged until none is left."""
+    rank, made, first = v.ranks.get, v.made, v.first
+    bounds, parts = list(range(len(piece) + 1)), [first[b] for b in piece]
+    near = [rank(a << SHIFT | b, NONE) for a, b in zip(parts, parts[1:])]  # near[i]: of the parts that meet at bounds[i + 1]
+    while near:
+        least = min(near)
+        if least == NONE:
+            break
         i = near.index(least)
-        del bounds[i + 1], near[i]
+        parts[i] = made[least]
+        del bounds[i + 1], near[i], parts[i + 1]
         if i < len(near):
-            near[i] = rank(i)
+            near[i] = rank(parts[i] << SHIFT | parts[i + 1], NONE)
         if i:
-            near[i - 1] = rank(i - 1)
-    return bounds
+            near[i - 1] = rank(parts[i - 1] << SHIFT | parts[i], NONE)
+    return bounds, parts
 
 
-def heaped_bounds(piece: bytes, ranks: dict[tuple[bytes, bytes], int]) -> list[int]:
+def heaped(piece: bytes, v: Vocabulary) -> tuple[list[int], list[int]]:
     """The same for a long piece: candidates wait in a heap, and those whose parts have changed are passed over."""
-    n = len(piece)
-    after, before = list(range(1, n + 2)), list(range(-1, n + 1))  # of each boundary that is left
+    n, part = len(piece), [v.first[b] for b in piece]  # the part that begins at each boundary that is left
+    after, before = list(range(1, n + 2)), list(range(-1, n + 1))
+    heap: list[tuple[int, int, int, int]] = []
+    gone = bytearray(n + 1)
 
     def offer(left: int) -> None:
         """The pair of parts that begins at boundary `left`."""
         mid = after[left]
-        if mid < n and (r := ranks.get((piece[left:mid], piece[mid : after[mid]]))) is not None:
+        if mid < n and (r := v.ranks.get(part[left] << SHIFT | part[mid])) is not None:
             heapq.heappush(heap, (r, left, mid, after[mid]))
 
-    heap: list[tuple[int, int, int, int]] = []
-    gone = bytearray(n + 1)
     for left in range(n - 1):
         offer(left)
     while heap:
-        _, left, mid, right = heapq.heappop(heap)
+        rank, left, mid, right = heapq.heappop(heap)
         if gone[left] or gone[mid] or after[left] != mid or after[mid] != right:
             continue
         gone[mid] = 1
-        after[left], before[right] = right, left
+        after[left], before[right], part[left] = right, left, v.made[rank]
         if left:
             offer(before[left])
         if right < n:
             offer(left)
-    return [i for i in range(n + 1) if not gone[i]]
+    bounds = [i for i in range(n + 1) if not gone[i]]
+    return bounds, [part[i] for i in bounds[:-1]]
 
 
 class Encoder(dict):
@@ -146,9 +156,9 @@ class Encoder(dict):
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(vocabulary.special, key=len, reverse=True))) + ")") if vocabulary.special else None
 
     def __missing__(self, piece: str) -> bytes:
-        raw, v = piece.encode(), self.vocabulary
-        bounds = (merged_bounds if len(raw) <= SHORT else heaped_bounds)(raw, v.ranks)
-        out = np.array([v.ids[raw[a:b]] for a, b in zip(bounds, bounds[1:])], np.int32).tobytes()
+        raw = piece.encode()
+        parts = (scanned if len(raw) <= SHORT else heaped)(raw, self.vocabulary)[1]
+        out = struct.pack(f"<{len(parts)}i", *parts)
         if len(raw) <= SHORT:
             if len(self) >= MEMO:
                 self.clear()
@@ -157,8 +167,8 @@ class Encoder(dict):
 
     def __call__(self, text: str) -> bytes:
         parts, special = (self.cut.split(text) if self.cut else [text]), self.vocabulary.special
-        pieces, of = pattern().findall, self.__getitem__
-        return b"".join(np.int32(special[x]).tobytes() if i % 2 else b"".join(map(of, pieces(x))) for i, x in enumerate(parts))
+        pieces, of = pattern(0x10FFFF if WIDE.search(text) else 0xFFFF).findall, self.__getitem__
+        return b"".join(struct.pack("<i", special[x]) if i % 2 else b"".join(map(of, pieces(x))) for i, x in enumerate(parts))
 
 
 def decoded(ids: np.ndarray, at: np.ndarray, vocabulary: Vocabulary) -> Iterable[str]:
@@ -190,7 +200,7 @@ def with_ids(docs: DataFrame, vocabulary_path: str, text: str = "text", name: st
         for batch in t.slices(batches, text):
             each = [encoder(x or "") for x in t.column(batch, text).to_pylist()]
             at = np.concatenate([[0], np.cumsum([len(x) // 4 for x in each])])
-            ids = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.frombuffer(b"".join(each), np.int32)))
+            ids = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.frombuffer(b"".join(each), "<i4")))
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*names, name])
 
     return docs.mapInArrow(run, t.arrow_type(docs, f"{name} array<int>"))

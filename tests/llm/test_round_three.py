@@ -128,10 +128,11 @@ def test_byte_pairs_are_the_library_s(spark, vocabulary_path):
 
 
 def test_scanning_and_heap_merge_alike(vocabulary_path):
-    ranks, rng = byte_pairs.Vocabulary(vocabulary_path).ranks, random.Random(2)
+    v, rng = byte_pairs.Vocabulary(vocabulary_path), random.Random(2)
     for _ in range(500):
         piece = bytes(rng.choice(b"abcthein \xc3\xa9") for _ in range(rng.randrange(1, 90)))
-        assert byte_pairs.merged_bounds(piece, ranks) == byte_pairs.heaped_bounds(piece, ranks)
+        bounds, parts = byte_pairs.scanned(piece, v)
+        assert (bounds, parts) == byte_pairs.heaped(piece, v) and [v.bytes[x] for x in parts] == [piece[a:b] for a, b in zip(bounds, bounds[1:])]
 
 
 def test_decoding_odd_ids(spark, vocabulary_path):
