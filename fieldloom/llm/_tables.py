@@ -20,6 +20,13 @@ def release(df: DataFrame) -> None:
     df.sparkSession.sparkContext._jvm.System.gc()
 
 
+def packed(docs: DataFrame, *needed: str) -> tuple[DataFrame, list[Column]]:
+    """docs as its needed columns and a struct of all others, so that no column of an operator meets one of docs; and the columns of docs, to select from what the operator returns."""
+    used, others = list(dict.fromkeys(c for c in needed if c in docs.columns)), [c for c in docs.columns if c not in needed]
+    inside = F.struct(*others) if others else F.struct(F.lit(None).alias("none"))
+    return docs.select(*used, inside.alias("_others")), [F.col(c) if c in used else F.col("_others").getField(c).alias(c) for c in docs.columns]
+
+
 def with_found(docs: DataFrame, found: DataFrame, text: str, id: str, column: str) -> tuple[DataFrame, str]:
     """docs with a column of `found` (row_a, row_b, column), met by row_key; and the column's name, one that no column of docs has."""
     names, name = docs.columns, column

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.llm import _text as t
-from fieldloom.llm._tables import table
+from fieldloom.llm._tables import packed, table
 
 NEW = "n_words long, n_hit long, items array<string>, spans array<struct<first:long,last:long>>"
 WINDOW = 10
@@ -258,12 +258,14 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", n_
 
     Rows without hits are left as they are.
     """
-    names = docs.columns
-    marked = contaminated(docs, benchmark, text, **options)
+    inner, own = packed(docs, text)
+    inner = inner.withColumnRenamed(text, "_text")
+    names = inner.columns
+    marked = contaminated(inner, benchmark, "_text", **options)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, keep = t.column(batch, text).to_pylist(), []
+            texts, keep = t.column(batch, "_text").to_pylist(), []
             for d, cut in enumerate(t.column(batch, "spans").to_pylist()):
                 if cut:
                     raw, parts, at = texts[d].encode(), [], 0
@@ -272,11 +274,12 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", n_
                         at = s["last"]
                     texts[d] = b"".join([*parts, raw[at:]]).decode()
                 keep.append(not cut or bool(texts[d].strip()))
-            put = {text: pa.array(texts, pa.string())}
+            put = {"_text": pa.array(texts, pa.string())}
             yield pa.RecordBatch.from_arrays([put.get(c, t.column(batch, c)) for c in names], names=names).filter(pa.array(keep))
 
-    out = marked.mapInArrow(run, docs.schema)
-    return out.withColumn(n_chars, F.char_length(text).cast(docs.schema[n_chars].dataType)) if n_chars in names else out
+    found = marked.mapInArrow(run, inner.schema)
+    out = found.select(*(F.col("_text").alias(text) if c == text else x for c, x in zip(docs.columns, own)))
+    return out.withColumn(n_chars, F.char_length(text).cast(docs.schema[n_chars].dataType)) if n_chars in docs.columns else out
 
 
 def items_digest(items: list[str]) -> str:

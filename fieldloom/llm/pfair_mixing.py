@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fieldloom.llm._tables import table
+from fieldloom.llm._tables import packed, table
 
 NEW = ("block", "slot", "offset")
 PARTS = 256
@@ -167,10 +167,13 @@ def _in_groups(ranked: DataFrame, small: DataFrame, end: float) -> DataFrame:
 
 
 def mixed(docs: DataFrame, block_rows: int = BLOCK_ROWS, name: str = "mix", **options) -> DataFrame:
-    """All rows in the order of the mix within and across partitions, with their place in it (name)."""
-    names = [c for c in docs.columns if c != name]
+    """All rows in their own columns, in the order of the mix within and across partitions, with their place in it (name, which replaces a column so named)."""
+    docs = docs.drop(name)
+    source, id = options.pop("source", "source"), options.pop("id", "doc_id")
+    inner, own = packed(docs.withColumns({"_source_in": F.col(source), "_id_in": F.col(id), "_text_in": F.xxhash64("text") if "text" in docs.columns else F.lit(0)}), "_source_in", "_id_in", "_text_in")
+    found = scheduled(inner.withColumnRenamed("_text_in", "text"), block_rows=block_rows, source="_source_in", id="_id_in", **options)
     place = (F.col("slot") * block_rows + F.col("offset")).alias(name)
-    return scheduled(docs, block_rows=block_rows, **options).repartitionByRange("slot", "offset").sortWithinPartitions("slot", "offset").select(*names, place)
+    return found.repartitionByRange("slot", "offset").sortWithinPartitions("slot", "offset").select(*own[: len(docs.columns)], place)
 
 
 def op8_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.llm import _text as t
-from fieldloom.llm._tables import table
+from fieldloom.llm._tables import packed, table
 
 FEATURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, n_letters long, n_text_bytes long"
 VERDICT = ("base_failed", "posterior", "kept")
@@ -155,8 +155,10 @@ def judged(docs: DataFrame, text: str = "text", threshold: float = 0.5, min_word
 
 
 def filtered(docs: DataFrame, text: str = "text", **options) -> DataFrame:
-    """The rows that are kept, in their own columns."""
-    return judged(docs, text, **options).filter("kept").select(*docs.columns)
+    """The rows that are kept, in their own columns, whatever their names."""
+    inner, own = packed(docs, text)
+    found = judged(inner.withColumnRenamed(text, "_text"), "_text", **options).filter("kept")
+    return found.select(*(F.col("_text").alias(text) if c == text else x for c, x in zip(docs.columns, own)))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,9 +9,8 @@ Members of a group are linked to its least and to the one before, not pair by pa
 half the radius on either side all members of a ball are within the radius of each other,
 so the components are those of all pairs.
 
-Components are found by alternating large-star and small-star steps on the links between
-distinct fingerprints, in tables cut from their lineage. A node's least neighbour comes from a
-combining aggregation and a join, which Spark can split, so a node may have any number of links.
+Components of the links between distinct fingerprints are found by large and small stars
+(operators.graphs.components).
 
 Defined results: null and empty texts have fingerprint 0 and link like any other; equal
 fingerprints are one class; rows without doc_id form classes like others but never give
@@ -34,6 +33,7 @@ from pyspark.sql.window import Window
 
 from fieldloom.llm import _text as t
 from fieldloom.llm._tables import release, row_key, saved, table
+from fieldloom.operators.graphs import components
 
 BITS = 64
 
@@ -103,25 +103,6 @@ def links(prints: DataFrame, radius: int = 2, name: str = "simhash") -> DataFram
     return ends.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius).select("a", "b").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the least node reachable from each node of the edges (a, b)."""
-    pairs = saved(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
-    seen = None
-    while True:
-        # large star: every larger neighbour of u is tied to the least of u and its neighbours
-        both = pairs.union(pairs.select("v", "u"))
-        large = both.join(both.groupBy("u").agg(F.min("v").alias("m")), "u").filter("v > u")
-        large = large.select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
-        # small star: u and its smaller neighbours are tied to the least of them
-        small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
-        small = small.select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        pairs = saved(small)
-        now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(now) == seen:
-            return pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        seen = tuple(now)
-
-
 def clusters(docs: DataFrame, text: str = "text", id: str = "doc_id", shingle: int = 3, radius: int = 2) -> DataFrame:
     """(id, simhash, component_id) of every row: component_id is the least id within reach."""
     prints = saved(with_fingerprint(docs.select(id, text), text, shingle).drop(text))
@@ -307,8 +288,8 @@ def deduplicated(docs: DataFrame, text: str = "text", id: str = "doc_id", tables
         release(docs)
     member = rows.join(roots, rows.node == roots.node, "left").select(rows.id.alias("id"), "row_a", "row_b", F.coalesce("root", rows.node).alias("root"))
     stay = member.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row_a", "row_b")).alias("m")).select("m.row_a", "m.row_b")
-    kept = docs.withColumns({"row_a": key[0], "row_b": key[1]}).join(stay, ["row_a", "row_b"])
-    return kept.dropDuplicates(["row_a", "row_b"]).select(*names)
+    kept = docs.select(F.struct(*names).alias("_doc"), *key).join(stay, ["row_a", "row_b"])
+    return kept.dropDuplicates(["row_a", "row_b"]).select("_doc.*")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

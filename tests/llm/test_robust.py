@@ -221,3 +221,19 @@ def test_pipeline_on_odd_tables(spark, bench, tmp_path):
         bench.write.parquet(str(tmp_path / name / "benchmark.parquet"))
         got = corpus_pipeline.run(spark, str(tmp_path / name)).collect()
         assert sorted(r.text for r in got) == sorted({r[1] for r in some if r[1]})
+
+
+# stage functions
+
+
+@pytest.mark.parametrize("name", ["filtered", "deduplicated", "decontaminated", "mixed"])
+def test_stage_functions_leave_clashing_columns_alone(spark, bench, name):
+    run = {"filtered": quality_rules.filtered, "deduplicated": simhash.deduplicated, "decontaminated": lambda d: fm_index.decontaminated(d, bench), "mixed": pfair_mixing.mixed}[name]
+    mine = [c for _, new in operators(bench).values() for c in new] + ["row_a", "row_b", "node", "id", "x", "i", "spans", "items", "code", "posterior", "_n", "at", "root"]
+    mine = list(dict.fromkeys(mine))
+    text = " ".join(f"word{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, text, "en", "s", 5), (2, text + " w1 w2 w3 more", "en", None, None), (3, " ".join(f"other{i}" for i in range(30)), None, "t", 1)], SCHEMA).withColumns({c: F.concat(F.lit(f"{c} of "), F.col("doc_id")) for c in mine})
+    got = run(docs)
+    assert got.columns[: len(docs.columns)] == docs.columns and len(set(got.columns)) == len(got.columns)
+    rows = got.collect()
+    assert {r.doc_id for r in rows} >= {1, 3} and all(r[c] == f"{c} of {r.doc_id}" for r in rows for c in mine)
