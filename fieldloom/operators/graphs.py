@@ -10,6 +10,7 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -17,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.window import Window
 
 from fieldloom.operators.tables import Scratch
 
@@ -108,13 +110,46 @@ def _spaced(x: np.ndarray, z: np.ndarray, spacing: float, most: int) -> list[int
     return kept
 
 
-def greedy_spacing(rows: DataFrame, key: str, order: list[str], spacing: float, most: int = 1 << 30) -> DataFrame:
-    """Rows of each group taken in order, each at least `spacing` from all taken before, up to `most`."""
-    def solve(group: dict[str, list]) -> dict[str, list]:
-        taken = set(_spaced(np.array(group["x"], float), np.array(group["z"], float), spacing, most))
-        return {"_taken": [True if i in taken else None for i in range(len(group["x"]))]}
+def greedy_spacing(rows: DataFrame, key: str, order: list[str], spacing: float, most: int = 1 << 30, rounds: int = 12) -> DataFrame:
+    """Rows of each group taken in order, each at least `spacing` from all taken before, up to `most`; ties of the order in any order.
 
-    return streamed(rows, key, order, "_taken boolean", solve).drop("_taken")
+    Cells are so small that two rows of a group in one cell are always too near. In each round the first row of a cell is taken if it comes before
+    the first rows of all cells in reach, and the rows too near a taken one go; that is what taking them one by one gives, but
+    a cell sends one row and no group is gathered. What an order along a line leaves after `rounds` is
+    taken one by one, in sorted streams.
+    """
+    tables = Scratch(rows.sparkSession)
+    side = spacing / 1.4143
+    base = tables.saved(rows.withColumn("_id", F.monotonically_increasing_id()))
+    at = F.struct(*order, "_id", F.col("x").cast("double").alias("x"), F.col("z").cast("double").alias("z"))
+    cell = [F.floor(F.col(c) / side).alias(f"_{c}") for c in "xz"]
+    left = tables.saved(base.select(F.col(key).alias("_key"), *cell, at.alias("_at")))
+    reach = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(-2, 3) for b in range(-2, 3)))).alias("_o")
+    sent = lambda df: df.select("_key", "_x", "_z", "_at", reach).select("_key", (F.col("_x") + F.col("_o.a")).alias("_x"), (F.col("_z") + F.col("_o.b")).alias("_z"), "_at")
+    where, taken = ["_key", "_x", "_z"], []
+    while not left.isEmpty() and len(taken) < rounds:
+        firsts = tables.saved(left.groupBy(*where).agg(F.min("_at").alias("_at")))
+        least = sent(firsts).groupBy(*where).agg(F.min("_at").alias("_least"))
+        taken.append(tables.saved(firsts.join(least, where).filter("_at = _least").drop("_least")))
+        near = sent(taken[-1]).groupBy(*where).agg(F.collect_list(F.struct("_at.x", "_at.z")).alias("_near"))  # at most one of each cell in reach
+        close = F.exists("_near", lambda p: F.pow(p.x - F.col("_at.x"), F.lit(2)) + F.pow(p.z - F.col("_at.z"), F.lit(2)) < spacing * spacing)
+        new = tables.saved(left.join(near, where, "left").filter(F.col("_near").isNull() | ~close).drop("_near"))
+        tables.discard(left, firsts)
+        left = new
+    ids = [x.select(F.col("_at._id").alias("_id")) for x in taken]
+    if not left.isEmpty():
+
+        def solve(group: dict[str, list]) -> dict[str, list]:
+            chosen = set(_spaced(np.array([p["x"] for p in group["_at"]], float), np.array([p["z"] for p in group["_at"]], float), spacing, most))
+            return {"_taken": [True if i in chosen else None for i in range(len(group["_at"]))]}
+
+        ids.append(streamed(left.select("_key", "_at"), "_key", ["_at"], "_taken boolean", solve).select(F.col("_at._id").alias("_id")))
+    if not ids:
+        return base.drop("_id")
+    chosen = base.join(reduce(DataFrame.union, ids), "_id")
+    if most < 1 << 30:
+        chosen = chosen.withColumn("_nth", F.row_number().over(Window.partitionBy(key).orderBy(*order, "_id"))).filter(F.col("_nth") <= most).drop("_nth")  # tasks keep their first `most` before they send
+    return chosen.drop("_id")
 
 
 #: Fixed values of the continuity choice: cost of a metre's jump, slope without extra cost and its cost, slope ruled out, least run in metres.

@@ -10,11 +10,11 @@ from fieldloom.operators.graphs import components
 from fieldloom.operators.raster import sent
 
 
-def labelled(cells: DataFrame) -> DataFrame:
-    """Cells with the region they belong to by sides that touch: the region's least cell key."""
+def labelled(cells: DataFrame, corners: bool = False) -> DataFrame:
+    """Cells with the region they belong to by sides (or also corners) that touch: the region's least cell key."""
     key = lambda x, z: F.format_string("%020d:%020d", F.col(z) + (1 << 40), F.col(x) + (1 << 40))
     own = cells.select("x", "z").distinct().withColumn("cell", key("x", "z"))
-    beside = sent(own, [(1, 0), (0, 1)], F.col("cell").alias("a")).join(own, ["x", "z"])
+    beside = sent(own, [(1, 0), (0, 1), *([(1, 1), (1, -1)] if corners else [])], F.col("cell").alias("a")).join(own, ["x", "z"])
     roots = components(beside.select("a", F.col("cell").alias("b")))
     return own.join(roots, F.expr("cell = node"), "left").select("x", "z", F.coalesce("root", "cell").alias("region"))
 
