@@ -34,6 +34,8 @@ from fieldloom.llm._tables import table
 
 SHORT = 96
 MEMO = 1 << 19
+CHUNK = 1 << 16
+ROWS = 256
 NONE = 1 << 31
 SHIFT = 32
 
@@ -98,6 +100,12 @@ class Vocabulary:
         self.bytes = [by_id.get(i, b"") for i in range(max(by_id) + 1)]
         self.known = np.array([i in by_id for i in range(len(self.bytes))])
 
+    @cache
+    def layout(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Length and first byte of each token in all tokens' bytes, and those."""
+        size = np.fromiter(map(len, self.bytes), np.int64, len(self.bytes))
+        return size, np.cumsum(size) - size, np.frombuffer(b"".join(self.bytes), np.uint8)
+
 
 def scanned(piece: bytes, v: Vocabulary) -> tuple[list[int], list[int]]:
     """Part boundaries of a short piece and the parts' ids: the least rank of adjacent parts, the first of equals, is merged until none is left."""
@@ -175,12 +183,14 @@ def decoded(ids: np.ndarray, at: np.ndarray, vocabulary: Vocabulary) -> Iterable
     """The text of each stretch at[i] .. at[i + 1] of ids: the tokens' bytes, joined; bytes that are no UTF-8 become U+FFFD."""
     if len(ids) and (ids.min() < 0 or ids.max() >= len(vocabulary.bytes) or not vocabulary.known[ids].all()):
         raise ValueError("an id is not in the vocabulary")
-    size = np.fromiter(map(len, vocabulary.bytes), np.int64, len(vocabulary.bytes))
-    flat, first = np.frombuffer(b"".join(vocabulary.bytes), np.uint8), np.concatenate([[0], np.cumsum(size)])
-    ends = np.concatenate([[0], np.cumsum(size[ids])])
-    whole = flat[np.repeat(first[ids] - ends[:-1], size[ids]) + np.arange(ends[-1])].tobytes()
-    for a, b in zip(ends[at[:-1]].tolist(), ends[at[1:]].tolist()):
-        yield whole[a:b].decode("utf-8", "replace")
+    size, first, flat = vocabulary.layout()
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+        parts = []
+        for low in range(a, b, CHUNK):
+            some = ids[low : min(low + CHUNK, b)]
+            ends = np.cumsum(size[some])
+            parts.append(flat[np.repeat(first[some] - ends + size[some], size[some]) + np.arange(ends[-1])].tobytes())
+        yield b"".join(parts).decode("utf-8", "replace")
 
 
 _encoders: dict[int, Encoder] = {}
@@ -212,7 +222,7 @@ def with_text(docs: DataFrame, vocabulary_path: str, ids: str = "ids", name: str
     names, shared = docs.columns, docs.sparkSession.sparkContext.broadcast(Vocabulary(vocabulary_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(low, ROWS) for whole in batches for low in range(0, len(whole), ROWS)):
             lists = t.column(batch, ids)
             at = np.concatenate([[0], np.cumsum(np.nan_to_num(np.array(lists.value_lengths().to_pylist(), float)).astype(np.int64))])
             texts = pa.array(decoded(lists.flatten().to_numpy(zero_copy_only=False), at, shared.value), pa.string())
