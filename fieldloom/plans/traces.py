@@ -54,7 +54,7 @@ o(sx, sz, tx, tz, px, pz, x, z, seq) AS (
   SELECT o.sx, o.sz, o.tx, o.tz, o.x, o.z, p.bx, p.bz, seq + 1 FROM o JOIN p ON p.ax = o.x AND p.az = o.z WHERE (p.bx <> o.px OR p.bz <> o.pz) AND (o.x <> o.sx OR o.z <> o.sz)),
 s AS (SELECT * FROM w UNION ALL SELECT * FROM o WHERE (sx, sz, tx, tz) IN (SELECT (sx, sz, tx, tz) FROM o GROUP BY sx, sz, tx, tz HAVING min((z, x)) = (sz, sx))),
 near AS (SELECT DISTINCT c.x + i.dx AS x, c.z + j.dz AS z FROM c, range(-2, 3) i(dx), range(-2, 3) j(dz) WHERE c.kind >= 9 AND dx * dx + dz * dz <= 4),
-q AS (SELECT sx, sz, tx, tz, 0 AS seq, sx AS x, sz AS z, NULL::DOUBLE AS run, NULL AS px, NULL AS pz FROM s WHERE seq = 1 UNION ALL SELECT sx, sz, tx, tz, seq, x, z, CASE WHEN x = px OR z = pz THEN 1 ELSE sqrt(2.0::DOUBLE) END, px, pz FROM s),
+q AS (SELECT sx, sz, tx, tz, 0 AS seq, sx AS x, sz AS z, NULL::DOUBLE AS run, NULL::BIGINT AS px, NULL::BIGINT AS pz FROM s WHERE seq = 1 UNION ALL SELECT sx, sz, tx, tz, seq, x, z, CASE WHEN x = px OR z = pz THEN 1 ELSE sqrt(2.0::DOUBLE) END, px, pz FROM s),
 e AS (
   SELECT sx AS x1, sz AS z1, tx, tz, arg_max(q.x, seq) AS x2, arg_max(q.z, seq) AS z2, arg_max(px, seq) AS bx, arg_max(pz, seq) AS bz, count(*) AS n_cells, sum(run) * 4 AS length,
     count(*) FILTER (n.x IS NULL) / count(*) AS novel, arg_min(n.x IS NOT NULL, seq) AS start_anchored, arg_max(n.x IS NOT NULL, seq) AS end_anchored
