@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fieldloom.llm import _text as t
-from fieldloom.llm._tables import release, row_key, saved, table
+from fieldloom.llm._tables import Scratch, release, row_key, saved, table
 from fieldloom.operators.graphs import components
 
 BITS = 64
@@ -206,7 +206,8 @@ def deduplicated(docs: DataFrame, text: str = "text", id: str = "doc_id", tables
     then those outside the group's main component with the others, in stretches that double. Null and empty texts are one group.
     Rows equal in every column count as one.
     """
-    names = docs.columns
+    names, tables_ = docs.columns, Scratch(docs.sparkSession)
+    saved = tables_.saved
     key = row_key(*names)
     node = F.unhex(F.md5(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8"))).alias("node")
 
@@ -230,6 +231,7 @@ def deduplicated(docs: DataFrame, text: str = "text", id: str = "doc_id", tables
         linked = links(classes, radius).alias("l").join(classes.alias("x"), F.expr("l.a = x.simhash")).join(classes.alias("y"), F.expr("l.b = y.simhash"))
         found.append(saved(to_rep.union(linked.select("x.rep", "y.rep")).filter("a <> b")))
         del linked, to_rep
+        tables_.discard(classes)
         release(docs)
     spread = texts.select("node", F.explode("bands").alias("key"))
     groups = saved(spread.groupBy("key").agg(F.min("node").alias("rep"), F.count("*").alias("n")).filter("n > 1"))
@@ -237,9 +239,10 @@ def deduplicated(docs: DataFrame, text: str = "text", id: str = "doc_id", tables
     found.append(members.filter("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b")))
     # texts that meet others: all that any pair can need
     ends = reduce(DataFrame.union, found[:-1]).select(F.explode(F.array("a", "b")).alias("node")).union(members.select("node")).distinct()
-    ends = saved(texts.join(saved(ends), "node").select("node", "at.*"))
+    ends = saved(texts.join(ends, "node").select("node", "at.*"))
     whole = docs.select(*key, F.col(text).alias("x")).join(ends, ["row_a", "row_b"]).groupBy("node").agg(F.first("x").alias("x"))
     whole = saved(whole)
+    tables_.discard(groups, ends)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -254,11 +257,16 @@ def deduplicated(docs: DataFrame, text: str = "text", id: str = "doc_id", tables
     def near(pairs: DataFrame) -> DataFrame:
         pairs = saved(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         marked = pairs.join(texts.select(F.col("node").alias("a"), F.col("marks").alias("ma")), "a").join(texts.select(F.col("node").alias("b"), F.col("marks").alias("mb")), "b")
-        pairs = saved(marked.mapInArrow(likely, "a binary, b binary"))
+        likely_pairs = saved(marked.mapInArrow(likely, "a binary, b binary"))
+        tables_.discard(pairs)
+        pairs = likely_pairs
         sided = pairs.join(whole.select(F.col("node").alias("a"), F.col("x").alias("xa")), "a").join(whole.select(F.col("node").alias("b"), F.col("x").alias("xb")), "b")
-        return saved(sided.mapInArrow(verify, "a binary, b binary"))
+        out = saved(sided.mapInArrow(verify, "a binary, b binary"))
+        tables_.discard(pairs)
+        return out
 
     edges = near(reduce(DataFrame.union, found))
+    tables_.discard(*found)
     roots = components(edges)
     release(docs)
     # a group's members are near its rep or not; those outside the component of the group's anchor then meet the members at
@@ -284,10 +292,13 @@ def deduplicated(docs: DataFrame, text: str = "text", id: str = "doc_id", tables
         if not more.isEmpty():
             edges = edges.union(more)
             roots = components(edges)
+        tables_.discard(state, main, outside)
         low, wide = low + wide, 2 * wide
         release(docs)
     member = rows.join(roots, rows.node == roots.node, "left").select(rows.id.alias("id"), "row_a", "row_b", F.coalesce("root", rows.node).alias("root"))
     stay = member.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row_a", "row_b")).alias("m")).select("m.row_a", "m.row_b")
+    stay = saved(stay)
+    tables_.discard(but=stay)  # the next stages need the room
     kept = docs.select(F.struct(*names).alias("_doc"), *key).join(stay, ["row_a", "row_b"])
     return kept.dropDuplicates(["row_a", "row_b"]).select("_doc.*")
 
