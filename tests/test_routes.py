@@ -61,3 +61,23 @@ def test_thinned(spark):
     rows = [("a", m) for m in (0.0, 0.1, 0.3, 0.5, 0.55, 2.0)]
     got = paths.thinned(spark.createDataFrame(rows, "k string, m double"), "k", "m", [F.lit(1)], 0.25).orderBy("m").collect()
     assert [r.m for r in got] == [0.0, 0.3, 0.55, 2.0]
+
+
+def test_applications_by_site_category_and_exclusion(spark):
+    fields = "reference string, address string, proposal string, description string, status string, discovery_score int"
+    rows = [
+        ("a1", "Lagoon World, Road", "New ride", "x", None, 5),  # site named: 5 + 100 + 240
+        ("a2", "Blue  Lake Road", "A <b>ride</b> by the park", None, "withdrawn", None),  # word, its token, phrase, two tokens, address, ride, state
+        ("a3", "Blue Lake Road", "A hotel", None, None, None),  # an address alone needs a ride
+        ("a4", "Lagoon World", "", "Telecom mast for a mobile network", None, None),  # the description stands in
+        ("a5", "Lagoon World", "Change of use", None, None, None),
+        ("a6", None, None, None, None, None),
+        ("a7", "Lagoon World", "Masterplan with telecom ducts", None, None, None),  # no reason to exclude
+    ]
+    names = lambda *xs: F.array(*map(F.lit, xs))
+    got = {r.reference: r for r in discovery.application_class(spark.createDataFrame(rows, fields), names("Park", "Blue Lake"), F.lit("Lagoon World"), names()).collect()}
+    assert [(got[k].score, got[k].relevant, got[k].site_match, got[k].excluded_reason) for k in sorted(got)] == [
+        (345, True, "primary", None), (20 + 4 + 40 + 8 + 25 + 240 - 8, True, "secondary", None), (40 + 8 + 25 + 140, False, "secondary", "outside-park-identity"),
+        (100 - 180, False, "primary", "telecommunications"), (100, False, "primary", "no-geometry-category"), (-200, False, "none", "outside-park-identity"), (220, True, "primary", None),
+    ]
+    assert got["a2"].categories == ["ride"]
