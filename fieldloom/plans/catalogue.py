@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("columns", "analytics", "joins", "cells", "evidence", "mapping", "planning", "routes", "rules", "trees", "accuracy", "surfaces", "acquired", "traces")
+MODULES = ("columns", "analytics", "joins", "cells", "evidence", "mapping", "planning", "routes", "rules", "trees", "accuracy", "surfaces", "acquired", "traces", "imagery")
 FLAGSHIP = "relations_nearest_n"
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
