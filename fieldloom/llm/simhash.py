@@ -36,6 +36,9 @@ from fieldloom.llm._tables import Scratch, release, row_key, saved, table
 from fieldloom.operators.graphs import components
 
 BITS = 64
+#: Least and most bits of a sketch, and members of a block of them.
+SKETCH_BITS = (1 << 10, 1 << 14)
+COMPARED = 256
 
 
 def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
@@ -149,38 +152,78 @@ def word_fingerprints(buf: np.ndarray, at: np.ndarray, tables: int) -> np.ndarra
     return out
 
 
-def band_keys(buf: np.ndarray, at: np.ndarray, size: int, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """MinHash keys (texts x bands) of each text's lower-cased word shingles, and 16 bits of each least hash (texts x bands * rows).
-
-    Texts without words agree in all. Two texts of similarity s agree in a band with a probability of s ** rows, in a least hash with s.
-    """
+def shingle_sets(buf: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each text's lower-cased word shingles, repeats included, and the offset of each text; of a text with fewer words, the whole sequence is one."""
     raw = t.LOWER[buf]
     start, end, word_at = t.words(raw, at)
     n = np.diff(word_at)
     counts = np.where(n >= size, n - size + 1, n > 0)
     offsets = np.concatenate([[0], np.cumsum(counts)])
     begin = np.arange(offsets[-1]) - np.repeat(offsets[:-1] - word_at[:-1], counts)
-    shingles = t.Hasher(t.byte_hasher(raw)(start, end))(begin, begin + np.repeat(np.minimum(n, size), counts))
-    some = np.flatnonzero(counts)
+    return t.Hasher(t.byte_hasher(raw)(start, end))(begin, begin + np.repeat(np.minimum(n, size), counts)), offsets
+
+
+def band_keys(buf: np.ndarray, at: np.ndarray, size: int, bands: int, rows: int) -> np.ndarray:
+    """MinHash keys (texts x bands) of each text's word shingles.
+
+    Texts without words agree in all. Two texts of similarity s agree in a band with a probability of s ** rows.
+    """
+    shingles, offsets = shingle_sets(buf, at, size)
+    n = len(at) - 1
+    some = np.flatnonzero(np.diff(offsets))
     factors = np.random.RandomState(20240711).randint(1, 1 << 62, (bands, rows), dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-    keys, marks = np.empty((len(n), bands), np.int64), np.empty((len(n), bands * rows), np.uint16)
+    keys = np.empty((n, bands), np.int64)
     for k in range(bands):
-        key = np.full(len(n), k, np.uint64)
-        for i, factor in enumerate(factors[k]):
-            least = np.full(len(n), ~np.uint64(0))
+        key = np.full(n, k, np.uint64)
+        for factor in factors[k]:
+            least = np.full(n, ~np.uint64(0))
             if len(some):
                 least[some] = np.minimum.reduceat(shingles * factor, offsets[some])
-            marks[:, k * rows + i] = (t.mix(least) & np.uint64(0xFFFF)).astype(np.uint16)
             key = t.mix((key ^ least) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
         keys[:, k] = key.view(np.int64)
-    return keys, marks
+    return keys
 
 
-def plausible(a: pa.Array, b: pa.Array, least: float) -> pa.Array:
-    """Whether pairs of marks (see band_keys) agree as often as texts of similarity `least` do, less 5.5 standard deviations."""
-    both = [np.frombuffer(b"".join(x.to_pylist()), np.uint16).reshape(len(x), -1) for x in (a, b)]
-    n = both[0].shape[1]
-    return pa.array((both[0] == both[1]).sum(axis=1) >= least * n - 5.5 * (least * (1 - least) * n) ** 0.5)
+def odd_sketches(buf: np.ndarray, at: np.ndarray, size: int) -> tuple[list[int], list[bytes]]:
+    """Size of each text's shingle set, and for each value of a shingle's low bits whether an odd number of the set has it.
+
+    Two sketches differ in no more bits than the sets have shingles of their own, so they bound the similarity from above, whatever the hashes.
+    A sketch has four bits a shingle, at least SKETCH_BITS[0] and at most SKETCH_BITS[1]; put together by XOR, its halves are the sketch of half the length.
+    """
+    shingles, offsets = shingle_sets(buf, at, size)
+    sizes, sketches = [], []
+    for low, high in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+        own = np.unique(shingles[low:high])
+        bits = min(max(SKETCH_BITS[0], 1 << (4 * len(own)).bit_length()), SKETCH_BITS[1])
+        odd = np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+        sizes.append(len(own))
+        sketches.append(np.packbits(odd.astype(bool)).tobytes())
+    return sizes, sketches
+
+
+def folded(sketch: np.ndarray, words: int) -> np.ndarray:
+    """The sketch (64-bit words) at a shorter length."""
+    return np.bitwise_xor.reduce(sketch.reshape(-1, words), axis=0)
+
+
+def possible(sizes_a: list[int], sketches_a: list[bytes], sizes_b: list[int], sketches_b: list[bytes], least: float) -> np.ndarray:
+    """Which texts of a (rows) may have a similarity of `least` with those of b (columns): never false for a pair that has it."""
+    own = (1 - least) / (1 + least)  # sets of similarity s have (1 - s) / (1 + s) of their sizes' sum in one only
+    out = np.zeros((len(sizes_a), len(sizes_b)), bool)
+    of = np.array([len(x) // 8 for x in sketches_b])
+    sizes_b = np.array(sizes_b)
+    for words in np.unique(of):
+        at = np.flatnonzero(of == words)
+        matrix = np.frombuffer(b"".join(sketches_b[i] for i in at), np.uint64).reshape(len(at), words)
+        shorter = {words: matrix}
+        for i, (n, sketch) in enumerate(zip(sizes_a, sketches_a)):
+            mine = np.frombuffer(sketch, np.uint64)
+            w = min(words, len(mine))
+            if w not in shorter:
+                shorter[w] = np.bitwise_xor.reduce(matrix.reshape(len(at), -1, w), axis=1)
+            differ = np.bitwise_count(shorter[w] ^ folded(mine, w)).sum(axis=1, dtype=np.int64)
+            out[i, at] = np.maximum(differ, np.abs(sizes_b[at] - n)) <= own * (sizes_b[at] + n) + 1e-6
+    return out
 
 
 def similarity(a: str, b: str, shingle: int = 5) -> float:
@@ -196,14 +239,14 @@ def similarity(a: str, b: str, shingle: int = 5) -> float:
     return both / whole if whole else 1.0
 
 
-def deduplicated(docs: DataFrame, text: str = "text", id: str = "doc_id", tables: int = 6, radius: int = 2, shingle: int = 5, least: float = 0.8, bands: int = 24, band_rows: int = 4, step: int = 32) -> DataFrame:
+def deduplicated(docs: DataFrame, text: str = "text", id: str = "doc_id", tables: int = 6, radius: int = 2, shingle: int = 5, least: float = 0.8, bands: int = 24, band_rows: int = 4) -> DataFrame:
     """The rows without near copies: of each group the one with the least id stays.
 
     Candidates meet in any of `tables` independent fingerprints of words or in any of `bands` MinHash bands of
     word shingles (a pair of similarity 0.8 misses all 24 bands with a probability of 3e-6); each is verified by the
-    similarity of word shingles, unless its least hashes agree too seldom for that (a pair at 0.8 fails that with a probability of
-    about 1e-6). All members of a band's group are compared but for those in one component: first all with one member,
-    then those outside the group's main component with the others, in stretches that double. Null and empty texts are one group.
+    similarity of word shingles, unless a bound from their sketches rules that out (see odd_sketches; no pair at `least` is lost). All members of a
+    band's group are compared but for those in one component: first all with one member, then those outside the group's main
+    component with all others, blocks of sketches with blocks, so that only pairs the bound leaves become rows. Null and empty texts are one group.
     Rows equal in every column count as one.
     """
     names, tables_ = docs.columns, Scratch(docs.sparkSession)
@@ -214,15 +257,14 @@ def deduplicated(docs: DataFrame, text: str = "text", id: str = "doc_id", tables
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in t.slices(batches, text):
             buf, at = t.utf8(t.column(batch, text))
-            banded, marks = band_keys(buf, at, shingle, bands, band_rows)
-            keys = [pa.array(list(x), pa.list_(pa.int64())) for x in (word_fingerprints(buf, at, tables), banded)]
+            keys = [pa.array(list(x), pa.list_(pa.int64())) for x in (word_fingerprints(buf, at, tables), band_keys(buf, at, shingle, bands, band_rows))]
             rest = [t.column(batch, c) for c in ("id", "row_a", "row_b", "node")]
-            yield pa.RecordBatch.from_arrays([*rest, *keys, pa.array([x.tobytes() for x in marks], pa.binary())], names=["id", "row_a", "row_b", "node", "prints", "bands", "marks"])
+            yield pa.RecordBatch.from_arrays([*rest, *keys], names=["id", "row_a", "row_b", "node", "prints", "bands"])
 
     keyed = docs.select(F.col(id).alias("id"), *key, node, F.col(text).alias(text))
-    rows = saved(keyed.mapInArrow(run, t.arrow_type(keyed.drop(text), "prints array<long>, bands array<long>, marks binary")))
+    rows = saved(keyed.mapInArrow(run, t.arrow_type(keyed.drop(text), "prints array<long>, bands array<long>")))
     # one row stands for all copies of a text
-    texts = saved(rows.groupBy("node").agg(F.first("prints").alias("prints"), F.first("bands").alias("bands"), F.first("marks").alias("marks"), F.min(F.struct("row_a", "row_b")).alias("at")))
+    texts = saved(rows.groupBy("node").agg(F.first("prints").alias("prints"), F.first("bands").alias("bands"), F.min(F.struct("row_a", "row_b")).alias("at")))
     found = []
     for k in range(tables):  # one after the other: the variants of one table at a time take room
         spread = texts.select("node", F.col("prints")[k].alias("simhash"))
@@ -240,60 +282,76 @@ def deduplicated(docs: DataFrame, text: str = "text", id: str = "doc_id", tables
     # texts that meet others: all that any pair can need
     ends = reduce(DataFrame.union, found[:-1]).select(F.explode(F.array("a", "b")).alias("node")).union(members.select("node")).distinct()
     ends = saved(texts.join(ends, "node").select("node", "at.*"))
+
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in t.slices(batches, "x"):
+            sizes, sketches = odd_sketches(*t.utf8(t.column(batch, "x")), shingle)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())], names=["node", "x", "size", "sketch"])
+
     whole = docs.select(*key, F.col(text).alias("x")).join(ends, ["row_a", "row_b"]).groupBy("node").agg(F.first("x").alias("x"))
-    whole = saved(whole)
-    tables_.discard(groups, ends)
+    whole = saved(whole.mapInArrow(sketched, t.arrow_type(whole, "size long, sketch binary")))
+    tables_.discard(groups, ends, texts)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = [similarity(p or "", q or "", shingle) >= least for p, q in zip(t.column(batch, "xa").to_pylist(), t.column(batch, "xb").to_pylist())]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if len(batch):
-                yield batch.select(["a", "b"]).filter(plausible(t.column(batch, "ma"), t.column(batch, "mb"), least))
+            each = zip(*(t.column(batch, c).to_pylist() for c in ("na", "sa", "nb", "sb")))
+            ok = [bool(possible([na], [sa], [nb], [sb], least)[0, 0]) for na, sa, nb, sb in each]
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for mine, others in zip(*(t.column(batch, c) for c in ("mine", "others"))):
+                sides = [[side.values.field(c).to_pylist() for c in ("node", "root", "size", "sketch")] for side in (mine, others)]
+                (a, root_a, *sketch_a), (b, root_b, *sketch_b) = sides
+                code = {r: i for i, r in enumerate(dict.fromkeys(root_a + root_b))}
+                apart = np.array([code[r] for r in root_a])[:, None] != np.array([code[r] for r in root_b])
+                i, j = np.nonzero(possible(*sketch_a, *sketch_b, least) & apart)
+                yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in i], pa.binary()), pa.array([b[k] for k in j], pa.binary())], names=["a", "b"])
+
+    def sided(pairs: DataFrame, **columns: str) -> DataFrame:
+        for side in "ab":
+            pairs = pairs.join(whole.select(F.col("node").alias(side), *(F.col(c).alias(f"{short}{side}") for short, c in columns.items())), side)
+        return pairs
 
     def near(pairs: DataFrame) -> DataFrame:
-        pairs = saved(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        marked = pairs.join(texts.select(F.col("node").alias("a"), F.col("marks").alias("ma")), "a").join(texts.select(F.col("node").alias("b"), F.col("marks").alias("mb")), "b")
-        likely_pairs = saved(marked.mapInArrow(likely, "a binary, b binary"))
-        tables_.discard(pairs)
-        pairs = likely_pairs
-        sided = pairs.join(whole.select(F.col("node").alias("a"), F.col("x").alias("xa")), "a").join(whole.select(F.col("node").alias("b"), F.col("x").alias("xb")), "b")
-        out = saved(sided.mapInArrow(verify, "a binary, b binary"))
+        out = saved(sided(pairs, x="x").mapInArrow(verify, "a binary, b binary"))
         tables_.discard(pairs)
         return out
 
-    edges = near(reduce(DataFrame.union, found))
+    ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    pairs = saved(reduce(DataFrame.union, found).select(*ordered).distinct())
     tables_.discard(*found)
+    edges = near(saved(sided(pairs, n="size", s="sketch").mapInArrow(bounded, "a binary, b binary")))
+    tables_.discard(pairs)
     roots = components(edges)
     release(docs)
-    # a group's members are near its rep or not; those outside the component of the group's anchor then meet the members at
-    # the next places of the group, twice as many each time, until all have met or are one component. An anchor stays: what has joined
-    # its component needs no more pairs of its own, as every pair of two components has a member outside
-    placed = members.filter("n > 2").withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("node")) - 1)
-    placed = placed.select("key", "node", "n", "place", F.floor(F.col("place") / step).alias("block"))
-    low, wide, anchors = 0, step, None
-    while True:
-        state = placed.join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
-        state = saved(state.select("key", "node", "n", "place", "block", F.coalesce("root", "node").alias("root")))
-        if anchors is None:
-            shares = state.groupBy("key", "root").agg(F.count("*").alias("m"), F.min("node").alias("anchor"))
-            anchors = saved(shares.groupBy("key").agg(F.min_by("anchor", F.struct(-F.col("m"), "anchor")).alias("anchor")))
-        main = saved(anchors.join(state.select("key", F.col("node").alias("anchor"), F.col("root").alias("main")), ["key", "anchor"]).select("key", "main"))
-        outside = saved(state.filter(F.col("n") > low).join(main, "key").filter("root <> main").select("key", "node", "root"))
-        if outside.isEmpty():
+    # every pair of two components of a group has a member outside the group's main component. A first round asks one block only: who finds
+    # a link there has joined, and needs none of its other links; the second asks all blocks, and would be whole without the first
+    larger = members.filter("n > 2").select("key", "node", F.ceil(F.col("n") / COMPARED).alias("blocks"))
+    larger = larger.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    for last in (False, True):
+        state = larger.join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
+        state = saved(state.select("key", "node", "blocks", "block", F.coalesce("root", "node").alias("root")))
+        shares = state.groupBy("key", "root").agg(F.count("*").alias("m")).groupBy("key").agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.count("*").alias("parts"))
+        main = saved(shares.filter("parts > 1").select("key", "main"))
+        if main.isEmpty():
             break
-        blocks = F.sequence(F.lit(low // step).cast("long"), F.lit((low + wide) // step - 1).cast("long"))
-        asking = outside.select("key", "root", F.col("node").alias("a"), F.explode(blocks).alias("block"))
-        met = asking.join(state.select("key", "block", F.col("node").alias("b"), F.col("root").alias("other")), ["key", "block"]).filter("root <> other")
-        more = near(met.select("a", "b"))
+        carried = state.join(main, "key").join(whole.select("node", "size", "sketch"), "node")
+        packed = lambda df: df.groupBy("key", "block", "blocks").agg(F.collect_list(F.struct("node", "root", "size", "sketch")).alias("side"))
+        others = saved(packed(carried if last else carried.filter("block = 0")))  # COMPARED members a row on average
+        asking = packed(carried.filter("root <> main")).withColumn("asked", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)) if last else F.lit(0).cast("long"))
+        met = asking.select("key", F.col("asked").alias("block"), F.col("side").alias("mine")).join(others.select("key", "block", F.col("side").alias("others")), ["key", "block"])
+        pairs = saved(met.select("mine", "others").mapInArrow(compared, "a binary, b binary").select(*ordered).distinct())
+        more = near(pairs)
+        tables_.discard(state, main, others)
         if not more.isEmpty():
             edges = edges.union(more)
             roots = components(edges)
-        tables_.discard(state, main, outside)
-        low, wide = low + wide, 2 * wide
         release(docs)
     member = rows.join(roots, rows.node == roots.node, "left").select(rows.id.alias("id"), "row_a", "row_b", F.coalesce("root", rows.node).alias("root"))
     stay = member.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row_a", "row_b")).alias("m")).select("m.row_a", "m.row_b")

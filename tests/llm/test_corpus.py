@@ -340,7 +340,9 @@ def test_deduplicated_finds_all_pairs_with_blocks_added_or_cut(spark):
     assert sorted(r.doc_id for r in got.collect()) == want and len(want) < 60
 
 
-def test_deduplicated_compares_all_of_a_group(spark):
+@pytest.mark.parametrize("block", [256, 7])
+def test_deduplicated_compares_all_of_a_group(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "COMPARED", block)
     rng = random.Random(12)
     make = lambda n: [f"w{rng.randrange(2000)}" for _ in range(n)]
     texts = []
@@ -353,6 +355,22 @@ def test_deduplicated_compares_all_of_a_group(spark):
     assert sorted(r.doc_id for r in got.collect()) == want and len(want) > 500
 
 
+def test_sketches_lose_no_pair():
+    rng = random.Random(13)
+    base = [f"w{rng.randrange(900)}" for _ in range(400)]
+    texts = ["", "  ", "a b", "a b c d e f", " ".join(f"v{i}" for i in range(9000)), " ".join(f"v{i}" for i in range(8000))]
+    for _ in range(60):
+        words = list(base)
+        for _ in range(rng.randrange(16)):
+            words[rng.randrange(len(words))] = f"x{rng.random()}"
+        texts.append(" ".join(words[: rng.choice([400, 330, 250])]))
+    sizes, sketches = simhash.odd_sketches(*t.utf8(pa.array(texts)), 5)
+    assert len({len(x) for x in sketches}) > 2
+    got = simhash.possible(sizes, sketches, sizes, sketches, 0.8)
+    want = np.array([[simhash.similarity(a, b) >= 0.8 for b in texts] for a in texts])
+    assert not (want & ~got).any() and (got & ~want).sum() < 0.2 * want.sum()
+
+
 def test_similarity():
     assert simhash.similarity("a b c d e f", "A b c d e f") == 1.0
     assert simhash.similarity("a b", "a b") == 1.0 and simhash.similarity("", "") == 1.0 and simhash.similarity("a", "") == 0.0
