@@ -23,8 +23,8 @@ from pyspark.sql.window import Window
 from fieldloom.operators.tables import Scratch
 
 
-def streamed(rows: DataFrame, key: str, order: list[str], added: str, solve: Callable[[dict[str, list]], dict[str, list]]) -> DataFrame:
-    """Rows with the columns `added` (DDL), which solve makes from the columns of one group in order; rows whose first added value is null go.
+def streamed(rows: DataFrame, key: str, order: list[str], added: str, solve: Callable[[dict[str, list]], dict[str, list]], read: list[str] | None = None) -> DataFrame:
+    """Rows with the columns `added` (DDL), which solve makes from the columns (or only those in `read`) of one group in order; rows whose first added value is null go.
 
     Partitions are sorted and streamed, so many small groups cost no call to a frame each, and a task holds one batch and one group.
     """
@@ -37,8 +37,8 @@ def streamed(rows: DataFrame, key: str, order: list[str], added: str, solve: Cal
         rest: pa.Table | None = None
 
         def solved(table: pa.Table, last: bool) -> tuple[list[pa.RecordBatch], pa.Table]:
-            columns = {c: table.column(c).to_pylist() for c in names}
-            keys = columns[key]
+            columns = {c: table.column(c).to_pylist() for c in read or names}
+            keys = columns[key] if key in columns else table.column(key).to_pylist()
             cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
             whole = cuts if last else cuts[:-1]
             new: dict[str, list] = {f.name: [] for f in more}
@@ -110,20 +110,44 @@ def _spaced(x: np.ndarray, z: np.ndarray, spacing: float, most: int) -> list[int
     return kept
 
 
-def greedy_spacing(rows: DataFrame, key: str, order: list[str], spacing: float, most: int = 1 << 30, rounds: int = 12) -> DataFrame:
+#: Groups of at most so many rows are streamed one at a time; larger ones are spaced in rounds over cells.
+SMALL_GROUP = 50_000
+
+
+def greedy_spacing(rows: DataFrame, key: str, order: list[str], spacing: float, most: int = 1 << 30, rounds: int = 12, small: int = SMALL_GROUP) -> DataFrame:
     """Rows of each group taken in order, each at least `spacing` from all taken before, up to `most`; ties of the order in any order.
 
-    Cells are so small that two rows of a group in one cell are always too near. In each round the first row of a cell is taken if it comes before
-    the first rows of all cells in reach, and the rows too near a taken one go; that is what taking them one by one gives, but
-    a cell sends one row and no group is gathered. What an order along a line leaves after `rounds` is
-    taken one by one, in sorted streams.
+    Groups of at most `small` rows go through sorted streams: one shuffle, and a task holds one of them. Larger groups are spaced in
+    rounds over cells, so no task gathers one; both take the same rows. The keys of the larger groups are at most the rows over `small`.
+    """
+    tables = Scratch(rows.sparkSession)
+    large = tables.saved(rows.groupBy(F.struct(key).alias("_key")).agg(F.count("*").alias("_n")).filter(F.col("_n") > small).select("_key"))
+    in_large = F.struct(key) == F.col("_key")  # a struct, as null keys make a group too
+
+    def solve(group: dict[str, list]) -> dict[str, list]:
+        chosen = set(_spaced(np.array(group["x"], float), np.array(group["z"], float), spacing, most))
+        return {"_taken": [True if i in chosen else None for i in range(len(group["x"]))]}
+
+    streams = lambda df: streamed(df, key, order, "_taken boolean", solve, ["x", "z"]).drop("_taken")
+    if large.isEmpty():
+        tables.discard(large)
+        return streams(rows)
+    return streams(rows.join(large, in_large, "left_anti")).union(_spaced_in_rounds(rows.join(large, in_large, "left_semi"), key, order, spacing, most, rounds))
+
+
+def _spaced_in_rounds(rows: DataFrame, key: str, order: list[str], spacing: float, most: int, rounds: int) -> DataFrame:
+    """The same by cells, which are so small that two rows of a group in one cell are always too near.
+
+    In each round the first row of a cell is taken if it comes before the first rows of all cells in reach, and the rows too near a
+    taken one go; that is what taking them one by one gives, but a cell sends one row and no group is gathered. What an order along a
+    line leaves after `rounds` is taken one by one, in sorted streams.
     """
     tables = Scratch(rows.sparkSession)
     side = spacing / 1.4143
     base = tables.saved(rows.withColumn("_id", F.monotonically_increasing_id()))
     at = F.struct(*order, "_id", F.col("x").cast("double").alias("x"), F.col("z").cast("double").alias("z"))
     cell = [F.floor(F.col(c) / side).alias(f"_{c}") for c in "xz"]
-    left = tables.saved(base.select(F.col(key).alias("_key"), *cell, at.alias("_at")))
+    left = tables.saved(base.select(F.struct(key).alias("_key"), *cell, at.alias("_at")))
     reach = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(-2, 3) for b in range(-2, 3)))).alias("_o")
     sent = lambda df: df.select("_key", "_x", "_z", "_at", reach).select("_key", (F.col("_x") + F.col("_o.a")).alias("_x"), (F.col("_z") + F.col("_o.b")).alias("_z"), "_at")
     where, taken = ["_key", "_x", "_z"], []

@@ -69,3 +69,21 @@ def test_spacing_is_the_sequential_one(spark, rounds, most):
         want |= {mine[i] for i in graphs._spaced(np.array([r[2] for r in mine]), np.array([r[3] for r in mine]), 3.0, most)}
     df = spark.createDataFrame(rows, "k string, n int, x double, z double").repartition(6)
     assert {tuple(r) for r in graphs.greedy_spacing(df, "k", ["n"], 3.0, most, rounds).collect()} == want
+
+
+@pytest.mark.parametrize(("rounds", "most"), [(12, 1 << 30), (1, 1 << 30), (3, 7)])
+def test_spacing_of_large_groups_in_rounds_and_small_ones_in_streams(spark, rounds, most):
+    rng = random.Random(rounds)
+    rows = [(k, i, rng.uniform(0, 60), rng.uniform(0, 60)) for k in ("hot", None) for i in range(700)] + [("line", i, i * 0.4, 0.0) for i in range(300)] + [(f"k{i % 40}", i, rng.uniform(0, 9), rng.uniform(0, 9)) for i in range(800)]
+    want = set()
+    for k in {r[0] for r in rows}:
+        mine = [r for r in rows if r[0] == k]
+        want |= {mine[i] for i in graphs._spaced(np.array([r[2] for r in mine]), np.array([r[3] for r in mine]), 3.0, most)}
+    df = spark.createDataFrame(rows, "k string, n int, x double, z double").repartition(6)
+    assert {tuple(r) for r in graphs.greedy_spacing(df, "k", ["n"], 3.0, most, rounds, small=100).collect()} == want
+
+
+def test_spacing_of_small_groups_takes_one_shuffle(spark):
+    df = spark.createDataFrame([(i % 9, i, float(i % 13), float(i % 7)) for i in range(300)], "k int, n int, x double, z double")
+    plan = graphs.greedy_spacing(df, "k", ["n"], 3.0)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
