@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from fieldloom.functions import geometry
 from fieldloom.functions.numbers import half_up
 from fieldloom.operators import spatial
+from fieldloom.operators.closest import as_boxes, nearest_within
 from fieldloom.plans.tables import points, read
 
 #: Radius of the nearest-partner relation, and its greatest number of partners.
@@ -21,11 +22,10 @@ def _kinds(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def relations_nearest_n(spark: SparkSession, d: str) -> DataFrame:
-    even, odd = _kinds(spark, d)
-    pairs = spatial.pairs_within(even, odd, RELATION_REACH).select(F.col("l.id").alias("from_id"), F.col("r.id").alias("to_id"), "distance")
-    best = spatial.nearest(pairs, "from_id", [F.asc("distance"), F.asc("to_id")], RELATION_MOST)
+    even, odd = map(as_boxes, _kinds(spark, d))
+    best = nearest_within(even, odd, RELATION_REACH, RELATION_MOST)
     trust = half_up(0.8 * F.greatest(F.lit(0.35), 1 - F.col("distance") / RELATION_REACH), 3)
-    return best.select("from_id", "to_id", "place", half_up(F.col("distance"), 3).alias("distance"), trust.alias("confidence"))
+    return best.select(F.col("l.id").alias("from_id"), F.col("r.id").alias("to_id"), "place", half_up(F.col("distance"), 3).alias("distance"), trust.alias("confidence"))
 
 
 def nearest_compatible(spark: SparkSession, d: str) -> DataFrame:
