@@ -29,9 +29,12 @@ def relations_nearest_n(spark: SparkSession, d: str) -> DataFrame:
 
 
 def nearest_compatible(spark: SparkSession, d: str) -> DataFrame:
-    even, odd = _kinds(spark, d)
-    pairs = spatial.pairs_within(even, odd, 50.0).withColumn("score", 1 - F.col("distance") / 50 + F.when(F.col("l.kind") + 1 == F.col("r.kind"), 1.25).otherwise(0.0))
-    pairs = pairs.select(F.col("l.id").alias("node"), F.col("r.id").alias("seen"), half_up(F.col("score"), 6).alias("score"))
+    """The best score is that of the nearest of the next kind or of the nearest of all; scores of points on the metre grid tie only at equal distances."""
+    even, odd = map(as_boxes, _kinds(spark, d))
+    even = even.withColumn("next", F.col("kind") + 1)
+    pairs = nearest_within(even, odd, 50.0, 1, {"kind": "next"}).union(nearest_within(even, odd, 50.0, 1))
+    score = 1 - F.col("distance") / 50 + F.when(F.col("l.next") == F.col("r.kind"), 1.25).otherwise(0.0)
+    pairs = pairs.select(F.col("l.id").alias("node"), F.col("r.id").alias("seen"), half_up(score, 6).alias("score"))
     return spatial.nearest(pairs, "node", [F.desc("score"), F.asc("seen")], 1).select("node", "seen", "score")
 
 
