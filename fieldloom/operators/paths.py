@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from fieldloom.operators.closest import as_boxes, nearest_within
 from fieldloom.operators.spatial import nearest, pairs_within
 
 
@@ -26,9 +27,8 @@ def gap_repairs(ends: DataFrame, tolerance: float, least: float = 0.2) -> DataFr
 
 def entrances(doors: DataFrame, buildings: DataFrame, reach: float = 8.0) -> DataFrame:
     """The building nearest each entrance (id, x, z, rank), then the entrance of highest rank of each building."""
-    met = pairs_within(doors, buildings, reach).select(F.col("l.id").alias("door"), F.col("l.rank").alias("rank"), F.col("r.id").alias("building"), "distance")
-    near = nearest(met, "door", [F.asc("distance"), F.asc("building")], 1)
-    return nearest(near.drop("place"), "building", [F.desc("rank"), F.asc("door")], 1).drop("place")
+    near = nearest_within(as_boxes(doors), as_boxes(buildings), reach, 1).select(F.col("l.id").alias("door"), F.col("l.rank").alias("rank"), F.col("r.id").alias("building"), "distance")
+    return nearest(near, "building", [F.desc("rank"), F.asc("door")], 1).drop("place")
 
 
 def labelled(labels: DataFrame, shapes: DataFrame, reach: float, most: int) -> DataFrame:

@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from fieldloom.operators import closest
+from fieldloom.operators import closest, paths, relations
 
 KIND = "id long, kind int, min_x double, max_x double, min_z double, max_z double"
 
@@ -44,3 +44,26 @@ def test_crowded_rows_meet_few_candidates(spark, monkeypatch):
     point = lambda n: closest.as_boxes(spark.range(n).select("id", (F.col("id") * 37 % 53).alias("x"), (F.col("id") * 11 % 59).alias("z")))
     assert closest.nearest_within(point(800), point(800), 100.0, 1).count() == 800
     assert max(sizes) < 100_000
+
+
+def no_pairs(*args, **more):
+    raise AssertionError("a join of all pairs in reach")
+
+
+def crowd(spark, n, first, extra):
+    return spark.range(first, first + n).selectExpr("id", "cast(id * 37 % 23 as double) as x", "cast(id * 11 % 29 + 40 * (id % 3) as double) as z", extra)
+
+
+def apart(a, b):
+    return math.hypot(a.x - b.x, a.z - b.z)
+
+
+def test_entrances_without_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(paths, "pairs_within", no_pairs)
+    doors, buildings = crowd(spark, 150, 0, "id % 5 as rank"), crowd(spark, 90, 500, "0 as rank")
+    best, there = {}, buildings.collect()
+    for a in doors.collect():
+        d, b = min((apart(a, b), b.id) for b in there)
+        if d <= 20:
+            best[b] = min(best.get(b, (9, 0)), (-a.rank, a.id))
+    assert {(r.building, r.door) for r in paths.entrances(doors, buildings, 20.0).collect()} == {(b, k[1]) for b, k in best.items()}
