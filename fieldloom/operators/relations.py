@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fieldloom.operators.spatial import boxes_meeting
+from fieldloom.operators.closest import nearest_within
 
 #: Type, kinds of the two ends, reach in metres, partners at most, priority, scale of the confidence.
 RELATIONS = (
@@ -21,22 +21,20 @@ RELATIONS = (
 
 
 def inferred(nodes: DataFrame, size: float = 64.0) -> DataFrame:
-    """Edges of all relation types among nodes (id, type, min_x .. max_z, base, confidence), nearest partners first."""
-    out = None
-    for name, left, right, reach, most, priority, scale in RELATIONS:
-        near = boxes_meeting(nodes.filter(F.col("type") == left), nodes.filter(F.col("type") == right), reach, size)
-        apart = lambda a: F.greatest(F.lit(0.0), F.col(f"l.min_{a}") - F.col(f"r.max_{a}"), F.col(f"r.min_{a}") - F.col(f"l.max_{a}"))
-        near = near.withColumn("distance_m", F.hypot(apart("x"), apart("z"))).filter(F.col("distance_m") <= reach)
-        trust = F.least(F.coalesce("l.confidence", F.lit(0.8)), F.coalesce("r.confidence", F.lit(0.8))) * F.greatest(F.lit(0.35), 1 - F.col("distance_m") / scale)
-        step = F.col("r.base") - F.col("l.base")
-        level = F.when(step.isNull(), "unresolved").when(F.abs(step) < 0.75, "same-level").when(step > 0, "above").otherwise("below")
-        edges = near.select(F.lit(name).alias("type"), F.col("l.id").alias("from_id"), F.col("r.id").alias("to_id"), F.lit(priority).alias("priority"), "distance_m", level.alias("vertical"), (F.floor(trust * 1000 + 0.5) / 1000).alias("confidence"))
-        place = F.row_number().over(Window.partitionBy("from_id").orderBy("distance_m", "to_id"))
-        edges = edges.withColumn("_n", place).filter(F.col("_n") <= most).drop("_n")
-        if name == "path-connects-building":
-            edges = edges.select("type", F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id"), "priority", "distance_m", "vertical", "confidence")
-        out = edges if out is None else out.union(edges)
-    return out
+    """Edges of all relation types among nodes (id, type, min_x .. max_z, base, confidence), nearest partners first.
+
+    All relations are searched at once, in the widest reach and for the most partners; each then keeps its own. size: unused, cells follow the data.
+    """
+    of = lambda end: nodes.withColumn("relation", F.explode(F.array_compact(F.array(*(F.when(F.col("type") == rule[end], rule[0]) for rule in RELATIONS)))))
+    near = nearest_within(of(1), of(2), max(r[3] for r in RELATIONS), max(r[4] for r in RELATIONS), {"relation": "relation"})
+    rule = lambda i: F.element_at(F.create_map(*(F.lit(v) for r in RELATIONS for v in (r[0], r[i]))), F.col("l.relation"))
+    near = near.filter((F.col("distance") <= rule(3)) & (F.col("place") <= rule(4)))
+    trust = F.least(F.coalesce("l.confidence", F.lit(0.8)), F.coalesce("r.confidence", F.lit(0.8))) * F.greatest(F.lit(0.35), 1 - F.col("distance") / rule(6))
+    step = F.col("r.base") - F.col("l.base")
+    level = F.when(step.isNull(), "unresolved").when(F.abs(step) < 0.75, "same-level").when(step > 0, "above").otherwise("below")
+    turned = F.col("l.relation") == "path-connects-building"
+    ends = [F.when(turned, F.col(f"{b}.id")).otherwise(F.col(f"{a}.id")).alias(c) for a, b, c in (("l", "r", "from_id"), ("r", "l", "to_id"))]
+    return near.select(F.col("l.relation").alias("type"), *ends, rule(5).alias("priority"), F.col("distance").alias("distance_m"), level.alias("vertical"), (F.floor(trust * 1000 + 0.5) / 1000).alias("confidence"))
 
 
 def building_heights(samples: DataFrame, id: str, surface: str, terrain: str) -> DataFrame:

@@ -67,3 +67,20 @@ def test_entrances_without_all_pairs(spark, monkeypatch):
         if d <= 20:
             best[b] = min(best.get(b, (9, 0)), (-a.rank, a.id))
     assert {(r.building, r.door) for r in paths.entrances(doors, buildings, 20.0).collect()} == {(b, k[1]) for b, k in best.items()}
+
+
+def test_relations_without_all_pairs(spark, monkeypatch):
+    """Crowded nodes of two types; brute force, and no table on the way as large as the pairs in reach."""
+    sizes, keep = [], closest.Scratch.saved
+    monkeypatch.setattr(closest.Scratch, "saved", lambda self, df: (lambda out: sizes.append(out.count()) or out)(keep(self, df)))
+    kind = "case when id % 2 = 0 then 'building' else 'path' end as type"
+    nodes = closest.as_boxes(crowd(spark, 1200, 0, kind)).withColumns({"max_x": F.col("max_x") + 6, "max_z": F.col("max_z") + 4, "base": F.lit(0.0), "confidence": F.lit(None).cast("double")})
+    want, pairs, rows = set(), 0, nodes.collect()
+    gap = lambda a, b, c: max(0.0, a[f"min_{c}"] - b[f"max_{c}"], b[f"min_{c}"] - a[f"max_{c}"])
+    for a in (r for r in rows if r.type == "building"):
+        met = sorted((math.hypot(gap(a, b, "x"), gap(a, b, "z")), b.id) for b in rows if b.type == "path")
+        near = [m for m in met if m[0] <= 12]
+        pairs += len(near)
+        want |= {(b, a.id, d) for d, b in near[:3]}
+    assert {(r.from_id, r.to_id, r.distance_m) for r in relations.inferred(nodes).collect()} == want
+    assert sizes and max(sizes) < pairs
