@@ -33,9 +33,10 @@ def entrances(doors: DataFrame, buildings: DataFrame, reach: float = 8.0) -> Dat
 
 def labelled(labels: DataFrame, shapes: DataFrame, reach: float, most: int) -> DataFrame:
     """The best label for each shape by distance less priority; labels that meet more than `most` shapes are out."""
-    met = pairs_within(labels, shapes, reach).select(F.col("l.id").alias("label"), F.col("r.id").alias("shape"), (F.col("distance") - 0.08 * F.col("l.priority")).alias("score"))
-    few = met.groupBy("label").agg(F.count("*").alias("n")).filter(F.col("n") <= most).select("label")
-    return nearest(met.join(few, "label", "left_semi"), "shape", [F.asc("score"), F.asc("label")], 1).drop("place")
+    met = nearest_within(as_boxes(labels), as_boxes(shapes), reach, most + 1)  # one more than allowed tells who meets too many
+    met = met.withColumn("n", F.max("place").over(Window.partitionBy("l.id"))).filter(F.col("n") <= most)
+    met = met.select(F.col("l.id").alias("label"), F.col("r.id").alias("shape"), (F.col("distance") - 0.08 * F.col("l.priority")).alias("score"))
+    return nearest(met, "shape", [F.asc("score"), F.asc("label")], 1).drop("place")
 
 
 def thinned(anchors: DataFrame, key: str, measure: str, order: list[Column], apart: float) -> DataFrame:

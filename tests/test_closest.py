@@ -84,3 +84,14 @@ def test_relations_without_all_pairs(spark, monkeypatch):
         want |= {(b, a.id, d) for d, b in near[:3]}
     assert {(r.from_id, r.to_id, r.distance_m) for r in relations.inferred(nodes).collect()} == want
     assert sizes and max(sizes) < pairs
+
+
+def test_labels_without_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(paths, "pairs_within", no_pairs)
+    labels, shapes = crowd(spark, 150, 0, "id % 5 * 10 as priority"), crowd(spark, 90, 500, "0 as priority")
+    best, there = {}, shapes.collect()
+    for a in labels.collect():
+        met = [(apart(a, b), b.id) for b in there if apart(a, b) <= 6]
+        for d, b in met if len(met) <= 3 else []:
+            best[b] = min(best.get(b, (99, 0)), (d - 0.08 * a.priority, a.id))
+    assert {(r.shape, r.label) for r in paths.labelled(labels, shapes, 6.0, 3).collect()} == {(b, k[1]) for b, k in best.items()}
