@@ -92,13 +92,19 @@ def linear_reference(rows: DataFrame, segments: DataFrame, key: list[str], reach
         cut = cut.withColumn(f"_c{axis}", F.explode(_cells(F.least(a, b) - reach, F.greatest(a, b) + reach, cell)))
     placed = rows.withColumns({f"_c{axis}": F.floor(F.col(axis) / cell) for axis in "xz"})
     near = cut.select(*key, "_cx", "_cz", "ax", "az", "bx", "bz", "start").distinct()
-    met = placed.alias("p").join(near.alias("s"), [*key, "_cx", "_cz"])
-    dx, dz = F.col("s.bx") - F.col("s.ax"), F.col("s.bz") - F.col("s.az")
-    size = dx * dx + dz * dz
-    along = F.when(size == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("p.x") - F.col("s.ax")) * dx + (F.col("p.z") - F.col("s.az")) * dz) / F.nullif(size, F.lit(0.0)))))
-    met = met.withColumn("lateral", F.hypot(F.col("p.x") - (F.col("s.ax") + along * dx), F.col("p.z") - (F.col("s.az") + along * dz)))
-    met = met.withColumn("measure", F.col("s.start") + along * F.sqrt(size)).filter(F.col("lateral") <= reach)
-    return met.groupBy("p.id").agg(F.min(F.struct("lateral", "measure")).alias("best")).select("id", "best.lateral", "best.measure")
+
+    def measured(points: DataFrame) -> DataFrame:
+        met = points.alias("p").join(near.alias("s"), [*key, "_cx", "_cz"])
+        dx, dz = F.col("s.bx") - F.col("s.ax"), F.col("s.bz") - F.col("s.az")
+        size = dx * dx + dz * dz
+        along = F.when(size == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("p.x") - F.col("s.ax")) * dx + (F.col("p.z") - F.col("s.az")) * dz) / F.nullif(size, F.lit(0.0)))))
+        met = met.withColumn("lateral", F.hypot(F.col("p.x") - (F.col("s.ax") + along * dx), F.col("p.z") - (F.col("s.az") + along * dz)))
+        return met.withColumn("measure", F.col("s.start") + along * F.sqrt(size)).filter(F.col("lateral") <= reach)
+
+    # the least of a number is kept by hashing; the least of a struct would sort all that the points meet
+    best = measured(placed).groupBy("p.id").agg(F.min("lateral").alias("_best"))
+    ties = measured(placed.join(best, "id")).filter(F.col("lateral") == F.col("p._best"))
+    return ties.groupBy("p.id").agg(F.min("lateral").alias("lateral"), F.min("measure").alias("measure"))
 
 
 def overlap_decision(samples: DataFrame, existing: DataFrame, id: str, tolerance: float, same: tuple[str, ...] = ()) -> DataFrame:

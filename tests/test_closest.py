@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from fieldloom.operators import closest, paths, relations
+from fieldloom.operators import closest, paths, relations, spatial
 
 KIND = "id long, kind int, min_x double, max_x double, min_z double, max_z double"
 
@@ -95,3 +95,11 @@ def test_labels_without_all_pairs(spark, monkeypatch):
         for d, b in met if len(met) <= 3 else []:
             best[b] = min(best.get(b, (99, 0)), (d - 0.08 * a.priority, a.id))
     assert {(r.shape, r.label) for r in paths.labelled(labels, shapes, 6.0, 3).collect()} == {(b, k[1]) for b, k in best.items()}
+
+
+def test_linear_reference_aggregates_without_sorting_pairs(spark):
+    points = spark.createDataFrame([(1, 0, 5.0, 1.0), (2, 0, 10.0, 0.0)], "id long, k int, x double, z double")
+    segments = spark.createDataFrame([(0, 0.0, 0.0, 10.0, 0.0, 0.0), (0, 10.0, 0.0, 10.0, 9.0, 100.0)], "k int, ax double, az double, bx double, bz double, start double")
+    found = spatial.linear_reference(points, segments, ["k"], 4.0)
+    assert {tuple(r) for r in found.collect()} == {(1, 1.0, 5.0), (2, 0.0, 10.0)}  # a tie takes the lower measure
+    assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
